@@ -37,6 +37,8 @@ class Near:
 
 
 PRODUCTION = Near()
+#: Classes that a task compares with as many others at once.
+CHUNK = 128
 #: Odd step of the circular shift.
 SHIFT = np.uint32(0x9E3779B1)
 
@@ -189,13 +191,66 @@ def class_links(docs: DataFrame, members: DataFrame, p: Near) -> DataFrame:
     more = label(label(star, "a"), "b").filter("l_a <> l_b").select("a", "b")
     links = written(links.union(confirmed(more, sets, p)), "links")
     labels = connected(links)
-    m = label(shared.select("bucket", "node", "n"), "node")
-    open_ = m.groupBy("bucket").agg(F.min("l_node").alias("x"), F.max("l_node").alias("y")).filter("x < y").select("bucket")
-    m = written(m.join(open_, "bucket", "left_semi").withColumnRenamed("l_node", "l"), "open")
-    x, y = m.toDF("bucket", "a", "na", "la"), m.toDF("bucket", "b", "nb", "lb")
-    rest = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & size_ok(F.col("na"), F.col("nb")))
-    rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return links.union(confirmed(rest, sets, p))
+    m = written(still_open(label(shared.select("bucket", "node", "n"), "node").withColumnRenamed("l_node", "l")), "open")
+    # shingles that no other class still open holds are in no intersection: q is what a class can share
+    rest = written(m.groupBy("node").agg(F.max("n").alias("n")), "rest")
+    alone = shingles(sets.join(rest, "node", "left_semi")).groupBy("shingle").agg(F.count("*").alias("k"), F.max("node").alias("node")).filter("k = 1")
+    q = rest.join(alone.groupBy("node").agg(F.count("*").alias("p")), "node", "left").select("node", (F.col("n") - F.coalesce("p", F.lit(0))).alias("q"))
+    m = written(still_open(m.join(q, "node").filter(100 * F.col("q") >= p.percent * F.col("n"))), "open")
+    near = m.groupBy("bucket").agg(F.min("node").alias("a")).join(m.select("bucket", F.col("node").alias("b")), "bucket")
+    groups = connected(near.select("a", "b").distinct()).withColumnRenamed("label", "group")
+    m = m.select("node", "l", "n").distinct().join(groups, "node").join(sets, "node")
+    # classes outside their group's main component meet all of the group, chunk by chunk
+    k = m.groupBy("group", "l").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("l", F.struct("k", "l")).alias("main"), F.sum("k").alias("all"))
+    m = m.join(k, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.floor(F.col("all") / CHUNK) + 1))
+    chunks = lambda df, name: df.groupBy("group", "chunk").agg(F.collect_list(F.struct("node", "l", "set")).alias(name)).drop("chunk")
+    met = chunks(m.filter("l <> main"), "x").join(chunks(m, "y"), "group").select("x", "y")
+    return links.union(met.mapInArrow(lambda batches: across(batches, p.percent), "a long, b long"))
+
+
+def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of two chunks that are in different components."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sides = []
+            for name in ("x", "y"):
+                rows = batch.column(name).slice(i, 1).flatten()
+                sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("set")]
+                sides.append((rows.field("node").to_numpy(), rows.field("l").to_numpy(), np.array([len(v) for v in sets]), np.concatenate(sets)))
+            (xn, xl, xk, xs), (yn, yl, yk, ys) = sides
+            common = np.intersect1d(xs, ys)
+            owner = [np.repeat(np.arange(len(k)), k) for k in (xk, yk)]
+            same = np.zeros((len(xn), len(yn)))
+            for at in range(0, len(common), 8192):
+                part, dense = common[at : at + 8192], []
+                for own, flat, n in ((owner[0], xs, len(xn)), (owner[1], ys, len(yn))):
+                    where = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+                    hit = part[where] == flat
+                    held = np.zeros((n, len(part)), np.float32)
+                    held[own[hit], where[hit]] = 1
+                    dense.append(held)
+                same += dense[0] @ dense[1].T
+            linked = (100 * same >= percent * (xk[:, None] + yk[None, :] - same)) & (xl[:, None] != yl[None, :])
+            a, b = np.nonzero(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xn[a], yn[b])), pa.array(np.maximum(xn[a], yn[b]))], names=["a", "b"])
+
+
+def still_open(m: DataFrame) -> DataFrame:
+    """The members of buckets that hold classes of different components (l)."""
+    return m.join(m.groupBy("bucket").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("bucket"), "bucket", "left_semi")
+
+
+def shingles(sets: DataFrame) -> DataFrame:
+    """shingle, node: a row for each element of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(part.column("node").to_numpy(), [len(x) for x in flat]))], names=["shingle", "node"])
+
+    return sets.select("node", "set").mapInArrow(run, "shingle long, node long")
 
 
 def components(docs: DataFrame, p: Near = PRODUCTION) -> DataFrame:
