@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "licenses", "topk", "quality"]
+MODULES = ["mixing", "minhash", "licenses", "topk", "quality", "tokenfile", "separators", "urls", "bpe"]
 
 QUERIES: dict = {}
 SQL: dict = {}
