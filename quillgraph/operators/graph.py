@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.sources.shared import cut
 
+#: Up to so many edges, which a count checks, the driver finds strong components.
+LOCAL_EDGES = 1_000_000
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the least node of its undirected component. Neighbours' least labels, then labels of labels: the number
@@ -38,6 +43,9 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
 def giant_scc(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """node: the largest strongly connected component; of equally large ones, that of the pivot tried first. Pivots are the
     remaining nodes of greatest in-degree times out-degree; a component of half of what is left is the giant."""
+    spark = edges.sparkSession
+    if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return spark.createDataFrame([(x,) for x in local_giant([(r[0], r[1]) for r in edges.select("src", "dst").distinct().collect()])], "node long")
     edges = cut(edges.select("src", "dst").distinct())
     best, size = None, 0
     for _ in range(rounds):
@@ -57,6 +65,35 @@ def giant_scc(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return best if best is not None else edges.select(F.col("src").alias("node")).limit(0)
 
 
+def local_giant(pairs: list[tuple[int, int]]) -> list[int]:
+    """The same for a graph small enough for the driver."""
+    best: set[int] = set()
+    while True:
+        out, into = defaultdict(list), defaultdict(list)
+        for a, b in pairs:
+            out[a].append(b)
+            into[b].append(a)
+        both = [x for x in out if x in into]
+        if not both:
+            return sorted(best)
+        pivot = min(both, key=lambda x: (-len(out[x]) * len(into[x]), x))
+
+        def closure(near: dict) -> set[int]:
+            seen, todo = {pivot}, [pivot]
+            while todo:
+                for y in near.get(todo.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
+
+        scc = closure(out) & closure(into)
+        best = scc if len(scc) > len(best) else best
+        pairs = [(a, b) for a, b in pairs if a not in scc and b not in scc]
+        if len({x for p in pairs for x in p}) <= len(best):
+            return sorted(best)
+
+
 def seed_citations(refs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Citations that the seed works (work_idx) receive."""
     return refs.join(seeds.select(F.col("work_idx").alias("cited_idx")).distinct(), "cited_idx", "left_semi").select("citer_idx", "cited_idx")

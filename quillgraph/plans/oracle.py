@@ -97,8 +97,8 @@ _BI = {
     "hs": _SI, "hi": _IS,
     "it": f"SELECT unit_idx, 1.0::DOUBLE / (SELECT count(*) FROM us), 0 FROM us UNION ALL SELECT hi.dst, sum(hs.w * hi.w * x), k + 1 FROM it JOIN hs ON hs.src = it.unit_idx JOIN hi ON hi.src = hs.dst WHERE k < {STEPS} GROUP BY hi.dst, k",
     "ps": f"SELECT us.unit_idx, a_p, coalesce(x, 0) x FROM us LEFT JOIN (SELECT * FROM it WHERE k = {STEPS}) t USING (unit_idx)",
-    "pu": "SELECT uu.unit_idx, max(a_p) a_p, coalesce(sum(w * x), 0) x FROM uu LEFT JOIN (hs JOIN ps ON src = ps.unit_idx) ON dst = uu.unit_idx GROUP BY 1",
-    "both": "SELECT 'S' unit_type, unit_idx, a_p, x / 2 / sum(x) OVER () pi FROM ps UNION ALL SELECT 'U', unit_idx, a_p, x / 2 / sum(x) OVER () FROM pu",
+    "pu": "SELECT uu.unit_idx, max(uu.a_p) a_p, coalesce(sum(w * x), 0) x FROM uu LEFT JOIN (hs JOIN ps ON src = ps.unit_idx) ON dst = uu.unit_idx GROUP BY 1",
+    "sides": "SELECT 'S' unit_type, unit_idx, a_p, x / 2 / sum(x) OVER () pi FROM ps UNION ALL SELECT 'U', unit_idx, a_p, x / 2 / sum(x) OVER () FROM pu",
 }
 _RE = lambda c: f"round({c}, 9) {c.split('.')[-1]}"
 _EL = "citer_work_idx, citer_source_idx, citer_inst_idx, round(inst_weight, 9) inst_weight, round(direct_inst_weight, 9) direct_inst_weight, cited_work_idx, cited_source_idx, cited_inst_idx, round(cited_inst_weight, 9) cited_inst_weight, round(direct_cited_inst_weight, 9) direct_cited_inst_weight, round(edge_field_weight, 9) edge_field_weight, round(R_i, 9) R_i"
@@ -135,8 +135,8 @@ SQL: dict[str, str] = {
     "power_ss": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ss", "us")),
     "katz_uniform": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ii", "uu", 0.85)),
     "katz_unit_scaled": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ii", "uu", 0.85, "a_p / (SELECT sum(a_p) FROM u)")),
-    "bipartite_perron": sql("SELECT unit_type, unit_idx, round(pi, 9) pi FROM both", **_BI),
-    "rank_by_mask": sql("SELECT unit_idx, unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1 THEN round(sum(a_p) FILTER (unit_idx <> 1) OVER s * pi / (sum(pi) FILTER (unit_idx <> 1) OVER s * a_p), 6) END v FROM both WINDOW s AS (PARTITION BY unit_type)", **_BI),
+    "bipartite_perron": sql("SELECT unit_type, unit_idx, round(pi, 9) pi FROM sides", **_BI),
+    "rank_by_mask": sql("SELECT unit_idx, unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1 THEN round(sum(a_p) FILTER (unit_idx <> 1) OVER s * pi / (sum(pi) FILTER (unit_idx <> 1) OVER s * a_p), 6) END v FROM sides WINDOW s AS (PARTITION BY unit_type)", **_BI),
     "rank_dense": sql(
         "SELECT *, dense_rank() OVER (ORDER BY pi DESC)::INT rank_pi, dense_rank() OVER (ORDER BY v DESC NULLS LAST)::INT rank_v FROM (SELECT unit_idx, 'U' unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1 THEN round((sum(a_p) FILTER (unit_idx <> 1) OVER ()) * pi / ((sum(pi) FILTER (unit_idx <> 1) OVER ()) * a_p), 6) END v FROM pi)",
         **_power("ii", "uu"),
@@ -158,13 +158,13 @@ SQL: dict[str, str] = {
     "author_counts_mode": sql("SELECT author_idx, institution_idx, count(*) n FROM auth GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY author_idx ORDER BY count(*) DESC, institution_idx) = 1"),
     "surrogate_key": sql("SELECT author_idx, n_works, row_number() OVER (ORDER BY n_works DESC, author_idx)::INT AS key FROM (SELECT author_idx, count(DISTINCT work_idx) n_works FROM auth GROUP BY 1)"),
     "crossfield_scores": sql(
-        "SELECT author_idx, coalesce(nf, 0) n_fields, round(coalesce(ps, 0), 6) cf_paper_score, round(coalesce(cs_, 0), 6) cf_cite_score, coalesce(ps, 0) >= 1 AND coalesce(cs_, 0) >= 1 qualified FROM p FULL JOIN q USING (author_idx)",
-        j="SELECT DISTINCT field_idx, author_idx, work_idx, cited_by_count FROM auth JOIN fw USING (work_idx)",
-        a="SELECT field_idx, author_idx, count(*)::DOUBLE n FROM j WHERE cited_by_count > 0 GROUP BY 1, 2",
-        b="SELECT field_idx, author_idx, sum(cited_by_count)::DOUBLE n FROM j GROUP BY 1, 2",
-        **{f"t{x}": f"SELECT field_idx, greatest(1, l[1 + floor(h)::INT] + (l[1 + ceil(h)::INT] - l[1 + floor(h)::INT]) * (h - floor(h))) t FROM (SELECT field_idx, list(n ORDER BY n) l, (count(*) - 1) * greatest(0, 1 - 20.0::DOUBLE / count(*)) h FROM {x} GROUP BY 1)" for x in "ab"},
-        p="SELECT author_idx, sum(n / t) ps, count(*) nf FROM a JOIN ta USING (field_idx) GROUP BY 1",
-        q="SELECT author_idx, sum(n / t) cs_ FROM b JOIN tb USING (field_idx) GROUP BY 1",
+        "SELECT author_idx, coalesce(nf, 0) n_fields, round(coalesce(ps, 0), 6) cf_paper_score, round(coalesce(qs, 0), 6) cf_cite_score, coalesce(ps, 0) >= 1 AND coalesce(qs, 0) >= 1 qualified FROM paper_s FULL JOIN cite_s USING (author_idx)",
+        held="SELECT DISTINCT field_idx, author_idx, work_idx, cited_by_count FROM auth JOIN fw USING (work_idx)",
+        paper_n="SELECT field_idx, author_idx, count(*)::DOUBLE n FROM held WHERE cited_by_count > 0 GROUP BY 1, 2",
+        cite_n="SELECT field_idx, author_idx, sum(cited_by_count)::DOUBLE n FROM held GROUP BY 1, 2",
+        **{f"{x}_t": f"SELECT field_idx, greatest(1, l[1 + floor(h)::INT] + (l[1 + ceil(h)::INT] - l[1 + floor(h)::INT]) * (h - floor(h))) t FROM (SELECT field_idx, list(n ORDER BY n) l, (count(*) - 1) * greatest(0, 1 - 20.0::DOUBLE / count(*)) h FROM {x}_n GROUP BY 1)" for x in ("paper", "cite")},
+        paper_s="SELECT author_idx, sum(n / t) ps, count(*) nf FROM paper_n JOIN paper_t USING (field_idx) GROUP BY 1",
+        cite_s="SELECT author_idx, sum(n / t) qs FROM cite_n JOIN cite_t USING (field_idx) GROUP BY 1",
     ),
     "coauthor_evidence": sql(
         "SELECT x.cluster, x.a, x.b, coalesce(u.n, 0) n_a, coalesce(v.n, 0) n_b, coalesce(s.n, 0) n_shared, round(coalesce(s.n, 0) / greatest(1, coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(s.n, 0))::DOUBLE, 9) jaccard FROM pr x LEFT JOIN nc u ON u.author_idx = a LEFT JOIN nc v ON v.author_idx = b LEFT JOIN sh s ON s.a = x.a AND s.b = x.b",
@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
   n AS (SELECT g, count(*) n, count(*) FILTER (inside) ni, count(*) FILTER (NOT inside) no FROM d GROUP BY 1), f AS (SELECT g, term, count(*) df FROM t GROUP BY ALL),
   w AS (SELECT t.g, doc, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) w FROM t JOIN f USING (g, term) JOIN n ON n.g = t.g WHERE df >= 2 AND df <= 0.95 * n),
   u AS (SELECT g, doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc)) w FROM w),
-  m AS (SELECT u.g, term, coalesce(sum(w) FILTER (inside), 0) / max(ni) a, coalesce(sum(w) FILTER (NOT inside), 0) / max(no) b FROM u JOIN d USING (doc) JOIN n ON n.g = u.g WHERE ni >= 10 AND no >= 10 GROUP BY ALL)
+  m AS (SELECT u.g, term, coalesce(sum(u.w) FILTER (inside), 0) / max(ni) a, coalesce(sum(u.w) FILTER (NOT inside), 0) / max(no) b FROM u JOIN d USING (doc) JOIN n ON n.g = u.g WHERE ni >= 10 AND no >= 10 GROUP BY ALL)
   SELECT g "group", term, round(a, 6) mean_enc, round(b, 6) mean_non, row_number() OVER (PARTITION BY g ORDER BY round(a / (b + 1e-9) * a, 9) DESC, term)::INT rank FROM m QUALIFY rank <= 5""",
     "connected_components": sql(
         "SELECT node, min(r) label FROM reach GROUP BY 1",

@@ -13,6 +13,7 @@ from quillgraph.functions import names, stats
 from quillgraph.model import group_of
 from quillgraph.operators import authors, corpus, edges, graph, reports, spectral, text, works
 from quillgraph.sources.adapters import CORPUS, RUN, Tables
+from quillgraph.sources.shared import stored
 
 STEPS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,24 +28,42 @@ def r9(*cols: str) -> list:
     return [F.round(c, 9).alias(c) for c in cols]
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def kept(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries build on, written once a session and data folder. It also keeps plans short."""
+    key = (t.spark.sparkContext.applicationId, id(t.spark), t.dir, name)
+    if key not in _kept:
+        _kept[key] = stored(make())
+    return _kept[key]
+
+
+def all_works(t: Tables) -> DataFrame:
+    return kept(t, "works", t.works)
+
+
 def flat(t: Tables) -> DataFrame:
-    return corpus.flat_works(t.works(), t.sources(), t.authorships(), t.institutions(), t.topics(), CORPUS)
+    return kept(t, "flat", lambda: corpus.flat_works(all_works(t), t.sources(), t.authorships(), t.institutions(), t.topics(), CORPUS))
 
 
 def references(t: Tables) -> DataFrame:
-    return corpus.corpus_references(t.references(), corpus.title_dedup(corpus.filtered_works(t.works(), t.sources(), CORPUS)))
+    return kept(t, "references", lambda: corpus.corpus_references(t.references(), corpus.title_dedup(corpus.filtered_works(all_works(t), t.sources(), CORPUS))))
 
 
 def units(t: Tables, run=RUN) -> tuple[DataFrame, DataFrame]:
-    return edges.retained(*corpus.candidacy(flat(t), run.group_col, run.window), run, run.members[0])
+    s, u = corpus.candidacy(flat(t), run.group_col, run.window)
+    return edges.retained(kept(t, f"s-{run.group_col}-{run.window}", lambda: s), kept(t, f"u-{run.group_col}-{run.window}", lambda: u), run, run.members[0])
 
 
 def edge_list(t: Tables, run=RUN) -> DataFrame:
-    return edges.edge_list(flat(t), references(t), run, *units(t, run))
+    return kept(t, f"edges-{run.epsilon}-{run.tau_s}-{run.tau_u}", lambda: edges.edge_list(flat(t), references(t), run, *units(t, run)))
 
 
 def made_blocks(t: Tables, run) -> edges.Blocks:
-    return edges.blocks(edge_list(t, run).persist(), *units(t, run), run)
+    b = edges.blocks(edge_list(t, run), *units(t, run), run)
+    name = f"{run.rho}-{run.omega}-{run.beta}"
+    return edges.Blocks({k: kept(t, f"{k}-{name}", lambda d=d: d) for k, d in b.blocks.items()}, kept(t, "sources", lambda: b.sources), kept(t, "institutions", lambda: b.institutions))
 
 
 # corpus
@@ -52,12 +71,12 @@ def made_blocks(t: Tables, run) -> edges.Blocks:
 
 @query
 def work_filter_semi(t):
-    return corpus.filtered_works(t.works(), t.sources(), CORPUS).select("work_idx", "source_idx", "publication_year", "title")
+    return corpus.filtered_works(all_works(t), t.sources(), CORPUS).select("work_idx", "source_idx", "publication_year", "title")
 
 
 @query
 def title_dedup(t):
-    return corpus.title_dedup(t.works()).select("work_idx", "title")
+    return corpus.title_dedup(all_works(t)).select("work_idx", "title")
 
 
 @query
@@ -89,7 +108,7 @@ def corpus_refs(t):
 @query
 def refs_nested_explode(t):
     nested = t.references().groupBy("citer_idx").agg(F.collect_list("cited_idx").alias("cited_list"))
-    return corpus.corpus_references(nested, t.works().filter("publication_year >= 1997"))
+    return corpus.corpus_references(nested, all_works(t).filter("publication_year >= 1997"))
 
 
 @query
@@ -251,7 +270,7 @@ def rankings(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    return works.work_v(flat(t), rankings(t))
+    return kept(t, "scored", lambda: works.work_v(flat(t), rankings(t)))
 
 
 @query
@@ -265,9 +284,9 @@ def citer_counts(t):
 
 
 def flagged(t: Tables) -> DataFrame:
-    years = corpus.filtered_works(t.works(), t.sources(), CORPUS).select("work_idx", "publication_year")
+    years = corpus.filtered_works(all_works(t), t.sources(), CORPUS).select("work_idx", "publication_year")
     w = scored(t).join(years, "work_idx").join(works.citer_counts(scored(t), references(t)), ["field_idx", "work_idx"], "left").fillna(0, ["n_intra"])
-    return works.hcw_flags(w, 0.9)
+    return kept(t, "flagged", lambda: works.hcw_flags(w, 0.9))
 
 
 @query
@@ -336,7 +355,7 @@ def connected_components(t):
 
 @query
 def seed_citations(t):
-    return graph.seed_citations(references(t), t.works().filter("cited_by_count >= 3"))
+    return graph.seed_citations(references(t), all_works(t).filter("cited_by_count >= 3"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its plan becomes a scan, with sizes that the planner can use."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillgraph-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A broadcast hint, if a count allows it."""
     return F.broadcast(df) if df.count() <= most else df
