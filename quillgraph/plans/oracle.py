@@ -102,8 +102,8 @@ _BI = {
 }
 _RE = lambda c: f"round({c}, 9) {c.split('.')[-1]}"
 _EL = "citer_work_idx, citer_source_idx, citer_inst_idx, round(inst_weight, 9) inst_weight, round(direct_inst_weight, 9) direct_inst_weight, cited_work_idx, cited_source_idx, cited_inst_idx, round(cited_inst_weight, 9) cited_inst_weight, round(direct_cited_inst_weight, 9) direct_cited_inst_weight, round(edge_field_weight, 9) edge_field_weight, round(R_i, 9) R_i"
-_KEYS = "SELECT p_partkey id, split_part(p_name, ' ', 1) f, split_part(p_name, ' ', 2) l, substr(p_name, 1, 1) fi, p_brand m FROM part WHERE p_partkey < 400"
-_TOK = "SELECT p_partkey id, list_distinct(list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) t FROM part WHERE p_partkey < 150"
+_KEYS = "SELECT p_partkey id, split_part(p_name, ' ', 1) f, split_part(p_name, ' ', 2) l, substr(p_name, 1, 1) fi, p_brand m FROM part"
+_TOK = "SELECT p_partkey id, list_distinct(list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) t FROM part"
 
 SQL: dict[str, str] = {
     "work_filter_semi": sql("SELECT work_idx, source_idx, publication_year, title FROM picked"),
@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
     ),
     "coauthor_evidence": sql(
         "SELECT x.cluster, x.a, x.b, coalesce(u.n, 0) n_a, coalesce(v.n, 0) n_b, coalesce(s.n, 0) n_shared, round(coalesce(s.n, 0) / greatest(1, coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(s.n, 0))::DOUBLE, 9) jaccard FROM pr x LEFT JOIN nc u ON u.author_idx = a LEFT JOIN nc v ON v.author_idx = b LEFT JOIN sh s ON s.a = x.a AND s.b = x.b",
-        cl="SELECT DISTINCT author_idx // 30 cluster, author_idx FROM auth WHERE author_idx % 3 = 0",
+        cl="SELECT DISTINCT author_idx // 10 cluster, author_idx FROM auth",
         pr="SELECT p.cluster, p.author_idx a, r.author_idx b FROM cl p JOIN cl r ON p.cluster = r.cluster AND p.author_idx < r.author_idx",
         co="SELECT DISTINCT m.author_idx, o.author_idx c FROM auth m JOIN auth o USING (work_idx) WHERE m.author_idx <> o.author_idx AND m.author_idx IN (SELECT author_idx FROM cl)",
         nc="SELECT author_idx, count(*) n FROM co GROUP BY 1",
@@ -214,9 +214,4 @@ SQL: dict[str, str] = {
   u AS (SELECT g, doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc)) w FROM w),
   m AS (SELECT u.g, term, coalesce(sum(u.w) FILTER (inside), 0) / max(ni) a, coalesce(sum(u.w) FILTER (NOT inside), 0) / max(no) b FROM u JOIN d USING (doc) JOIN n ON n.g = u.g WHERE ni >= 10 AND no >= 10 GROUP BY ALL)
   SELECT g "group", term, round(a, 6) mean_enc, round(b, 6) mean_non, row_number() OVER (PARTITION BY g ORDER BY round(a / (b + 1e-9) * a, 9) DESC, term)::INT rank FROM m QUALIFY rank <= 5""",
-    "connected_components": sql(
-        "SELECT node, min(r) label FROM reach GROUP BY 1",
-        e="SELECT citer_idx a, cited_idx b FROM refs WHERE citer_idx % 4 = 0 UNION SELECT cited_idx, citer_idx FROM refs WHERE citer_idx % 4 = 0",
-        reach="SELECT a node, a r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.node",
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
 }

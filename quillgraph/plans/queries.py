@@ -342,13 +342,13 @@ def crossfield_scores(t):
 
 @query
 def coauthor_evidence(t):
-    c = t.authorships().filter("author_idx % 3 = 0").select((F.floor(F.col("author_idx") / 30)).alias("cluster"), "author_idx").distinct()
+    c = t.authorships().select((F.floor(F.col("author_idx") / 10)).alias("cluster"), "author_idx").distinct()
     return authors.coauthor_evidence(c, t.authorships()).select("cluster", "a", "b", "n_a", "n_b", "n_shared", *r9("jaccard"))
 
 
 @query
 def connected_components(t):
-    r = t.references().filter("citer_idx % 4 = 0")
+    r = t.references()
     nodes = r.select("citer_idx").union(r.select("cited_idx")).distinct()
     return graph.connected_components(nodes, r)
 
@@ -429,13 +429,13 @@ def person_profile(t):
 @query
 def waterfall_match(t):
     key = lambda df, name: df.select(F.col("p_partkey").alias(name), F.split("p_name", " ")[0].alias("first"), F.split("p_name", " ")[1].alias("last"), F.substring("p_name", 1, 1).alias("fi"), F.col("p_brand").alias("mid"))
-    p = t.raw("part").filter("p_partkey < 400")
+    p = t.raw("part")
     return names.waterfall(key(p.filter("p_partkey % 2 = 0"), "person"), key(p.filter("p_partkey % 2 = 1"), "candidate"), [("first", "mid", "last"), ("first", "last"), ("fi", "mid", "last"), ("fi", "last")])
 
 
 @query
 def token_jaccard(t):
-    d = t.raw("part").filter("p_partkey < 150").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    d = t.raw("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
     return names.token_jaccard(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"), 0.5).withColumn("jaccard", F.round("jaccard", 9))
 
 

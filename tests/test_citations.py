@@ -133,7 +133,7 @@ def test_run_checks_its_parameters():
         Run(mask="2222")
 
 
-@pytest.mark.parametrize("name", ["flat_works", "edge_list_epsilon", "bipartite_perron", "rank_by_mask", "hcw_flags", "waterfall_match", "connected_components"])
+@pytest.mark.parametrize("name", ["flat_works", "edge_list_epsilon", "bipartite_perron", "rank_by_mask", "hcw_flags", "waterfall_match"])
 def test_query_against_sql(spark, name):
     import __spark_entry__ as e
 
