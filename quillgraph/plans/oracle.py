@@ -194,7 +194,7 @@ SQL: dict[str, str] = {
         li="SELECT source_idx list_id, CASE WHEN source_idx % 10 = 0 THEN lpad(((source_idx + 1) // 7)::VARCHAR, 4, '0') || lpad(((source_idx + 1) % 977)::VARCHAR, 4, '0') END i, upper(replace(display_name, '#', ' - ')) title FROM src WHERE source_idx % 5 = 0",
         one="SELECT list_id, min(source_idx) source_idx, 'issn' match_method FROM li JOIN sk USING (i) GROUP BY 1",
     ),
-    "person_profile": sql("SELECT author_idx, count(DISTINCT work_idx) n_works, count(DISTINCT CASE WHEN work_v >= 1 THEN work_idx END) n_hi, round(median(work_v), 9) median_v, round(coalesce(avg(mean_inst_v), 0), 9) mean_inst_v, string_agg(DISTINCT field_idx::VARCHAR, '; ' ORDER BY field_idx::VARCHAR) fields, round(count(DISTINCT CASE WHEN work_v >= 1 THEN work_idx END) / count(DISTINCT work_idx)::DOUBLE, 9) share_hi FROM wv JOIN (SELECT DISTINCT work_idx, author_idx FROM auth) USING (work_idx) GROUP BY 1"),
+    "person_profile": sql("SELECT author_idx, count(DISTINCT work_idx) n_works, count(DISTINCT CASE WHEN round(work_v, 9) >= 1 THEN work_idx END) n_hi, round(median(work_v), 9) median_v, round(coalesce(avg(mean_inst_v), 0), 9) mean_inst_v, string_agg(DISTINCT field_idx::VARCHAR, '; ' ORDER BY field_idx::VARCHAR) fields, round(count(DISTINCT CASE WHEN round(work_v, 9) >= 1 THEN work_idx END) / count(DISTINCT work_idx)::DOUBLE, 9) share_hi FROM wv JOIN (SELECT DISTINCT work_idx, author_idx FROM auth) USING (work_idx) GROUP BY 1"),
     "waterfall_match": sql(
         "SELECT person, candidate, min(s)::INT stage FROM m GROUP BY 1, 2, (s) QUALIFY s = min(s) OVER (PARTITION BY person)",
         kk=_KEYS,

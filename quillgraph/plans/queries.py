@@ -418,7 +418,7 @@ def issn_title_match(t):
 def person_profile(t):
     w = scored(t).join(t.authorships().select("work_idx", "author_idx").distinct(), "work_idx")
     return w.groupBy("author_idx").agg(
-        F.countDistinct("work_idx").alias("n_works"), F.countDistinct(F.when(F.col("work_v") >= 1, F.col("work_idx"))).alias("n_hi"), F.round(F.median("work_v"), 9).alias("median_v"),
+        F.countDistinct("work_idx").alias("n_works"), F.countDistinct(F.when(F.round("work_v", 9) >= 1, F.col("work_idx"))).alias("n_hi"), F.round(F.median("work_v"), 9).alias("median_v"),
         F.round(F.coalesce(F.avg("mean_inst_v"), F.lit(0.0)), 9).alias("mean_inst_v"), F.array_join(F.sort_array(F.collect_set(F.col("field_idx").cast("string"))), "; ").alias("fields"),
     ).withColumn("share_hi", F.round(F.col("n_hi") / F.col("n_works"), 9))
 
