@@ -83,9 +83,9 @@ def targets(sizes: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
     return s.select("source_", "kind", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def planned(docs: DataFrame, whole: bool, c: Curriculum = PRODUCTION) -> DataFrame:
-    """docs as struct `doc` with size, source_size, target, kind, goal (whole words), offset in a pass, passes and taken."""
-    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("source_"), F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
+def planned(docs: DataFrame, whole: bool, carry: list[str], c: Curriculum = PRODUCTION) -> DataFrame:
+    """Columns `carry` of docs as struct `doc`, which the shuffles carry, with size, source_size, target, kind, goal (whole words), offset in a pass, passes and taken."""
+    d = docs.select(F.struct(*carry).alias("doc"), F.col("source").alias("source_"), F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
     small = written(d.select("source_", "size", "key"), "sizes")
     digits = max(1, math.ceil(math.log(max(small.count(), 1) / c.bucket_rows + 1, 16)))
     goals = written(targets(small, c), "targets")
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
 
     A source's stream ends exactly at its target; at most one document a source is taken in part in its last pass.
     """
-    d = planned(docs, False, c)
+    d = planned(docs, False, ["doc_id"], c)
     d = d.withColumn("position", F.when(F.col("taken") > 0, position(F.lit(0), c)))
     d = d.select("doc.doc_id", "size", "source_size", "target", "taken", "position")
     return d.orderBy(F.col("position").asc_nulls_last(), "doc_id")
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
 
 def mix_documents(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
     """The mix itself: rows of docs, whole, once for each time they are taken, range-sorted by training time."""
-    d = planned(docs, True, c)
+    d = planned(docs, True, docs.columns, c)
     d = d.filter((F.col("taken") > 0)).withColumn("pass", F.explode(F.expr("sequence(0, CAST(passes AS INT) + CASE WHEN last > 0 THEN 0 ELSE -1 END)")))
     return d.withColumn("position", position(F.col("pass"), c)).orderBy("position", "key").select("doc.*")
 
