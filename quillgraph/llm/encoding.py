@@ -7,6 +7,9 @@ every blank or line feed that stands after a character which isn't white space,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -37,10 +40,30 @@ class Cache(dict):
         return x
 
 
+#: Texts are worked on in groups of about so many characters, so that few pieces are held at once.
+GROUP = 1 << 20
+
+
+def groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    group, size = [], 0
+    for t in texts:
+        group.append(t or "")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned integers of the given kind."""
+    """Ids of texts as bytes of little-endian unsigned integers of the given kind.
 
-    def __init__(self, path: str, kind: str = "<u2"):
+    The pieces of a group of texts that no cache entry knows go to the library in one call. A full cache drops its later
+    half before a group, so the earlier entries stay, which hold the frequent pieces.
+    """
+
+    def __init__(self, path: str, kind: str = "<u2", most: int = 600_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -48,8 +71,32 @@ class Encoder:
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.t.get_vocab_size() > np.iinfo(kind).max + 1:
             raise ValueError(f"the vocabulary does not fit {kind}")
-        self.kind = np.dtype(kind)
-        self.cache = Cache(lambda p: np.array(self.t.encode(p, add_special_tokens=False).ids, self.kind).tobytes())
+        self.kind, self.most = np.dtype(kind), most
+        self.cache: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.t.encode_batch_fast(new, add_special_tokens=False)]
+        raw, at = np.fromiter(chain.from_iterable(ids), self.kind).tobytes(), 0
+        for piece, x in zip(new, ids):
+            end = at + len(x) * self.kind.itemsize
+            self.cache[piece] = raw[at:end]
+            at = end
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn; null: none."""
+        for group in groups(texts):
+            cut = [pieces(t) if t else [] for t in group]
+            if len(self.cache) >= self.most:
+                for _ in range(self.most // 2):
+                    self.cache.popitem()
+            self.learn(list(set().union(*cut).difference(self.cache)))
+            yield from (b"".join(map(self.cache.__getitem__, c)) for c in cut)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.cache.__getitem__, pieces(text))) if text else b""
+        return next(self.encode_all([text]))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str = "<u2") -> Encoder:
+    """One for all tasks of a worker process, so that later tasks find its cache filled."""
+    return Encoder(path, kind)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import shared_path, table, written
-from .encoding import Encoder
+from .encoding import encoder
 from .shards import Reader, Shard
 
 END, BLOCK_IDS = 50_256, 1 << 20
@@ -35,15 +35,15 @@ def write_flat(docs: DataFrame, vocabulary: str, end: int = END) -> tuple[DataFr
     folder = shared_path(docs.sparkSession, "flat")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, ordinal = Encoder(vocabulary), None, 0
+        enc, shard, ordinal = encoder(vocabulary), None, 0
         ending = np.array([end], "<u2").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if shard is None:
                 shard = Shard(folder, TaskContext.get().partitionId(), TaskContext.get().taskAttemptId())
-            for text in batch.column(1):
-                shard.write(enc.encode(text.as_py()) + ending)
+            for ids in enc.encode_all(text.as_py() for text in batch.column(1)):
+                shard.write(ids + ending)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([shard.name] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0), pa.nulls(n, pa.int64())], names=["file", "ordinal", "doc_id", "ids"])
             ordinal += n

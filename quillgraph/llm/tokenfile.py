@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import shared_path, table, written
-from .encoding import Encoder
+from .encoding import encoder
 from .shards import Reader, Shard
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIQIQ")
@@ -85,7 +85,7 @@ def write_files(docs: DataFrame, vocabulary: str, end: int = END, block_ids: int
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, rows = Encoder(vocabulary), None, []
+        enc, shard, rows = encoder(vocabulary), None, []
         ending = np.array([end], "<u2").tobytes()
         ids: list[bytes] = []
         held: list[tuple] = []
@@ -99,10 +99,10 @@ def write_files(docs: DataFrame, vocabulary: str, end: int = END, block_ids: int
             count = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, b in zip(batch.column(0).to_pylist(), enc.encode_all(text.as_py() for text in batch.column(1))):
                 if shard is None:
                     shard = Shard(folder, TaskContext.get().partitionId(), TaskContext.get().taskAttemptId())
-                b = enc.encode(text.as_py()) + ending
+                b += ending
                 ids.append(b)
                 held.append((doc_id, len(b) // 2))
                 count += len(b) // 2
