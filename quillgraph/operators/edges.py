@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.model import MASKS, SENTINEL, Run
+from quillgraph.operators import graph
 
 
 def retained(sc: DataFrame, ic: DataFrame, run: Run, group: int, whitelist: DataFrame | None = None, whitelist_least: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -160,6 +161,28 @@ def blocks(el: DataFrame, s: DataFrame, u: DataFrame, run: Run) -> Blocks:
     return Blocks(out, src, inst)
 
 
+def giant(b: Blocks, run: Run) -> Blocks:
+    """Units and blocks cut to the giant strongly connected component of all blocks together; sentinels stay. A side that no
+    block has is left alone. Units are (type, idx) folded to 2 idx + type."""
+    kinds = {"s": 0, "i": 1}
+    code = lambda c, side: (2 * F.col(c) + kinds[side]).alias(c)
+    parts = [df.select(code("src", k[0]), code("dst", k[1])) for k, df in b.blocks.items()]
+    h = parts[0]
+    for p in parts[1:]:
+        h = h.unionByName(p)
+    nodes = graph.giant_scc(h)
+    keep = {}
+    for side, t in kinds.items():
+        ids = nodes.filter(F.col("node") % 2 == t).select(F.shiftright("node", 1).alias("unit_idx"))
+        keep[side] = ids.union(nodes.sparkSession.createDataFrame([(SENTINEL,)], "unit_idx long")).distinct() if run.epsilon else ids
+    out = {}
+    for k, df in b.blocks.items():
+        d = df.join(keep[k[0]].toDF("src"), "src", "left_semi")
+        out[k] = d.join(keep[k[1]].toDF("dst"), "dst", "left_semi").select("src", "dst", "w")
+    of = lambda units, side: units.join(keep[side], "unit_idx", "left_semi") if any(side in k for k in b.blocks) else units
+    return Blocks(out, of(b.sources, "s"), of(b.institutions, "i"))
+
+
 def row_normalised(b: DataFrame) -> DataFrame:
     """Rows that sum to 1; rows without weight stay empty."""
     total = F.sum("w").over(W.partitionBy("src"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from quillgraph.model import SENTINEL, Run
 from quillgraph.operators.edges import Blocks, row_normalised
+from quillgraph.operators.graph import local_giant
 from quillgraph.sources.shared import cut
 
 EVERY = 5
@@ -236,9 +237,12 @@ def second_value(h: DataFrame, units: DataFrame, steps: int = 40) -> tuple[float
 
 
 def local_power(edges: DataFrame, steps: int = 200, tol: float = 1e-12) -> DataFrame:
-    """Perron scores of many small graphs at once: edges have group_idx, src, dst, w; a group must fit a task."""
+    """Perron scores of many small graphs at once, of each the giant strongly connected component: edges have group_idx,
+    src, dst, w; a group must fit a task."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, giant = pdf["group_idx"].iloc[0], local_giant(list(zip(pdf["src"].tolist(), pdf["dst"].tolist())))
+        pdf = pdf[pdf["src"].isin(giant) & pdf["dst"].isin(giant)]
         ids, code = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
         src, dst, w = code[: len(pdf)], code[len(pdf) :], pdf["w"].to_numpy()
         w = w / np.bincount(src, w, len(ids))[src]
@@ -250,6 +254,6 @@ def local_power(edges: DataFrame, steps: int = 200, tol: float = 1e-12) -> DataF
             x = y
             if done:
                 break
-        return pd.DataFrame({"group_idx": pdf["group_idx"].iloc[0], "unit_idx": ids, "pi": x})
+        return pd.DataFrame({"group_idx": group, "unit_idx": ids, "pi": x})
 
     return edges.select("group_idx", "src", "dst", "w").groupBy("group_idx").applyInPandas(solve, "group_idx long, unit_idx long, pi double")

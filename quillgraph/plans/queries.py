@@ -190,54 +190,59 @@ def active_units(t):
 # ranking
 
 
-@query
-def power_ii(t):
-    b = made_blocks(t, replace(RUN, mask="0001"))
-    return spectral.power(b.blocks["ii"], b.institutions, STEPS).select("unit_idx", *r9("pi"))
+def ranking(**options) -> Callable:
+    """Registers a ranking twice: as its SQL has it, of all active units, and as giant_..., the whole job, of the giant component."""
 
+    def register(f: Callable[[edges.Blocks, int], DataFrame]) -> Callable:
+        run = replace(RUN, **options)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(made_blocks(Tables(spark, sf_dir), run), STEPS)
+        QUERIES[f"giant_{f.__name__}"] = lambda spark, sf_dir: f(edges.giant(made_blocks(Tables(spark, sf_dir), run), run), STEPS)
+        return f
 
-@query
-def power_ss(t):
-    b = made_blocks(t, replace(RUN, mask="1000"))
-    return spectral.power(b.blocks["ss"], b.sources, STEPS).select("unit_idx", *r9("pi"))
+    return register
 
 
-@query
-def katz_uniform(t):
-    b = made_blocks(t, replace(RUN, mask="0001"))
-    return spectral.power(b.blocks["ii"], b.institutions, STEPS, 0.85).select("unit_idx", *r9("pi"))
+@ranking(mask="0001")
+def power_ii(b, steps):
+    return spectral.power(b.blocks["ii"], b.institutions, steps).select("unit_idx", *r9("pi"))
 
 
-@query
-def katz_unit_scaled(t):
-    b = made_blocks(t, replace(RUN, mask="0001"))
-    return spectral.power(b.blocks["ii"], b.institutions, STEPS, 0.85, spectral.unit_scaled(b.institutions)).select("unit_idx", *r9("pi"))
+@ranking(mask="1000")
+def power_ss(b, steps):
+    return spectral.power(b.blocks["ss"], b.sources, steps).select("unit_idx", *r9("pi"))
 
 
-@query
-def bipartite_perron(t):
-    b = made_blocks(t, RUN)
-    s, u = spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, STEPS)
+@ranking(mask="0001")
+def katz_uniform(b, steps):
+    return spectral.power(b.blocks["ii"], b.institutions, steps, 0.85).select("unit_idx", *r9("pi"))
+
+
+@ranking(mask="0001")
+def katz_unit_scaled(b, steps):
+    return spectral.power(b.blocks["ii"], b.institutions, steps, 0.85, spectral.unit_scaled(b.institutions)).select("unit_idx", *r9("pi"))
+
+
+@ranking()
+def bipartite_perron(b, steps):
+    s, u = spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, steps)
     return s.select(F.lit("S").alias("unit_type"), "unit_idx", *r9("pi")).union(u.select(F.lit("U"), "unit_idx", *r9("pi")))
 
 
-@query
-def joint_chi(t):
-    run = replace(RUN, mask="1111")
-    h, us = spectral.joint_graph(made_blocks(t, run))
-    return spectral.power(h, us, STEPS).select("unit_idx", *r9("pi"))
+@ranking(mask="1111")
+def joint_chi(b, steps):
+    h, us = spectral.joint_graph(b)
+    return spectral.power(h, us, steps).select("unit_idx", *r9("pi"))
 
 
-@query
-def rank_dense(t):
-    b = made_blocks(t, replace(RUN, mask="0001"))
-    v = spectral.size_adjusted(spectral.power(b.blocks["ii"], b.institutions, STEPS), b.institutions).select("unit_idx", F.lit("U").alias("unit_type"), *r9("pi"), F.round("v", 6).alias("v"))
+@ranking(mask="0001")
+def rank_dense(b, steps):
+    v = spectral.size_adjusted(spectral.power(b.blocks["ii"], b.institutions, steps), b.institutions).select("unit_idx", F.lit("U").alias("unit_type"), *r9("pi"), F.round("v", 6).alias("v"))
     return spectral.dense_ranks(v)
 
 
-@query
-def rank_by_mask(t):
-    return spectral.rank(made_blocks(t, RUN), RUN, STEPS).select("unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
+@ranking()
+def rank_by_mask(b, steps):
+    return spectral.rank(b, RUN, steps).select("unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
 
 
 @query
@@ -247,7 +252,7 @@ def giant_scc(t):
 
 @query
 def rank_all_fields_local(t):
-    """Institution graphs of all fields, ranked in one job."""
+    """Institution graphs of all fields, of each the giant component, ranked in one job."""
     fw = flat(t)
     refs = references(t)
     a = fw.select(F.col("work_idx").alias("citer_idx"), "field_idx", F.col("institution_idx").alias("src"), (F.col("inst_weight") * F.col("field_weight")).alias("wa"))
@@ -471,5 +476,5 @@ def nmf_topics(t):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Institutions ranked by the Perron vector of their citation graph."""
-    return QUERIES["rank_dense"](spark, sf_dir)
+    """Institutions of the giant component ranked by the Perron vector of their citation graph."""
+    return QUERIES["giant_rank_dense"](spark, sf_dir)

@@ -103,6 +103,35 @@ def test_components(spark):
     assert sorted(r[0] for r in graph.giant_scc(d).collect()) == [1, 2, 3]
 
 
+def test_ranking_is_cut_to_the_giant_component(spark):
+    cycle = [(1, 2), (2, 3), (3, 1), (2, 1), (3, 9), (8, 1)]  # 9 is a sink, 8 is never reached
+    units = spark.createDataFrame([(k, 1.0) for k in (1, 2, 3, 7, 8, 9)], "unit_idx long, a_p double")
+    h = spark.createDataFrame([(a, b, 1.0) for a, b in cycle], "src long, dst long, w double")
+    b = edges.Blocks({"ii": h}, units, units)
+    g = edges.giant(b, Run(mask="0001"))
+    assert sorted(r[0] for r in g.institutions.select("unit_idx").collect()) == [1, 2, 3] and g.sources.count() == 6
+    assert sorted((r["src"], r["dst"]) for r in g.blocks["ii"].collect()) == sorted(cycle[:4])
+    si = spark.createDataFrame([(1, 4, 1.0), (5, 4, 1.0)], "src long, dst long, w double")
+    is_ = spark.createDataFrame([(4, 5, 1.0), (4, 6, 1.0)], "src long, dst long, w double")
+    unit = lambda *x: spark.createDataFrame([(k, 1.0) for k in x], "unit_idx long, a_p double")
+    for epsilon, want in ((0, [5]), (1, [1, 5])):  # the sentinel, 1, lies outside the component
+        g = edges.giant(edges.Blocks({"si": si, "is": is_}, unit(1, 5, 6), unit(4, 7)), Run(epsilon=epsilon))
+        assert sorted(r[0] for r in g.sources.select("unit_idx").collect()) == want and [r[0] for r in g.institutions.collect()] == [4]
+    e = h.selectExpr("17L group_idx", "src", "dst", "w")
+    got = {r["unit_idx"]: r["pi"] for r in spectral.local_power(e).collect()}
+    assert got == pytest.approx({1: 0.4, 2: 0.4, 3: 0.2})
+
+
+def test_flagship_ranks_the_giant_component(spark):
+    from quillgraph.plans import queries as q
+
+    assert q.flagship(spark, "/root/testdata/sf0.001").count() == 10
+    d = "/root/testdata/sf0.01"
+    t = q.Tables(spark, d)
+    s = {r[0] for r in q.QUERIES["giant_scc"](spark, d).collect()}
+    assert {r[0] for r in q.QUERIES["giant_power_ss"](spark, d).collect()} == s and len(s) < q.made_blocks(t, q.replace(q.RUN, mask="1000")).sources.count()
+
+
 def test_hcw_all_equal_are_flagged(spark):
     w = spark.createDataFrame([(17, k, 2020, 0) for k in range(5)], "field_idx long, work_idx long, publication_year long, n_intra long")
     assert works.hcw_flags(w).filter("is_hcw").count() == 5
