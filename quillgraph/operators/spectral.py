@@ -20,6 +20,19 @@ from quillgraph.sources.shared import cut
 EVERY = 5
 #: Up to so many edges a graph is solved by numpy on the driver, which a count checks; beyond, by joins.
 LOCAL_EDGES = 1_000_000
+#: Where no number of steps is given, iterations end when the scores' summed change is below TOL, and fail after MOST steps.
+TOL, MOST = 1e-9, 500
+#: The share of the last scores that then stays in each step, so that graphs of even period converge to the same vector.
+HELD = 0.1
+
+
+class NotConverged(RuntimeError):
+    pass
+
+
+def settled(change: float, tol: float) -> None:
+    if not change < tol:
+        raise NotConverged(f"scores still change by {change:.3g} after {MOST} steps; the tolerance is {tol:g}")
 
 
 class Local:
@@ -76,20 +89,24 @@ def unit_scaled(units: DataFrame) -> DataFrame:
     return unit_sum(units.select("unit_idx", F.col("a_p").alias("pi")))
 
 
-def power(h: DataFrame, units: DataFrame, steps: int, alpha: float = 1.0, prior: DataFrame | None = None, tol: float | None = None) -> DataFrame:
-    """steps of x <- alpha h'x + (1 - alpha) prior from the prior, then scaled to sum 1. With tol it ends early, when the
-    scores' summed change falls below it."""
+def power(h: DataFrame, units: DataFrame, steps: int | None = None, alpha: float = 1.0, prior: DataFrame | None = None, tol: float = TOL) -> DataFrame:
+    """steps of x <- alpha h'x + (1 - alpha) prior from the prior, then scaled to sum 1. Without steps it goes on until the
+    scores' summed change falls below tol."""
+    whole = steps is None
+    steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
     if is_small(h):
         us = ids(units)
         g, m = Local(h, us, us), vector(prior, us) if prior is not None else np.full(len(us), 1 / max(len(us), 1))
         x = m
         for _ in range(steps):
             y = alpha * g.step(x) + (1 - alpha) * m
-            y = y / (y.sum() or 1.0) if alpha == 1 else y
-            done = tol is not None and np.abs(y - x).sum() < tol
+            y = held * x + (1 - held) * y / (y.sum() or 1.0) if alpha == 1 else y
+            last = np.abs(y - x).sum()
             x = y
-            if done:
+            if whole and last < tol:
                 break
+        if whole:
+            settled(last, tol)
         return frame(units, us, x)
     h = row_normalised(h).repartition("src").persist()
     mu = cut(prior if prior is not None else uniform(units))
@@ -98,13 +115,19 @@ def power(h: DataFrame, units: DataFrame, steps: int, alpha: float = 1.0, prior:
         y = matvec(h, x, units)
         if alpha < 1:
             y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
+        if held:
+            y = unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
         if (k + 1) % EVERY == 0 or k + 1 == steps:
             y = cut(unit_sum(y) if alpha == 1 else y)
-            if tol is not None and change(x, y) < tol:
-                x = y
-                break
+            if whole:
+                last = change(x, y)
+                if last < tol:
+                    x = y
+                    break
         x = y
     h.unpersist()
+    if whole:
+        settled(last, tol)
     return unit_sum(x)
 
 
@@ -128,9 +151,12 @@ def katz(h: DataFrame, units: DataFrame, steps: int, alpha: float, prior: DataFr
     return unit_sum(x)
 
 
-def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, steps: int, alpha: float = 1.0, mu_s: DataFrame | None = None, mu_u: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, steps: int | None = None, alpha: float = 1.0, mu_s: DataFrame | None = None, mu_u: DataFrame | None = None, tol: float = TOL) -> tuple[DataFrame, DataFrame]:
     """Scores of sources and institutions, each side summing to a half. The two-step chain is never formed: a step goes to
-    institutions and back. alpha damps each hop; below 1 the prior is that of sources plus that of institutions, one hop on."""
+    institutions and back. alpha damps each hop; below 1 the prior is that of sources plus that of institutions, one hop on.
+    Without steps it goes on until the sources' scores change by less than tol."""
+    whole = steps is None
+    steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
     if is_small(si, is_):
         a, b = ids(sources), ids(institutions)
         out, back = Local(si, a, b), Local(is_, b, a)
@@ -142,8 +168,14 @@ def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: D
             mu = mu / (mu.sum() or 1.0)
         x = mu
         for _ in range(steps):
-            x = alpha * alpha * back.step(out.step(x)) + (1 - alpha * alpha) * mu
-            x = x / (x.sum() or 1.0) if alpha == 1 else x
+            y = alpha * alpha * back.step(out.step(x)) + (1 - alpha * alpha) * mu
+            y = held * x + (1 - held) * y / (y.sum() or 1.0) if alpha == 1 else y
+            last = np.abs(y - x).sum()
+            x = y
+            if whole and last < tol:
+                break
+        if whole:
+            settled(last, tol)
         u = out.step(x) if n is None else alpha * out.step(x) + (1 - alpha) * n
         return frame(sources, a, x, 0.5), frame(sources, b, u, 0.5)
     h_si, h_is = row_normalised(si).persist(), row_normalised(is_).persist()
@@ -158,7 +190,18 @@ def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: D
         y = matvec(h_is, matvec(h_si, x, institutions), sources)
         if alpha < 1:
             y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * alpha * F.col("pi") + (1 - alpha * alpha) * F.col("mu")).alias("pi"))
-        x = cut(unit_sum(y)) if (k + 1) % EVERY == 0 or k + 1 == steps else y
+        if held:
+            y = unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
+        if (k + 1) % EVERY == 0 or k + 1 == steps:
+            y = cut(unit_sum(y))
+            if whole:
+                last = change(x, y)
+                if last < tol:
+                    x = y
+                    break
+        x = y
+    if whole:
+        settled(last, tol)
     u = matvec(h_si, x, institutions)
     if alpha < 1:
         u = u.join(mu_u.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
@@ -196,8 +239,8 @@ def dense_ranks(r: DataFrame) -> DataFrame:
     return r.withColumns({"rank_pi": F.dense_rank().over(by("pi")).cast("int"), "rank_v": F.dense_rank().over(by("v")).cast("int")})
 
 
-def rank(b: Blocks, run: Run, steps: int = 60) -> DataFrame:
-    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask."""
+def rank(b: Blocks, run: Run, steps: int | None = None) -> DataFrame:
+    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask. Without steps it iterates to the tolerance."""
     typed = lambda x, t: x.withColumn("unit_type", F.lit(t))
     prior = unit_scaled if run.prior == "unit_scaled" else uniform
     if run.mask == "1000":
@@ -236,9 +279,9 @@ def second_value(h: DataFrame, units: DataFrame, steps: int = 40) -> tuple[float
     return mass, value
 
 
-def local_power(edges: DataFrame, steps: int = 200, tol: float = 1e-12) -> DataFrame:
+def local_power(edges: DataFrame, steps: int = MOST, tol: float = 1e-12) -> DataFrame:
     """Perron scores of many small graphs at once, of each the giant strongly connected component: edges have group_idx,
-    src, dst, w; a group must fit a task."""
+    src, dst, w; a group must fit a task. Iterates to tol; what is not below TOL after all steps fails."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         group, giant = pdf["group_idx"].iloc[0], local_giant(list(zip(pdf["src"].tolist(), pdf["dst"].tolist())))
@@ -246,14 +289,15 @@ def local_power(edges: DataFrame, steps: int = 200, tol: float = 1e-12) -> DataF
         ids, code = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
         src, dst, w = code[: len(pdf)], code[len(pdf) :], pdf["w"].to_numpy()
         w = w / np.bincount(src, w, len(ids))[src]
-        x = np.full(len(ids), 1 / len(ids))
+        x, last = np.full(len(ids), 1 / max(len(ids), 1)), 0.0
         for _ in range(steps):
             y = np.bincount(dst, w * x[src], len(ids))
-            y /= y.sum() or 1.0
-            done = np.abs(y - x).sum() < tol
+            y = HELD * x + (1 - HELD) * y / (y.sum() or 1.0)
+            last = np.abs(y - x).sum()
             x = y
-            if done:
+            if last < tol:
                 break
+        settled(last, TOL)
         return pd.DataFrame({"group_idx": group, "unit_idx": ids, "pi": x})
 
     return edges.select("group_idx", "src", "dst", "w").groupBy("group_idx").applyInPandas(solve, "group_idx long, unit_idx long, pi double")

@@ -191,12 +191,13 @@ def active_units(t):
 
 
 def ranking(**options) -> Callable:
-    """Registers a ranking twice: as its SQL has it, of all active units, and as giant_..., the whole job, of the giant component."""
+    """Registers a ranking twice: as its SQL has it, of all active units, and as giant_..., the whole job, of the giant component
+    and to the tolerance."""
 
-    def register(f: Callable[[edges.Blocks, int], DataFrame]) -> Callable:
+    def register(f: Callable[[edges.Blocks, int | None], DataFrame]) -> Callable:
         run = replace(RUN, **options)
         QUERIES[f.__name__] = lambda spark, sf_dir: f(made_blocks(Tables(spark, sf_dir), run), STEPS)
-        QUERIES[f"giant_{f.__name__}"] = lambda spark, sf_dir: f(edges.giant(made_blocks(Tables(spark, sf_dir), run), run), STEPS)
+        QUERIES[f"giant_{f.__name__}"] = lambda spark, sf_dir: f(edges.giant(made_blocks(Tables(spark, sf_dir), run), run), None)
         return f
 
     return register

@@ -122,6 +122,31 @@ def test_ranking_is_cut_to_the_giant_component(spark):
     assert got == pytest.approx({1: 0.4, 2: 0.4, 3: 0.2})
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_rankings_reach_the_tolerance_or_fail(spark, monkeypatch, local):
+    monkeypatch.setattr(spectral, "LOCAL_EDGES", local)
+    # two pairs hardly joined, of period 2
+    slow = [(0, 1, 0.95), (1, 0, 0.95), (2, 3, 0.85), (3, 2, 0.85), (0, 3, 0.05), (1, 2, 0.05), (2, 1, 0.15), (3, 0, 0.15)]
+    h = spark.createDataFrame(slow, "src long, dst long, w double")
+    units = spark.createDataFrame([(k, 1.0) for k in range(4)], "unit_idx long, a_p double")
+    want = {0: 0.375, 1: 0.375, 2: 0.125, 3: 0.125}
+    b = edges.Blocks({"ii": h}, units, units)
+    if local:
+        got = {r["unit_idx"]: r["pi"] for r in spectral.rank(b, Run(mask="0001")).collect()}
+        assert got == pytest.approx(want, abs=1e-7)
+        tell = {r["unit_idx"]: r["pi"] for r in spectral.local_power(h.selectExpr("17L group_idx", "*")).collect()}
+        assert tell == pytest.approx(want, abs=1e-7)
+        one = spark.createDataFrame([(k, k, 1.0) for k in range(4)], "src long, dst long, w double")
+        assert {r["unit_idx"]: r["pi"] for r in spectral.bipartite(h, one, units, units)[0].collect()} == pytest.approx({k: x / 2 for k, x in want.items()}, abs=1e-7)
+        path = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 1.0)], "src long, dst long, w double")
+        got = {r["unit_idx"]: r["pi"] for r in spectral.power(path, units.filter("unit_idx < 3")).collect()}
+        assert got == pytest.approx({0: 0.125, 1: 0.5, 2: 0.375}, abs=1e-7)  # of period 2
+    monkeypatch.setattr(spectral, "MOST", 5)
+    for f in (lambda: spectral.power(h, units), lambda: spectral.bipartite(h, h, units, units)):
+        with pytest.raises(spectral.NotConverged):
+            f()
+
+
 def test_flagship_ranks_the_giant_component(spark):
     from quillgraph.plans import queries as q
 
