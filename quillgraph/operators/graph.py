@@ -40,19 +40,23 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = cut(seen.union(edge))
 
 
-def giant_scc(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def giant_scc(edges: DataFrame) -> DataFrame:
     """node: the largest strongly connected component; of equally large ones, that of the pivot tried first. Pivots are the
-    remaining nodes of greatest in-degree times out-degree; a component of half of what is left is the giant."""
+    remaining nodes of greatest in-degree times out-degree; they are tried until what is left is no larger than the best. Each
+    round first drops edges from nodes that nothing reaches and to nodes that reach nothing: no cycle has them."""
     spark = edges.sparkSession
     if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return spark.createDataFrame([(x,) for x in local_giant([(r[0], r[1]) for r in edges.select("src", "dst").distinct().collect()])], "node long")
     edges = cut(edges.select("src", "dst").distinct())
     best, size = None, 0
-    for _ in range(rounds):
+    while True:
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o")).join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), "node")
         pivot = degree.orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select("node")
         if pivot.isEmpty():
-            break
+            if edges.isEmpty():
+                break
+            continue
         scc = cut(reach(edges, pivot).join(reach(edges.toDF("dst", "src"), pivot), "node", "left_semi"))
         n = scc.count()
         if n > size:
@@ -69,13 +73,17 @@ def local_giant(pairs: list[tuple[int, int]]) -> list[int]:
     """The same for a graph small enough for the driver."""
     best: set[int] = set()
     while True:
+        heads, tails = {b for _, b in pairs}, {a for a, _ in pairs}
+        pairs = [(a, b) for a, b in pairs if a in heads and b in tails]
         out, into = defaultdict(list), defaultdict(list)
         for a, b in pairs:
             out[a].append(b)
             into[b].append(a)
         both = [x for x in out if x in into]
         if not both:
-            return sorted(best)
+            if not pairs:
+                return sorted(best)
+            continue
         pivot = min(both, key=lambda x: (-len(out[x]) * len(into[x]), x))
 
         def closure(near: dict) -> set[int]:
