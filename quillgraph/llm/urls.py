@@ -2,8 +2,9 @@
 
 Host labels are split into words by Viterbi under a unigram model, whose counts come from the words of all pages. Only
 substrings of labels that occur as words are joined to them, so the model is never broadcast. Multinomial naive Bayes over
-host words and path tokens is trained on all pages, labelled by a short list of seed words in the segmented host: seeds say
-which hosts are bad for sure, and the counts carry that to the words that go with them. Hosts and path patterns are judged
+host words and path tokens is trained on all pages, labelled by a short list of seed words and their inflections in the
+segmented host: seeds say which hosts are bad for sure, and the counts carry that to the words that go with them. The model
+holds each seed with a count of one at least, so joined hosts split at seeds that no page's text has. Hosts and path patterns are judged
 once each.
 
 Cases. Null url, or none with `://`: host and path empty, no rule, verdict by the method (an empty page has the prior
@@ -29,6 +30,11 @@ from .common import LOWER, UPPER, broadcast_if_small, table, written
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Words that mark a host as bad.
 SEEDS = ("adult", "bet", "betting", "casino", "escort", "gambling", "hack", "loans", "malware", "payday", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
+INFLECTED = {
+    "adult": ("adults",), "bet": ("bets",), "casino": ("casinos",), "escort": ("escorts", "escorted", "escorting"), "gambling": ("gamble", "gambles", "gambled"),
+    "hack": ("hacks", "hacked", "hacking"), "loans": ("loan",), "payday": ("paydays",), "phishing": ("phish", "phished"), "pills": ("pill",),
+    "spam": ("spams", "spammed", "spamming"), "torrent": ("torrents", "torrented", "torrenting"),
+}
 LONGEST = 20
 _WORD = re.compile(r"[a-z]{2,20}")
 _TAG = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S)
@@ -51,8 +57,8 @@ def rule_of(host: Column, path: Column, rules: list = RULES) -> tuple[Column, Co
     return name, verdict
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n: over the text of all pages, counted per task first."""
+def word_counts(pages: DataFrame, floor: list[str]) -> DataFrame:
+    """word, n: over the text of all pages, counted per task first; words of floor have 1 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -70,7 +76,9 @@ def word_counts(pages: DataFrame) -> DataFrame:
         if c:
             yield out()
 
-    return pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = pages.select("html").mapInArrow(run, "word string, n long")
+    least = pages.sparkSession.createDataFrame([(w, 0) for w in floor], "word string, n long")
+    return counted.union(least).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
@@ -113,7 +121,8 @@ def judged(pages: DataFrame, rules: list = RULES, seeds: tuple = SEEDS) -> DataF
     spark = pages.sparkSession
     at = located(pages).withColumn("pattern", F.regexp_replace(F.lower("path"), "[0-9]+", "0"))
     at = written(at, "urls")
-    counts = written(word_counts(pages), "words")
+    seeds = sorted({x for s in seeds for x in (s, *INFLECTED.get(s, ()))})
+    counts = written(word_counts(pages, seeds), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
     hosts = written(segmented(at.select("host").distinct(), counts, total), "hosts")
     patterns = at.select("pattern").distinct().select("pattern", F.filter(F.split("pattern", "[^\\p{L}\\p{N}]+"), lambda x: x != "").alias("tokens"))
