@@ -3,6 +3,9 @@
 A text is brought to a canonical form (lower case, no copyright lines, equivalent spellings made one, all punctuation and
 white space one blank) and its digest joined with those of known licences. Whole texts match or don't.
 
+Known are the short texts of KNOWN, these under the titles that files give them, and the full texts in license_texts/, whole and
+up to the end of their terms. The SQL knows KNOWN alone, and takes any line that begins with "copyright" for a holder's.
+
 Cases. Null text: null digest, no licence. Blank text: the digest of the empty text, no licence. Repeated rows: each
 gets a row. Two known licences with one canonical form: the lesser name. Empty table: empty result. Extra columns and
 clashing names: only doc_id and text are read.
@@ -10,6 +13,8 @@ clashing names: only doc_id and text are read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,12 @@ SPELLINGS = [
     ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
     ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("https://", "http://"),
 ]
+# What follows "copyright" or "(c)" at the start of a line of a licence's own prose, which wrapping may put there.
+_PROSE = "notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|on|in|to|of|is|are|as|for|interests?|claims?|protection|disclaimers?|rights?|treaty|treaties|act|permission|status|information|management|infringement|under|with|that|which|may|shall|must|this"
+_ITEM = "you|an?|any|if|in|to|under|representations|the[ \\t]+licenses|permission|for|this|that|such|it|each|no"
 #: Lines that name a holder or a year, with any comment marks before.
+HOLDER_LINE = rf"(?m)^[ \t#*/;%.-]*(?:copyright(?![a-z])(?![ \t]*(?:\r?$|[,;.)](?![ \t]*(?:[0-9©]|\(c\)))|(?:{_PROSE})\b))|\(c\)(?![ \t]*(?:{_ITEM})\b)|©|all rights reserved)[^\n]*$"
+#: The same as the SQL has it.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;%.-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 
@@ -57,9 +67,49 @@ KNOWN = {
 }
 
 
+KNOWN_TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)"], "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"],
+}
+SHORT = {
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def all_known() -> list[tuple[str, str]]:
+    """(license_id, text) of every known form."""
+    out = [*KNOWN.items(), *SHORT.items()]
+    out += [(k, f"{title}\n\n{KNOWN[k]}") for k, titles in KNOWN_TITLES.items() for title in titles]
+    for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        out.append((f.stem, text))
+        if _END in text:
+            out += [(f.stem, text[: text.index(_END)]), (f.stem, text[: text.index(_END)] + _END)]
+    return out
+
+
 def canonical(text: Column) -> Column:
     c = F.lower(text)
-    c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
+    c = F.regexp_replace(c, HOLDER_LINE, " ")
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, OTHER, " "))
@@ -71,7 +121,7 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """digest, license_id."""
-    df = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "license_id string, text string")
+    df = spark.createDataFrame(all_known() if texts is None else list(texts.items()), "license_id string, text string")
     return df.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -82,7 +132,7 @@ def scan(docs: DataFrame, known: DataFrame, known_rows: int) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), known_licenses(spark), len(KNOWN))
+    return scan(table(spark, sf_dir, "documents"), known_licenses(spark), len(all_known()))
 
 
 def _sql() -> str:
