@@ -115,8 +115,8 @@ def power(h: DataFrame, units: DataFrame, steps: int | None = None, alpha: float
         y = matvec(h, x, units)
         if alpha < 1:
             y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
-        if held:
-            y = unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
+        if held:  # cut each time: the step reads x twice, so the plan would grow by powers
+            y = cut(unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi")))
         if (k + 1) % EVERY == 0 or k + 1 == steps:
             y = cut(unit_sum(y) if alpha == 1 else y)
             if whole:
@@ -190,8 +190,8 @@ def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: D
         y = matvec(h_is, matvec(h_si, x, institutions), sources)
         if alpha < 1:
             y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * alpha * F.col("pi") + (1 - alpha * alpha) * F.col("mu")).alias("pi"))
-        if held:
-            y = unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
+        if held:  # cut each time: the step reads x twice, so the plan would grow by powers
+            y = cut(unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi")))
         if (k + 1) % EVERY == 0 or k + 1 == steps:
             y = cut(unit_sum(y))
             if whole:
