@@ -5,13 +5,14 @@ words of the input. A source's target stops at 3 times its words; the excess goe
 above (the water level of a sorted prefix sum, no iteration). Each source also has a schedule, a piecewise linear weight
 over training time 0 to 1. Its integral, scaled to the target, is the source's cumulative demand; inverting it at a
 document's offset in the source's stream gives the training time at which the document comes. Documents are
-range-sorted by that time. A source's stream repeats its documents, in an order of hashed ids, until its target.
+range-sorted by that time. A source's stream repeats its documents, in an order of hashed ids and texts, until its target.
 
 Offsets in a source are prefix sums over hash buckets, so that no source is ordered in one task: sums of buckets are
 scanned first, then rows inside each bucket.
 
-Cases. Null text: size 0, taken 0. Null source: a source of its own, last. Null id: ordered as an empty id. Repeated
-rows: each is a document. Empty table: empty result. Extra columns, of any name: kept by `mix_documents`.
+Cases. Null text: size 0, taken 0. Null source: a source of its own, last. Null or equal ids: ordered by their texts. Repeated
+rows: each is a document. Ties: of two sources the lesser name is filled first; of documents with one key the shorter comes first.
+Very long text: one document, whatever its size. Empty table: empty result. Extra columns, of any name: kept by `mix_documents`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, words, written
+from .common import broadcast_if_small, table, words, written
 
 
 @dataclass(frozen=True)
@@ -83,27 +84,47 @@ def targets(sizes: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
     return s.select("source_", "kind", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def planned(docs: DataFrame, whole: bool, carry: list[str], c: Curriculum = PRODUCTION) -> DataFrame:
-    """Columns `carry` of docs as struct `doc`, which the shuffles carry, with size, source_size, target, kind, goal (whole words), offset in a pass, passes and taken."""
-    d = docs.select(F.struct(*carry).alias("doc"), F.col("source").alias("source_"), F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
-    small = written(d.select("source_", "size", "key"), "sizes")
-    digits = max(1, math.ceil(math.log(max(small.count(), 1) / c.bucket_rows + 1, 16)))
-    goals = written(targets(small, c), "targets")
-    bucket = F.substring("key", 1, digits)
-    sums = small.groupBy("source_", bucket.alias("bucket_")).agg(F.sum("size").alias("bucket_size"))
+def key_of(doc_id: Column, text: Column) -> Column:
+    """The hash whose order is that of a source's stream; rows that share an id, or have none, part by their text."""
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.md5(F.concat(plain(doc_id), F.lit("|"), F.md5(plain(text).cast("binary"))).cast("binary"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source_, size and key of each document, written: the texts are read once for all that follows."""
+    size = F.size(words(F.col("text"))).cast("long")
+    return written(docs.select("doc_id", F.col("source").alias("source_"), size.alias("size"), key_of(F.col("doc_id"), F.col("text")).alias("key")), "sizes")
+
+
+def bucket_sums(small: DataFrame, goals: DataFrame, c: Curriculum) -> tuple[DataFrame, int]:
+    """source__, bucket_, the words of the source before and in the bucket, and the source's goals; and the key digits that
+    make a bucket. There are 65,536 buckets a source at most."""
+    digits = min(4, max(1, math.ceil(math.log(max(small.count(), 1) / c.bucket_rows + 1, 16))))
+    sums = small.groupBy("source_", F.substring("key", 1, digits).alias("bucket_")).agg(F.sum("size").alias("bucket_size"))
     sums = sums.withColumn("before", F.sum("bucket_size").over(W.partitionBy("source_").orderBy("bucket_")) - F.col("bucket_size"))
     g = goals.withColumnRenamed("source_", "source__")
-    sums = sums.join(g, sums["source_"].eqNullSafe(g["source__"])).drop("source__", "bucket_size").withColumnRenamed("source_", "source__")
-    d = d.withColumn("bucket", bucket)
-    d = d.join(sums, d["source_"].eqNullSafe(sums["source__"]) & (d["bucket"] == sums["bucket_"]))
+    sums = sums.join(g, sums["source_"].eqNullSafe(g["source__"])).drop("source__").withColumnRenamed("source_", "source__")
+    sums = sums.withColumn("goal", F.floor(F.col("target") + 0.5))
+    passes = F.when(F.col("source_size") > 0, F.expr("goal div nullif(source_size, 0)")).otherwise(F.lit(0)).cast("long")
+    return written(sums.withColumn("passes", passes), "buckets"), digits
+
+
+def located(d: DataFrame, sums: DataFrame, digits: int) -> DataFrame:
+    """d (source_, key) with its bucket's columns. The sums are broadcast only where a count allows it."""
+    d, sums = d.withColumn("bucket", F.substring("key", 1, digits)), broadcast_if_small(sums, sums.count())
+    return d.join(sums, d["source_"].eqNullSafe(sums["source__"]) & (d["bucket"] == sums["bucket_"]))
+
+
+def planned(small: DataFrame, whole: bool, c: Curriculum = PRODUCTION) -> tuple[DataFrame, DataFrame, int]:
+    """small with source_size, target, kind, goal (whole words), offset in a pass, passes and taken; the buckets, and their digits."""
+    sums, digits = bucket_sums(small, written(targets(small, c), "targets"), c)
+    d = located(small, sums, digits)
     by = W.partitionBy("source_", "bucket").orderBy("key", "size")
     d = d.withColumn("offset", F.col("before") + F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    d = d.withColumn("goal", F.floor(F.col("target") + 0.5))
-    d = d.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("goal div nullif(source_size, 0)")).otherwise(F.lit(0)).cast("long"))
     left = F.greatest(F.least(F.col("goal") - F.col("passes") * F.col("source_size") - F.col("offset"), F.col("size")), F.lit(0).cast("long"))
     if whole:  # the one document of each source at the end of its stream is taken if half of it fits
         left = F.when((left > 0) & (2 * left >= F.col("size")), F.col("size")).otherwise(F.lit(0).cast("long"))
-    return d.withColumn("last", left).withColumn("taken", F.col("passes") * F.col("size") + F.col("last"))
+    return d.withColumn("last", left).withColumn("taken", F.col("passes") * F.col("size") + F.col("last")), sums, digits
 
 
 def position(n: Column, c: Curriculum = PRODUCTION) -> Column:
@@ -117,17 +138,30 @@ def mix(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
 
     A source's stream ends exactly at its target; at most one document a source is taken in part in its last pass.
     """
-    d = planned(docs, False, ["doc_id"], c)
+    d, _, _ = planned(sized(docs), False, c)
     d = d.withColumn("position", F.when(F.col("taken") > 0, position(F.lit(0), c)))
-    d = d.select("doc.doc_id", "size", "source_size", "target", "taken", "position")
+    d = d.select("doc_id", "size", "source_size", "target", "taken", "position")
     return d.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix_documents(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
-    """The mix itself: rows of docs, whole, once for each time they are taken, range-sorted by training time."""
-    d = planned(docs, True, docs.columns, c)
-    d = d.filter((F.col("taken") > 0)).withColumn("pass", F.explode(F.expr("sequence(0, CAST(passes AS INT) + CASE WHEN last > 0 THEN 0 ELSE -1 END)")))
-    return d.withColumn("position", position(F.col("pass"), c)).orderBy("position", "key").select("doc.*")
+    """The mix itself: rows of docs, whole, once for each time they are taken, range-sorted by training time.
+
+    Whole rows pass one shuffle, that of the sort. What they need for it is known before: their key, the sums of its bucket, and
+    the last key that the source's last pass takes. Inside a bucket the offset is read off the key, as hashes are even; a
+    source's documents keep the order of `mix`. Rows equal in id and text are taken together.
+    """
+    plan, sums, digits = planned(sized(docs), True, c)
+    ends = plan.filter("last > 0").groupBy("source__").agg(F.max("key").alias("end_key")).withColumnRenamed("source__", "source___")
+    sums = written(sums.join(ends, sums["source__"].eqNullSafe(ends["source___"]), "left").drop("source___"), "buckets")
+    # a document of no words is in no pass
+    d = docs.select(F.struct(*docs.columns).alias("doc")).filter(F.coalesce(F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    d = located(d.select("doc", F.col("doc.source").alias("source_"), key_of(F.col("doc.doc_id"), F.col("doc.text")).alias("key")), sums, digits)
+    times = F.col("passes") + F.when(F.col("key") <= F.col("end_key"), 1).otherwise(0)
+    inside = F.conv(F.substring("key", digits + 1, 8), 16, 10).cast("double") / float(16**8)
+    d = d.withColumn("times", times).filter("times > 0").withColumn("offset", F.col("before") + inside * F.col("bucket_size"))
+    d = d.withColumn("pass", F.explode(F.expr("sequence(0L, times - 1)")))
+    return d.select("doc", "key", position(F.col("pass"), c).alias("position")).orderBy("position", "key").select("doc.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +181,7 @@ def _sql() -> str:
 
     return rf"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT size,
-  md5(coalesce(doc_id::VARCHAR, '')) k FROM documents),
+  md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 kind FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][kind + 1]::BIGINT weight, 3 * source_size cap FROM s),
 p AS (SELECT *, sum(source_size) OVER () total, sum(weight) OVER () ws, coalesce(sum(cap) OVER b, 0) capped, coalesce(sum(weight) OVER b, 0) passed
