@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, vocabulary: str, end: int = END) -> tuple[DataFr
     folder = shared_path(docs.sparkSession, "flat")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, ordinal = encoder(vocabulary), None, 0
+        enc, shard, ordinal = encoder(vocabulary, plain=True), None, 0  # only a document's end is a separator
         ending = np.array([end], "<u2").tobytes()
         for batch in batches:
             if not batch.num_rows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import pyarrow.fs as pafs
 
@@ -12,14 +12,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Shard:
-    """One task's file. It gets its name when whole, so that an attempt that fails or is repeated leaves nothing half done."""
+    """One attempt's file, of a name that no other attempt has: rows name the file whose offsets they hold, so whichever attempt's
+    rows are committed, its file stands. What other attempts leave goes with the folder."""
 
     def __init__(self, folder: str, number: int, attempt: int):
-        self.name = f"shard-{number:06d}.bin"
+        self.name = f"shard-{number:06d}-{attempt}-{uuid.uuid4().hex[:8]}.bin"
         self.fs, path = filesystem(folder)
         self.fs.create_dir(path, recursive=True)
-        self.path, self.tmp, self.size = f"{path}/{self.name}", f"{path}/.{self.name}-{attempt}-{os.getpid()}", 0
-        self.out = self.fs.open_output_stream(self.tmp)
+        self.size = 0
+        self.out = self.fs.open_output_stream(f"{path}/{self.name}")
 
     def write(self, data: bytes) -> int:
         """Where data begins."""
@@ -30,7 +31,6 @@ class Shard:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.tmp, self.path)
 
 
 class Reader:

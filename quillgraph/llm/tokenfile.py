@@ -8,9 +8,9 @@ sum the offsets, and shifted gathers the ranks.
 Documents are range-partitioned and sorted by id; a task streams its range into one shard, so memory is bounded by a
 block. Shards stand in ascending order of document ids.
 
-Cases. Null text: empty, its end id alone. Null doc_id: sorts first. Repeated ids: each document is written, in any order
-among themselves. Empty table: no files, empty result. A text longer than a block makes a longer block. Extra
-columns: ignored.
+Cases. Null text: empty, its end id alone. Null doc_id: sorts first. Repeated ids: each document is written, in order
+of the texts. Empty table: no files, empty result. A text longer than a block makes a longer block. A special token's string
+in a text: that token, as a plain call of the library has it. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -33,22 +33,41 @@ from .shards import Reader, Shard
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIQIQ")
 BLOCK_IDS, END = 2_000_000, 2
+#: A task's share of the texts, at most, unless more partitions are asked for anyway.
+SHARD_BYTES = 256_000_000
+#: Ids below are counted in a table, others sorted.
+DENSE = 1 << 20
 #: Lengths of the four values of each control byte.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + 1
 
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """ids: unsigned 32-bit, of all the documents one after another."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if int(ids.max(initial=0)) < DENSE:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts).astype(np.uint32)
+        counts, where = counts[values], None
+    else:
+        values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    r = rank[inverse]
+    if where is None:
+        table = np.zeros(DENSE, np.uint32)
+        table[values] = rank
+        r = table[ids]
+    else:
+        r = rank[where]
     size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
     quads = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     quads[: len(r)] = size - 1
     control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    data[start] = r & 0xFF
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        data[start[more] + k] = r[more] >> np.uint32(8 * k) & 0xFF
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = HEAD.pack(MAGIC, len(doc_ids), len(ids), len(values), len(data))
     return b"".join([head, null.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), values[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
@@ -82,7 +101,8 @@ def write_files(docs: DataFrame, vocabulary: str, end: int = END, block_ids: int
     """Writes docs in ascending order of doc_id. Returns the blocks (file, shard, block, at, bytes, docs, ids) and the folder."""
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, rows = encoder(vocabulary), None, []
@@ -114,7 +134,7 @@ def write_files(docs: DataFrame, vocabulary: str, end: int = END, block_ids: int
             shard.close()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["file", "shard", "block", "at", "bytes", "docs", "ids"])
 
-    d = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    d = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return written(d.mapInArrow(write, "file string, shard long, block long, at long, bytes long, docs long, ids long"), "blocks"), folder
 
 
