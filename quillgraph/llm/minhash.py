@@ -10,9 +10,10 @@ bucket at once: classes first meet their bucket's least class, links found join
 bucket that are still in different components, and whose sizes allow the threshold, meet one another. Every link is
 confirmed on full sets.
 
-Cases. Null text or no words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is one
-shingle. Null doc_id: no document to name, left out of components (component_id null, kept). Repeated ids: linked as one
-document. Empty table: empty result. Extra columns: ignored by `components`, kept by `filter_documents`.
+Cases. Null text or no words: empty set, linked with nothing, not even with a row of its id. Fewer words than a shingle: the
+whole sequence is one shingle. Null doc_id: no document to name, left out of components (component_id null, kept). Repeated
+ids: the texts of one id are linked, so all get one component. Ties: the least id names and represents a component. Very long
+texts: their whole sets count. Empty table: empty result. Extra columns, of any name: ignored by `components`, kept by `filter_documents`.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class Near:
 PRODUCTION = Near()
 #: Classes that a task compares with as many others at once.
 CHUNK = 128
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
 #: Odd step of the circular shift.
 SHIFT = np.uint32(0x9E3779B1)
 
@@ -97,7 +100,7 @@ def band_keys(sets: list[np.ndarray], p: Near) -> np.ndarray:
 
 
 def features(docs: DataFrame, p: Near) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set), bands."""
+    """doc_id, n_shingles, node (64 bits of the set, which name its class; null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -110,26 +113,35 @@ def features(docs: DataFrame, p: Near) -> DataFrame:
                 if full:
                     for i, k in zip(full, band_keys([sets[i] for i in full], p).view(np.int64)):
                         bands[i] = k
-                with np.errstate(over="ignore"):
-                    keys = [np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
-    """node, set (packed) of the documents that nodes names."""
+def node_of(s: np.ndarray) -> int | None:
+    if not len(s):
+        return None
+    with np.errstate(over="ignore"):
+        return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(s))]))[0].astype(np.int64))
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, p: Near, repeated: bool) -> DataFrame:
+    """node, set (packed) of the classes that nodes names by node and rep, a document of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = shingle_sets(batch.column(1).to_pylist(), p.shingle, hashes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets])], names=["node", "set"])
+                sets = shingle_sets(batch.column(0).to_pylist(), p.shingle, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets])], names=["node", "set"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_if_small(nodes, nodes.count()), "node", "left_semi")
-    return picked.mapInArrow(run, "node long, set binary")
+    nodes = nodes.select("node", "rep")
+    near = broadcast_if_small(nodes, nodes.count())
+    picked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(near, "rep", "left_semi").select("text").mapInArrow(run, "node long, set binary")
+    if repeated:  # other texts of the id, and more rows of the same text, are not wanted
+        picked = picked.join(near, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    return picked
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, p: Near) -> DataFrame:
@@ -170,14 +182,14 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", F.col("to").alias("label"))
 
 
-def class_links(docs: DataFrame, members: DataFrame, p: Near) -> DataFrame:
+def class_links(docs: DataFrame, members: DataFrame, p: Near, repeated: bool = False) -> DataFrame:
     """Links (a, b) between classes that connect every pair of classes joined by a chain of links.
-    members: bucket, node, n."""
+    members: bucket, node, n, rep."""
     size_ok = lambda x, y: (100 * F.least(x, y) >= p.percent * F.greatest(x, y))
-    buckets = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
+    buckets = members.groupBy("bucket").agg(F.min(F.struct("rep", "node", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     shared = written(members.join(buckets.select("bucket", "c"), "bucket"), "buckets")
-    nodes = written(shared.select("node").distinct(), "nodes")
-    sets = written(sets_of(docs, nodes, p), "sets")
+    nodes = written(shared.select("node", "rep").distinct(), "nodes")
+    sets = written(sets_of(docs, nodes, p, repeated), "sets")
     # each class meets the least class of one bucket, then those of all, then what is left
     star = shared.filter((F.col("node") != F.col("c.node")) & size_ok(F.col("n"), F.col("c.n"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     star = written(star, "star")
@@ -199,15 +211,27 @@ def class_links(docs: DataFrame, members: DataFrame, p: Near) -> DataFrame:
     m = written(still_open(m.join(q, "node").filter(100 * F.col("q") >= p.percent * F.col("n"))), "open")
     near = m.groupBy("bucket").agg(F.min("node").alias("a")).join(m.select("bucket", F.col("node").alias("b")), "bucket")
     groups = connected(near.select("a", "b").distinct()).withColumnRenamed("label", "group")
-    m = m.select("node", "l", "n").distinct().join(groups, "node").join(sets, "node")
+    m = written(m.select("node", "l", "n").distinct().join(groups, "node"), "open")
     # classes outside their group's main component meet all of the group, chunk by chunk
     k = m.groupBy("group", "l").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("l", F.struct("k", "l")).alias("main"), F.sum("k").alias("all"))
-    m = m.join(k, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.floor(F.col("all") / CHUNK) + 1))
-    chunks = lambda df, name: df.groupBy("group", "chunk").agg(F.collect_list(F.struct("node", "l", "set")).alias(name)).drop("chunk")
-    met = chunks(m.filter("l <> main"), "x").join(chunks(m, "y"), "group").select("x", "y")
+    k = written(k.select("group", "main", (F.floor(F.col("all") / CHUNK) + 1).alias("chunks")), "groups")
+    m = spread_join(m, k, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).join(sets, "node")
+    chunks = lambda df, name: df.groupBy("group", "chunk").agg(F.max("chunks").alias("chunks"), F.collect_list(F.struct("node", "l", "set")).alias(name))
+    x = chunks(m.filter("l <> main"), "x").select("group", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "x")
+    met = x.join(chunks(m, "y"), ["group", "chunk"]).select("x", "y")
     return links.union(met.mapInArrow(lambda batches: across(batches, p.percent), "a long, b long"))
 
 
+def spread_join(df: DataFrame, dim: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """df joined with dim, of one row a key. A key that many rows of df hold is dealt to many tasks: by a broadcast of dim if
+    a count allows it, else by copies of dim."""
+    n = dim.count()
+    if n <= SMALL:
+        return df.join(broadcast_if_small(dim, n), key)
+    df = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    return df.join(dim.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "salt"]).drop("salt")
+
+
 def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the classes of two chunks that are in different components."""
     for batch in batches:
@@ -256,21 +280,29 @@ def shingles(sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame, p: Near = PRODUCTION) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     f = written(features(docs, p), "features")
-    classes = f.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"), F.max("bands").alias("bands"))
-    classes = written(classes, "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    labels = connected(class_links(docs, members, p))
-    to = classes.select("key", "n_shingles", "node").join(labels, "node", "left").select("key", F.col("n_shingles").alias("n_"), F.coalesce("label", "node").alias("component"))
-    # an id of several texts links them
-    j = f.join(to.withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & (F.col("n_shingles") == F.col("n_")), "left")
-    return j.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = f.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+    classes = written(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("bands").alias("bands")), "classes")
+    # an id of several texts links their classes
+    ids = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).filter("k > 1")
+    ids = written(ids.select("doc_id", "a", "b"), "ids")
+    more = named.select("doc_id", F.col("node").alias("b")).join(ids.filter("a < b").select("doc_id", "a"), "doc_id").filter("a < b").select("a", "b")
+    members = classes.select(F.explode("bands").alias("bucket"), "node", "n", "rep")
+    labels = connected(class_links(docs, members, p, not ids.isEmpty()).union(more.distinct()))
+    to = written(classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "members")
+    least = to.groupBy("label").agg(F.min("rep").alias("component"))
+    to = written(spread_join(to, written(least, "least"), "label").select("node", "component"), "components")
+    # a class of very many copies is dealt to many tasks
+    lone = f.filter("node IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = spread_join(named.select("doc_id", "n_shingles", "node"), to, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(lone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def filter_documents(docs: DataFrame, p: Near = PRODUCTION) -> DataFrame:
-    """docs without those that a document of a lesser id links to; one of each component stays. Ids are taken as unique;
-    of rows with one id all stay or go together."""
-    gone = written(components(docs, p).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """docs without those that a document of a lesser id links to; one of each component stays. Of rows with one id all stay or
+    go together."""
+    gone = written(components(docs, p).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    d = docs.select(F.struct(*docs.columns).alias("doc"))
+    return d.join(broadcast_if_small(gone, gone.count()), F.col("doc.doc_id").cast("long") == gone["gone"], "left_anti").select("doc.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,22 +87,57 @@ def test_mix_reaches_targets(docs, empty):
     assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= {t for _, t, *_ in made()}
 
 
+def closure(found: dict, percent: int = 80, size: int = 4) -> dict:
+    """Least id of each id's component, by comparing all pairs and following chains to their end. found: id to texts."""
+    sets = []
+    for i, texts in found.items():
+        for t in texts:
+            w = words(lowered(t))
+            sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+    label = {i: i for i in found}
+    linked = [(i, j) for i, a in sets for j, b in sets if a and b and i < j and 100 * len(a & b) >= percent * len(a | b)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in linked:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label
+
+
 def test_near_duplicates(docs, empty):
-    sets = {}
+    got = rows(minhash.components(docs))
+    assert {i: got[i]["component_id"] for i in got if i is not None} == closure({i: [t] for i, t, *_ in made() if i is not None})
     for i, t, *_ in made():
         w = words(lowered(t))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
-    label = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if None not in (a, b) and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
-        break
-    got = rows(minhash.components(docs))
-    assert {i: got[i]["component_id"] for i in sets} == label
-    assert all(got[i]["n_shingles"] == len(sets[i]) for i in sets)
-    assert minhash.components(empty).count() == 0
+        assert got[i]["n_shingles"] == (len({tuple(w[k : k + 4]) for k in range(len(w) - 3)}) or bool(w))
+    assert minhash.components(empty).count() == 0 and minhash.filter_documents(empty).count() == 0
+
+
+def test_near_duplicates_by_chains_repeated_ids_and_clashing_columns(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    chain = []
+    for k in range(9):  # each link changes more words; the ends share nothing like 80 %
+        chain.append((100 - k, " ".join(base)))
+        base[10 * k + 5] = f"n{k}"
+        base[10 * k + 9] = f"m{k}"
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    data = [*chain, (3, x), (5, x), (5, y), (7, y), (7, y), (9, None), (9, "alone with few"), (None, x)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in data], "doc_id long, text string, gone long, node long, doc long")
+    found: dict = {}
+    for i, t in data:
+        if i is not None:
+            found.setdefault(i, []).append(t)
+    want = closure(found)
+    for i, j in ((5, 3), (7, 3)):  # by the id that they share
+        assert want[i] == j
+    for r in minhash.components(df).collect():
+        assert r["component_id"] == (None if r["doc_id"] is None else 9 if r["doc_id"] == 9 else want[r["doc_id"]])
+        assert r["kept"] == (r["doc_id"] is None or want[r["doc_id"]] == r["doc_id"])
+    out = minhash.filter_documents(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == sorted([0, 3, 9, 9, *{v for i, v in want.items() if i > 50}])
 
 
 def test_chunks_find_links_between_components(spark):
