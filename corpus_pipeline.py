@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm import bpe, minhash, mixing, quality
 from quillgraph.llm.common import ship, table, written
 
+#: Near-duplicates by five words, as stages of a corpus take them.
+NEAR = minhash.Near(shingle=5)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -20,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return minhash.filter_documents(docs)
+    return minhash.filter_documents(docs, NEAR)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
