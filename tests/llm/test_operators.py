@@ -234,12 +234,6 @@ def test_pitman_yor(docs, empty):
     assert scoring.score(empty).count() == 0
 
 
-def test_seats_lie_between_one_and_all():
-    c = np.array([1, 2, 5, 100, 10_000])
-    t = scoring.seated(c, np.full(5, 0.5), 0.6, np.random.default_rng(0))
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
-
-
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "source_mix", "byte_bpe"]
