@@ -18,7 +18,8 @@ from quillgraph.operators.graph import local_giant
 from quillgraph.sources.shared import cut
 
 EVERY = 5
-#: Up to so many edges a graph is solved by numpy on the driver, which a count checks; beyond, by joins.
+#: Up to so many edges, and as many units, a graph is solved by numpy on the driver (a bound of some tens of MB, which counts
+#: check); beyond, by joins. Both ways give the same scores; 0 always joins.
 LOCAL_EDGES = 1_000_000
 #: Where no number of steps is given, iterations end when the scores' summed change is below TOL, and fail after MOST steps.
 TOL, MOST = 1e-9, 500
@@ -84,9 +85,16 @@ def uniform(units: DataFrame) -> DataFrame:
     return units.crossJoin(F.broadcast(n)).select("unit_idx", (F.lit(1.0) / F.col("n")).alias("pi"))
 
 
-def unit_scaled(units: DataFrame) -> DataFrame:
-    """A prior in proportion to the units' sizes."""
-    return unit_sum(units.select("unit_idx", F.col("a_p").alias("pi")))
+def joint_prior(sources: DataFrame, institutions: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Priors of both sides that sum to 1 together: uniform, the same for every unit; unit_scaled, half to each side."""
+    n = [sources.count(), institutions.count()]
+    if kind == "uniform":
+        each = [1 / max(sum(n), 1)] * 2
+    elif kind == "unit_scaled":
+        each = [0.5 / max(k, 1) for k in n]
+    else:
+        raise ValueError(f"unknown prior {kind}")
+    return tuple(units.select("unit_idx", F.lit(x).alias("pi")) for units, x in zip((sources, institutions), each))
 
 
 def power(h: DataFrame, units: DataFrame, steps: int | None = None, alpha: float = 1.0, prior: DataFrame | None = None, tol: float = TOL) -> DataFrame:
@@ -94,7 +102,7 @@ def power(h: DataFrame, units: DataFrame, steps: int | None = None, alpha: float
     scores' summed change falls below tol."""
     whole = steps is None
     steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
-    if is_small(h):
+    if is_small(h, units):
         us = ids(units)
         g, m = Local(h, us, us), vector(prior, us) if prior is not None else np.full(len(us), 1 / max(len(us), 1))
         x = m
@@ -136,85 +144,119 @@ def change(x: DataFrame, y: DataFrame) -> float:
     return both.agg(F.sum(F.abs(F.col("pi") - F.col("q")))).first()[0] or 0.0
 
 
-def katz(h: DataFrame, units: DataFrame, steps: int, alpha: float, prior: DataFrame | None = None) -> DataFrame:
-    """Katz-Hubbell: like `power`, but what dangling units hold returns through the prior."""
-    h = row_normalised(h)
-    mu = cut(prior if prior is not None else uniform(units))
-    held = h.select(F.col("src").alias("unit_idx")).distinct()
+def katz(h: DataFrame, units: DataFrame, steps: int | None, alpha: float, prior: DataFrame | None = None, tol: float = TOL) -> DataFrame:
+    """Katz-Hubbell: what dangling units hold returns through the prior. Without steps it goes on until the scores' summed
+    change falls below tol."""
+    whole, last = steps is None, 0.0
+    steps = MOST if whole else steps
+    if is_small(h, units):
+        us = ids(units)
+        g = Local(h, us, us)
+        m = vector(unit_sum(prior), us) if prior is not None else np.full(len(us), 1 / max(len(us), 1))
+        dangling = np.bincount(g.src, minlength=len(us)) == 0 if len(us) else np.zeros(0, bool)
+        x = m
+        for _ in range(steps):
+            y = alpha * g.step(x) + (alpha * x[dangling].sum() + 1 - alpha) * m
+            y = y / (y.sum() or 1.0)
+            last, x = np.abs(y - x).sum(), y
+            if whole and last < tol:
+                break
+        if whole:
+            settled(last, tol)
+        return frame(units, us, x)
+    h = row_normalised(h).repartition("src").persist()
+    mu = cut(unit_sum(prior) if prior is not None else uniform(units))
+    held = cut(h.select(F.col("src").alias("unit_idx")).distinct())
     x = mu
     for k in range(steps):
         lost = x.join(held, "unit_idx", "left_anti").agg(F.coalesce(F.sum("pi"), F.lit(0.0)).alias("lost"))
         y = matvec(h, x, units).join(mu.withColumnRenamed("pi", "mu"), "unit_idx").crossJoin(F.broadcast(lost))
-        x = y.select("unit_idx", (alpha * (F.col("pi") + F.col("lost") * F.col("mu")) + (1 - alpha) * F.col("mu")).alias("pi"))
-        if (k + 1) % EVERY == 0:
-            x = cut(x)
-    return unit_sum(x)
+        y = cut(unit_sum(y.select("unit_idx", (alpha * F.col("pi") + (alpha * F.col("lost") + 1 - alpha) * F.col("mu")).alias("pi"))))
+        if whole:
+            last = change(x, y)
+        x = y
+        if whole and last < tol:
+            break
+    h.unpersist()
+    if whole:
+        settled(last, tol)
+    return x
 
 
-def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, steps: int | None = None, alpha: float = 1.0, mu_s: DataFrame | None = None, mu_u: DataFrame | None = None, tol: float = TOL) -> tuple[DataFrame, DataFrame]:
+def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, steps: int | None = None, alpha: float = 1.0, prior: str = "uniform", tol: float = TOL) -> tuple[DataFrame, DataFrame]:
     """Scores of sources and institutions, each side summing to a half. The two-step chain is never formed: a step goes to
-    institutions and back. alpha damps each hop; below 1 the prior is that of sources plus that of institutions, one hop on.
-    Without steps it goes on until the sources' scores change by less than tol."""
+    institutions and back. alpha damps each hop; below 1 the prior is that of sources plus alpha times that of institutions, one
+    hop on. Without steps it goes on until the sources' scores change by less than tol."""
     whole = steps is None
     steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
-    if is_small(si, is_):
+    mu_s, mu_u = joint_prior(sources, institutions, prior) if alpha < 1 else (uniform(sources), None)
+    if is_small(si, is_, sources, institutions):
         a, b = ids(sources), ids(institutions)
         out, back = Local(si, a, b), Local(is_, b, a)
-        m = vector(mu_s, a) if mu_s is not None else np.full(len(a), 1 / max(len(a), 1))
-        mu, n = m, None
-        if alpha < 1:
-            n = vector(mu_u, b) if mu_u is not None else np.full(len(b), 1 / max(len(b), 1))
-            mu = m + alpha * back.step(n)
+        mu = vector(mu_s, a)
+        if mu_u is not None:
+            n = vector(mu_u, b)
+            mu = mu + alpha * back.step(n)
             mu = mu / (mu.sum() or 1.0)
         x = mu
         for _ in range(steps):
             y = alpha * alpha * back.step(out.step(x)) + (1 - alpha * alpha) * mu
-            y = held * x + (1 - held) * y / (y.sum() or 1.0) if alpha == 1 else y
-            last = np.abs(y - x).sum()
-            x = y
+            y = held * x + (1 - held) * y / (y.sum() or 1.0)
+            last, x = np.abs(y - x).sum(), y
             if whole and last < tol:
                 break
         if whole:
             settled(last, tol)
-        u = out.step(x) if n is None else alpha * out.step(x) + (1 - alpha) * n
-        return frame(sources, a, x, 0.5), frame(sources, b, u, 0.5)
+        u = out.step(x) if mu_u is None else alpha * out.step(x) + (1 - alpha) * n
+        return frame(sources, a, x, 0.5), frame(institutions, b, u, 0.5)
     h_si, h_is = row_normalised(si).persist(), row_normalised(is_).persist()
-    mu_s = cut(mu_s if mu_s is not None else uniform(sources))
-    mu = mu_s
-    if alpha < 1:
-        mu_u = mu_u if mu_u is not None else uniform(institutions)
+    mu = cut(mu_s)
+    if mu_u is not None:
         hop = matvec(h_is, mu_u, sources).withColumnRenamed("pi", "hop")
-        mu = cut(unit_sum(mu_s.join(hop, "unit_idx").select("unit_idx", (F.col("pi") + alpha * F.col("hop")).alias("pi"))))
+        mu = cut(unit_sum(mu.join(hop, "unit_idx").select("unit_idx", (F.col("pi") + alpha * F.col("hop")).alias("pi"))))
     x = mu
     for k in range(steps):
         y = matvec(h_is, matvec(h_si, x, institutions), sources)
         if alpha < 1:
             y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * alpha * F.col("pi") + (1 - alpha * alpha) * F.col("mu")).alias("pi"))
-        if held:  # cut each time: the step reads x twice, so the plan would grow by powers
-            y = cut(unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi")))
-        if (k + 1) % EVERY == 0 or k + 1 == steps:
-            y = cut(unit_sum(y))
-            if whole:
-                last = change(x, y)
-                if last < tol:
-                    x = y
-                    break
+        y = unit_sum(y)
+        if held:
+            y = y.join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
+        y = cut(y)  # each time: the step reads its scores twice, so the plan would grow by powers
+        if whole and (k + 1) % EVERY == 0:
+            last = change(x, y)
         x = y
+        if whole and last < tol and (k + 1) % EVERY == 0:
+            break
     if whole:
         settled(last, tol)
     u = matvec(h_si, x, institutions)
-    if alpha < 1:
+    if mu_u is not None:
         u = u.join(mu_u.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
-    return unit_sum(x, 0.5), unit_sum(u, 0.5)
+    x, u = cut(unit_sum(x, 0.5)), cut(unit_sum(u, 0.5))
+    h_si.unpersist(), h_is.unpersist()
+    return x, u
+
+
+def resolvent(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, alpha: float, tol: float = TOL) -> tuple[DataFrame, DataFrame]:
+    """Scores of both sides, together summing to 1, damped by the root of alpha each hop under the uniform prior: the resolvent,
+    as the sum of its series to the tolerance, on the graph of both sides at once."""
+    root = alpha**0.5
+    code = lambda c, t: (2 * F.col(c) + t).alias(c)
+    h = si.select(code("src", 0), code("dst", 1), "w").unionByName(is_.select(code("src", 1), code("dst", 0), "w"))
+    units = sources.select(code("unit_idx", 0)).union(institutions.select(code("unit_idx", 1)))
+    x = power(h, units, None, root, None, tol)
+    side = lambda t: x.filter(F.col("unit_idx") % 2 == t).select(F.shiftright("unit_idx", 1).alias("unit_idx"), "pi")
+    return side(0), side(1)
 
 
 def joint_graph(b: Blocks, chi: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """All four blocks as one graph; units are (type, idx) folded to 2 idx + type. chi weighs the sides; by default it is the
-    institutions' share of units."""
+    """All four blocks as one graph; units are (type, idx) folded to 2 idx + type. chi (1 - chi) weighs the blocks between the
+    sides; by default chi is the institutions' share of units."""
     if chi is None or chi < 0:
         ns, nu = b.sources.count(), b.institutions.count()
         chi = nu / max(ns + nu, 1)
-    scale = {"ss": chi * chi, "si": chi * (1 - chi), "is": chi * (1 - chi), "ii": (1 - chi) * (1 - chi)}
+    scale = {"ss": 1.0, "si": chi * (1 - chi), "is": chi * (1 - chi), "ii": 1.0}
     code = lambda c, t: 2 * F.col(c) + (0 if t == "s" else 1)
     parts = [df.select(code("src", k[0]).alias("src"), code("dst", k[1]).alias("dst"), (F.lit(scale[k]) * F.col("w")).alias("w")) for k, df in b.blocks.items()]
     h = parts[0]
@@ -224,13 +266,17 @@ def joint_graph(b: Blocks, chi: float | None = None) -> tuple[DataFrame, DataFra
     return h, units
 
 
-def size_adjusted(x: DataFrame, units: DataFrame) -> DataFrame:
-    """v: a unit's score per size over the average of its side, sentinels left out of both and without v."""
-    j = x.join(units.select("unit_idx", "a_p"), "unit_idx")
+def size_adjusted(*sides: tuple[DataFrame, DataFrame, str]) -> DataFrame:
+    """unit_idx, unit_type, pi, v, a_p of sides (scores, units, type). v: a unit's score per size over that of all sides
+    together, sentinels left out of the sums and without v."""
+    out = None
+    for x, units, kind in sides:
+        j = x.join(units.select("unit_idx", "a_p"), "unit_idx").withColumn("unit_type", F.lit(kind))
+        out = j if out is None else out.unionByName(j)
     real = F.col("unit_idx") != SENTINEL
-    t = j.filter(real).agg(F.sum("a_p").alias("A"), F.sum("pi").alias("P"))
+    t = out.filter(real).agg(F.sum("a_p").alias("A"), F.sum("pi").alias("P"))
     v = F.when(real & (F.col("P") * F.col("a_p") > 0), F.col("A") * F.col("pi") / F.when(F.col("P") * F.col("a_p") > 0, F.col("P") * F.col("a_p")))
-    return j.crossJoin(F.broadcast(t)).select("unit_idx", "pi", v.alias("v"), "a_p")
+    return out.crossJoin(F.broadcast(t)).select("unit_idx", "unit_type", "pi", v.alias("v"), "a_p")
 
 
 def dense_ranks(r: DataFrame) -> DataFrame:
@@ -239,44 +285,65 @@ def dense_ranks(r: DataFrame) -> DataFrame:
     return r.withColumns({"rank_pi": F.dense_rank().over(by("pi")).cast("int"), "rank_v": F.dense_rank().over(by("v")).cast("int")})
 
 
-def rank(b: Blocks, run: Run, steps: int | None = None) -> DataFrame:
-    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask. Without steps it iterates to the tolerance."""
-    typed = lambda x, t: x.withColumn("unit_type", F.lit(t))
-    prior = unit_scaled if run.prior == "unit_scaled" else uniform
+def rank(b: Blocks, run: Run, steps: int | None = None, tol: float = TOL) -> DataFrame:
+    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask. Without steps it iterates to the tolerance. The prior
+    enters the ranking between the sides alone; on the others damping without a prior changes nothing."""
     if run.mask == "1000":
-        out = typed(size_adjusted(power(b.blocks["ss"], b.sources, steps, run.alpha), b.sources), "S")
+        out = size_adjusted((power(b.blocks["ss"], b.sources, steps, tol=tol), b.sources, "S"))
     elif run.mask == "0001":
-        out = typed(size_adjusted(power(b.blocks["ii"], b.institutions, steps, run.alpha), b.institutions), "U")
+        out = size_adjusted((power(b.blocks["ii"], b.institutions, steps, tol=tol), b.institutions, "U"))
     elif run.mask == "0110":
-        s, u = bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, steps, run.alpha, prior(b.sources), prior(b.institutions))
-        out = typed(size_adjusted(s, b.sources), "S").unionByName(typed(size_adjusted(u, b.institutions), "U"))
+        s, u = bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, steps, run.alpha, run.prior, tol)
+        out = size_adjusted((s, b.sources, "S"), (u, b.institutions, "U"))
     else:
         h, units = joint_graph(b, run.chi)
-        x = power(h, units, steps, run.alpha)
-        half = lambda t: x.filter(F.col("unit_idx") % 2 == t).select((F.col("unit_idx") / 2).cast("long").alias("unit_idx"), "pi")
-        out = typed(size_adjusted(half(0), b.sources), "S").unionByName(typed(size_adjusted(half(1), b.institutions), "U"))
+        x = power(h, units, steps, tol=tol)
+        half = lambda t: x.filter(F.col("unit_idx") % 2 == t).select(F.shiftright("unit_idx", 1).alias("unit_idx"), "pi")
+        out = size_adjusted((half(0), b.sources, "S"), (half(1), b.institutions, "U"))
     return dense_ranks(out)
 
 
-def second_value(h: DataFrame, units: DataFrame, steps: int = 40) -> tuple[float, float]:
-    """The two leading eigenvalues of a row-normalised graph: growth of all mass, and of a vector kept free of the first."""
-    n = row_normalised(h).persist()
-    pi = power(h, units, steps)
+def mask_graph(b: Blocks, run: Run) -> tuple[DataFrame, DataFrame]:
+    """The one graph on which the run's mask walks, and its units, folded to 2 idx + type."""
+    return joint_graph(b, run.chi if run.mask == "1111" else 0.5)
+
+
+def second_value(h: DataFrame, units: DataFrame, steps: int = 60, tol: float = TOL) -> tuple[float, float]:
+    """The leading eigenvalue of a row-normalised graph, and the size of the second: growth of all mass, and of a vector kept
+    free of the first (its sum taken out along the Perron vector), averaged over the last steps."""
+    if is_small(h, units):
+        us = ids(units)
+        g = Local(h, us, us)
+        p = vector(power(h, units, tol=tol), us)
+        x, sizes = np.random.default_rng(0).random(len(us)) - 0.5, []
+        for _ in range(10 * steps):
+            x = g.step(x)
+            x = x - x.sum() * p
+            sizes.append(float(np.linalg.norm(x)))
+            if sizes[-1] < 1e-12:
+                break
+            x = x / sizes[-1]
+        late = sizes[len(sizes) // 2 :]
+        return float(g.step(p).sum()), float(np.exp(np.mean(np.log(late)))) if late and min(late) > 1e-12 else 0.0
+    n = row_normalised(h).repartition("src").persist()
+    pi = cut(power(h, units, tol=tol))
+    mass = matvec(n, pi, units).agg(F.sum("pi")).first()[0] or 0.0
+    p = pi.withColumnRenamed("pi", "p")
     x = cut(units.select("unit_idx", (F.pmod(F.xxhash64("unit_idx"), F.lit(1000)) / 1000.0 - 0.5).alias("pi")))
-    value = 0.0
-    for _ in range(steps // EVERY):
-        before = x.agg(F.sqrt(F.sum(F.col("pi") * F.col("pi")))).first()[0] or 1.0
+    growth = []
+    size = lambda v: v.agg(F.sqrt(F.sum(F.col("pi") * F.col("pi")))).first()[0] or 0.0
+    for _ in range(max(steps // EVERY, 2)):
+        x = x.select("unit_idx", (F.col("pi") / (size(x) or 1.0)).alias("pi"))
         for _ in range(EVERY):
             y = matvec(n, x, units)
-            total = y.agg(F.sum("pi").alias("t"))
-            x = y.join(pi.withColumnRenamed("pi", "p"), "unit_idx").crossJoin(F.broadcast(total)).select("unit_idx", (F.col("pi") - F.col("t") * F.col("p")).alias("pi"))
-        x = cut(x)
-        after = x.agg(F.sqrt(F.sum(F.col("pi") * F.col("pi")))).first()[0] or 0.0
-        value = (after / before) ** (1 / EVERY)
-        x = x.select("unit_idx", (F.col("pi") / (after or 1.0)).alias("pi"))
-    mass = matvec(n, pi, units).agg(F.sum("pi")).first()[0] or 0.0
+            x = y.join(p, "unit_idx").crossJoin(F.broadcast(y.agg(F.sum("pi").alias("t")))).select("unit_idx", (F.col("pi") - F.col("t") * F.col("p")).alias("pi"))
+            x = cut(x)
+        growth.append(size(x))
+        if growth[-1] < 1e-12:
+            break
     n.unpersist()
-    return mass, value
+    late = growth[len(growth) // 2 :]
+    return mass, float(np.exp(np.mean(np.log(np.maximum(late, 1e-300)))) ** (1 / EVERY)) if min(late) > 1e-12 else 0.0
 
 
 def local_power(edges: DataFrame, steps: int = MOST, tol: float = 1e-12) -> DataFrame:

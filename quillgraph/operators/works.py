@@ -42,16 +42,18 @@ def override_thresholds(works: DataFrame, share: float, overrides: dict[int, flo
     return t.select("field_idx", F.element_at("p", at).alias("threshold"))
 
 
+QUADRANTS = {"++": "n_pp", "+-": "n_pm", "-+": "n_mp", "--": "n_mm"}
+
+
 def quadrant(source_v: Column, citer_v: Column) -> Column:
-    """HH, HL, LH, LL by both scores against 1; null if either is."""
-    side = lambda c: F.when(c >= 1, "H").when(c < 1, "L")
+    """++, +-, -+ or -- by both scores against 1; null if either is."""
+    side = lambda c: F.when(c >= 1, "+").when(c < 1, "-")
     return F.concat(side(source_v), side(citer_v))
 
 
 def quadrant_pools(labelled: DataFrame) -> DataFrame:
-    """Counts of each quadrant by field."""
-    names = ["HH", "HL", "LH", "LL"]
-    return labelled.groupBy("field_idx").pivot("quadrant", names).count().fillna(0, names)
+    """field_idx and the number of works of each quadrant."""
+    return labelled.groupBy("field_idx").agg(*(F.count(F.when(F.col("quadrant") == q, 1)).alias(name) for q, name in QUADRANTS.items()))
 
 
 def field_shares(topics: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-STEPS = 10
+#: Steps after which the iterations no longer change a rounded score.
+STEPS = 200
+_RECURSIVE = {"it": "(unit_idx, x, k)", "fwd": "(node)", "bwd": "(node)"}
 _GROUPS = {1: (17, 26), 2: (15, 16, 21, 22, 25, 31), 3: (11, 13, 19, 23, 24), 4: (27, 28, 29, 30, 34, 35, 36), 5: (12, 14, 18, 20, 32, 33)}
 _NAMES = ["Mathematics and Computer Science", "Physical Sciences and Engineering", "Life and Earth Sciences", "Biomedical and Health Sciences", "Social Sciences and Humanities"]
 _CASE = "CASE " + " ".join(f"WHEN field_idx IN {m} THEN {k}" for k, m in _GROUPS.items()) + " END::BIGINT"
@@ -60,7 +62,7 @@ W: dict[str, str] = {
   JOIN wv d ON d.work_idx = cited_idx GROUP BY 1, 2""",
     "fl": """SELECT *, n_intra >= threshold is_hcw FROM (SELECT field_idx, work_idx, publication_year, source_v, mean_citer_v, coalesce(n_intra, 0) n_intra, quantile_cont(coalesce(n_intra, 0), 0.9) OVER (PARTITION BY field_idx, publication_year) threshold
   FROM wv JOIN picked USING (work_idx) LEFT JOIN cc USING (field_idx, work_idx))""",
-    "qd": "SELECT field_idx, work_idx, CASE WHEN source_v >= 1 THEN 'H' WHEN source_v < 1 THEN 'L' END || CASE WHEN mean_citer_v >= 1 THEN 'H' WHEN mean_citer_v < 1 THEN 'L' END quadrant FROM fl",
+    "qd": "SELECT field_idx, work_idx, CASE WHEN source_v >= 1 THEN '+' WHEN source_v < 1 THEN '-' END || CASE WHEN mean_citer_v >= 1 THEN '+' WHEN mean_citer_v < 1 THEN '-' END quadrant FROM fl",
 }
 
 
@@ -76,30 +78,60 @@ def sql(body: str, **more: str) -> str:
                 order.append(name)
 
     need(body)
-    return "WITH " + ("RECURSIVE " if "it" in order else "") + ",\n".join(f"{n}{'(unit_idx, x, k)' if n == 'it' else ''} AS ({steps[n]})" for n in order) + "\n" + body
+    recursive = "RECURSIVE " if set(order) & set(_RECURSIVE) else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n}{_RECURSIVE.get(n, '')} AS ({steps[n]})" for n in order) + "\n" + body
 
 
-def _inside(block: str, a: str, b: str) -> str:
-    return f"SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM {block} WHERE src IN (SELECT unit_idx FROM {a}) AND dst IN (SELECT unit_idx FROM {b})"
+def _giant(edges: str) -> dict[str, str]:
+    """The strong component of the node of most ways through it: what it reaches and what reaches it. Nearly all nodes lie in it."""
+    return {
+        "eb": edges, "pv": "SELECT a.node FROM (SELECT src node, count(*) o FROM eb GROUP BY 1) a JOIN (SELECT dst node, count(*) i FROM eb GROUP BY 1) b ON a.node = b.node ORDER BY o * i DESC, a.node LIMIT 1",
+        "fwd": "SELECT node FROM pv UNION SELECT dst FROM fwd JOIN eb ON src = node", "bwd": "SELECT node FROM pv UNION SELECT src FROM bwd JOIN eb ON dst = node",
+        "scc": "SELECT node FROM fwd INTERSECT SELECT node FROM bwd",
+        "h": "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM eb WHERE src IN (SELECT node FROM scc) AND dst IN (SELECT node FROM scc)",
+    }
 
 
-def _power(block: str, units: str, alpha: float = 1.0, prior: str = "1.0::DOUBLE / (SELECT count(*) FROM u)") -> dict[str, str]:
-    return {
-        "u": f"SELECT * FROM {units}", "h": f"SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM {block}",
-        "it": f"SELECT unit_idx, {prior}, 0 FROM u UNION ALL SELECT dst, sum({alpha} * w * x), k + 1 FROM it JOIN h ON src = it.unit_idx WHERE k < {STEPS} GROUP BY dst, k",
-        "raw": f"SELECT unit_idx, sum(CASE WHEN k = {STEPS} THEN x ELSE {1 - alpha} * x END) x FROM it WHERE k = {STEPS} OR {alpha} < 1 GROUP BY 1",
+def _power(edges: str, units: str, alpha: float = 1.0, prior: str = "1.0::DOUBLE / (SELECT count(*) FROM u)", start: str = "u", steps: int = STEPS) -> dict[str, str]:
+    """The Perron vector, or the series of damped steps from the prior, over the giant component of edges."""
+    return _giant(edges) | {
+        "u": f"SELECT * FROM {units} WHERE unit_idx IN (SELECT node FROM scc)",
+        "it": f"SELECT unit_idx, {prior}, 0 FROM {start} UNION ALL SELECT dst, sum({alpha} * w * x), k + 1 FROM it JOIN h ON src = it.unit_idx WHERE k < {steps} GROUP BY dst, k",
+        "raw": f"SELECT unit_idx, sum(CASE WHEN k = {steps} THEN x ELSE {1 - alpha} * x END) x FROM it WHERE k = {steps} OR {alpha} < 1 GROUP BY 1",
         "pi": "SELECT u.unit_idx, a_p, coalesce(x, 0) / (SELECT sum(x) FROM raw) pi FROM u LEFT JOIN raw USING (unit_idx)",
     }
 
 
-_SI, _IS = _inside("si", "us", "uu"), _inside("iss", "uu", "us")
-_BI = {
-    "hs": _SI, "hi": _IS,
-    "it": f"SELECT unit_idx, 1.0::DOUBLE / (SELECT count(*) FROM us), 0 FROM us UNION ALL SELECT hi.dst, sum(hs.w * hi.w * x), k + 1 FROM it JOIN hs ON hs.src = it.unit_idx JOIN hi ON hi.src = hs.dst WHERE k < {STEPS} GROUP BY hi.dst, k",
-    "ps": f"SELECT us.unit_idx, a_p, coalesce(x, 0) x FROM us LEFT JOIN (SELECT * FROM it WHERE k = {STEPS}) t USING (unit_idx)",
-    "pu": "SELECT uu.unit_idx, max(uu.a_p) a_p, coalesce(sum(w * x), 0) x FROM uu LEFT JOIN (hs JOIN ps ON src = ps.unit_idx) ON dst = uu.unit_idx GROUP BY 1",
-    "sides": "SELECT 'S' unit_type, unit_idx, a_p, x / 2 / sum(x) OVER () pi FROM ps UNION ALL SELECT 'U', unit_idx, a_p, x / 2 / sum(x) OVER () FROM pu",
-}
+_BLOCKS = {"ii": "SELECT src, dst, w FROM ii", "ss": "SELECT src, dst, w FROM ss", "bi": "SELECT 2 * src src, 2 * dst + 1 dst, w FROM si UNION ALL SELECT 2 * src + 1, 2 * dst, w FROM iss"}
+_CHI = "(SELECT count(*) FILTER (node % 2 = 1) / count(*)::DOUBLE c FROM scc)"
+_FOLDED = {"ju": "SELECT 2 * unit_idx unit_idx, a_p FROM us UNION ALL SELECT 2 * unit_idx + 1, a_p FROM uu"}
+_JOINT = _FOLDED | _power("SELECT 2 * src src, 2 * dst dst, w, 0 cross_ FROM ss UNION ALL SELECT 2 * src, 2 * dst + 1, w, 1 FROM si UNION ALL SELECT 2 * src + 1, 2 * dst, w, 1 FROM iss UNION ALL SELECT 2 * src + 1, 2 * dst + 1, w, 0 FROM ii", "ju")
+_JOINT["h"] = f"SELECT src, dst, w / sum(w) OVER (PARTITION BY src) w FROM (SELECT src, dst, CASE cross_ WHEN 1 THEN c * (1 - c) * w ELSE w END w FROM eb, {_CHI} WHERE src IN (SELECT node FROM scc) AND dst IN (SELECT node FROM scc))"
+# from sources to institutions and back: even steps stand on sources; the last one and the step after it are the two sides
+_BI = _FOLDED | _power(_BLOCKS["bi"], "ju", prior="1.0::DOUBLE / (SELECT count(*) FROM u WHERE unit_idx % 2 = 0)", start="u WHERE unit_idx % 2 = 0", steps=2 * STEPS + 1) | {
+    "raw": f"SELECT unit_idx, x FROM it WHERE k >= {2 * STEPS}",
+    "pi": "SELECT u.unit_idx, a_p, coalesce(x, 0) / (2 * sum(coalesce(x, 0)) OVER (PARTITION BY u.unit_idx % 2)) pi FROM u LEFT JOIN raw USING (unit_idx)",
+}
+
+
+def _damped(prior: str, alpha: float = 0.85) -> dict[str, str]:
+    """Both sides under a prior (of a unit t of u, given ns and nu): the series of two hops each, then the institutions by one more."""
+    counts = "SELECT count(*) FILTER (unit_idx % 2 = 0) ns, count(*) FILTER (unit_idx % 2 = 1) nu FROM u"
+    return _FOLDED | _power(_BLOCKS["bi"], "ju") | {
+        "n": counts, "mu": f"SELECT unit_idx, {prior} m FROM u, n",
+        "m0": f"SELECT unit_idx, m FROM mu WHERE unit_idx % 2 = 0 UNION ALL SELECT dst, {alpha} * w * m FROM h JOIN mu ON src = unit_idx WHERE unit_idx % 2 = 1",
+        "m1": "SELECT unit_idx, sum(m) / (SELECT sum(m) FROM m0) m FROM m0 GROUP BY 1",
+        "it": f"SELECT unit_idx, m, 0 FROM m1 UNION ALL SELECT dst, sum({alpha} * w * x), k + 1 FROM it JOIN h ON src = it.unit_idx WHERE k < {2 * STEPS} GROUP BY dst, k",
+        "raw": f"SELECT unit_idx, {1 - alpha * alpha} * sum(x) x FROM it WHERE k % 2 = 0 GROUP BY 1",
+        "ru": f"SELECT unit_idx, sum(x) x FROM (SELECT dst unit_idx, {alpha} * w * x x FROM raw JOIN h ON src = unit_idx UNION ALL SELECT unit_idx, {1 - alpha} * m FROM mu WHERE unit_idx % 2 = 1) GROUP BY 1",
+        "pi": "SELECT u.unit_idx, a_p, coalesce(r.x, 0) / (2 * sum(coalesce(r.x, 0)) OVER (PARTITION BY u.unit_idx % 2)) pi FROM u LEFT JOIN (SELECT * FROM raw UNION ALL SELECT * FROM ru) r USING (unit_idx)",
+    }
+
+
+_SIDES = "SELECT CASE unit_idx % 2 WHEN 0 THEN 'S' ELSE 'U' END unit_type, unit_idx // 2 unit_idx, round(pi, 9) pi FROM pi"
+# v by the definition: pi over size, over the same of all units but the sentinel
+_V = "CASE WHEN unit_idx <> 1 THEN round((pi / a_p) / ((sum(pi) FILTER (unit_idx <> 1) OVER ()) / (sum(a_p) FILTER (unit_idx <> 1) OVER ())), 6) END v"
+_RANKED = f"SELECT unit_idx, unit_type, round(pi, 9) pi, {_V} FROM (SELECT CASE unit_idx % 2 WHEN 0 THEN 'S' ELSE 'U' END unit_type, unit_idx // 2 unit_idx, pi, a_p FROM pi)"
 _RE = lambda c: f"round({c}, 9) {c.split('.')[-1]}"
 _EL = "citer_work_idx, citer_source_idx, citer_inst_idx, round(inst_weight, 9) inst_weight, round(direct_inst_weight, 9) direct_inst_weight, cited_work_idx, cited_source_idx, cited_inst_idx, round(cited_inst_weight, 9) cited_inst_weight, round(direct_cited_inst_weight, 9) direct_cited_inst_weight, round(edge_field_weight, 9) edge_field_weight, round(R_i, 9) R_i"
 _KEYS = "SELECT p_partkey id, split_part(p_name, ' ', 1) f, split_part(p_name, ' ', 2) l, substr(p_name, 1, 1) fi, p_brand m FROM part"
@@ -131,28 +163,25 @@ SQL: dict[str, str] = {
     "block_is_rho1": sql("SELECT citer_inst_idx src, cited_source_idx dst, round(sum(e * iw), 9) w FROM (SELECT DISTINCT citer_work_idx, citer_inst_idx, cited_work_idx, cited_source_idx, inst_weight iw, edge_field_weight e FROM el) GROUP BY 1, 2"),
     "block_si_omega1": sql("SELECT citer_source_idx src, cited_inst_idx dst, round(sum(ew * iw), 9) w FROM (SELECT DISTINCT citer_work_idx, citer_source_idx, cited_work_idx, cited_inst_idx, direct_cited_inst_weight iw, ew FROM ew) GROUP BY 1, 2"),
     "block_ii_beta1": sql("SELECT citer_inst_idx src, cited_inst_idx dst, round(sum(ew * inst_weight * cited_inst_weight), 9) w FROM ew WHERE NOT (citer_source_idx = cited_source_idx AND citer_inst_idx = cited_inst_idx) GROUP BY 1, 2"),
-    "power_ii": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ii", "uu")),
-    "power_ss": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ss", "us")),
-    "katz_uniform": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ii", "uu", 0.85)),
-    "katz_unit_scaled": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power("ii", "uu", 0.85, "a_p / (SELECT sum(a_p) FROM u)")),
-    "bipartite_perron": sql("SELECT unit_type, unit_idx, round(pi, 9) pi FROM sides", **_BI),
-    "rank_by_mask": sql("SELECT unit_idx, unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1 THEN round(sum(a_p) FILTER (unit_idx <> 1) OVER s * pi / (sum(pi) FILTER (unit_idx <> 1) OVER s * a_p), 6) END v FROM sides WINDOW s AS (PARTITION BY unit_type)", **_BI),
-    "rank_dense": sql(
-        "SELECT *, dense_rank() OVER (ORDER BY pi DESC)::INT rank_pi, dense_rank() OVER (ORDER BY v DESC NULLS LAST)::INT rank_v FROM (SELECT unit_idx, 'U' unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1 THEN round((sum(a_p) FILTER (unit_idx <> 1) OVER ()) * pi / ((sum(pi) FILTER (unit_idx <> 1) OVER ()) * a_p), 6) END v FROM pi)",
-        **_power("ii", "uu"),
-    ),
-    "joint_chi": sql(
-        "SELECT unit_idx, round(pi, 9) pi FROM pi",
-        chi="SELECT (SELECT count(*) FROM uu) / ((SELECT count(*) FROM us) + (SELECT count(*) FROM uu))::DOUBLE c",
-        jt="SELECT 2 * src src, 2 * dst dst, c * c * w w FROM ss, chi UNION ALL SELECT 2 * src, 2 * dst + 1, c * (1 - c) * w FROM si, chi UNION ALL SELECT 2 * src + 1, 2 * dst, c * (1 - c) * w FROM iss, chi UNION ALL SELECT 2 * src + 1, 2 * dst + 1, (1 - c) * (1 - c) * w FROM ii, chi",
-        ju="SELECT 2 * unit_idx unit_idx, a_p FROM us UNION ALL SELECT 2 * unit_idx + 1, a_p FROM uu",
-        **_power("jt", "ju"),
-    ),
+    "power_ii": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power(_BLOCKS["ii"], "uu")),
+    "power_ss": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power(_BLOCKS["ss"], "us")),
+    "katz_uniform": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power(_BLOCKS["ii"], "uu", 0.85)),
+    "katz_by_size": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_power(_BLOCKS["ii"], "uu", 0.85, "a_p / (SELECT sum(a_p) FROM u)")),
+    "bipartite_perron": sql(_SIDES, **_BI),
+    "bipartite_uniform": sql(_SIDES, **_damped("1.0::DOUBLE / (ns + nu)")),
+    "bipartite_unit_scaled": sql(_SIDES, **_damped("0.5::DOUBLE / CASE unit_idx % 2 WHEN 0 THEN ns ELSE nu END")),
+    "bipartite_resolvent": sql(_SIDES, **(_FOLDED | _power(_BLOCKS["bi"], "ju", 0.85**0.5, steps=600))),
+    "joint_chi": sql("SELECT unit_idx, round(pi, 9) pi FROM pi", **_JOINT),
+    "rank_by_mask": sql(_RANKED, **_BI),
+    "rank_joint": sql(_RANKED, **_JOINT),
+    "rank_sources": sql(f"SELECT unit_idx, 'S' unit_type, round(pi, 9) pi, {_V} FROM pi", **_power(_BLOCKS["ss"], "us")),
+    "rank_dense": sql(f"SELECT *, dense_rank() OVER (ORDER BY pi DESC)::INT rank_pi, dense_rank() OVER (ORDER BY v DESC NULLS LAST)::INT rank_v FROM (SELECT unit_idx, 'U' unit_type, round(pi, 9) pi, {_V} FROM pi)", **_power(_BLOCKS["ii"], "uu")),
+    "giant_scc": sql("SELECT node FROM scc", **_giant(_BLOCKS["ss"])),
     "work_v": sql("SELECT work_idx, field_idx, round(source_v, 9) source_v, round(mean_inst_v, 9) mean_inst_v, round(work_v, 9) work_v FROM wv"),
     "citer_counts": sql("SELECT field_idx, work_idx, n_intra, round(mean_citer_v, 9) mean_citer_v, n_citer_hi, n_citer_lo FROM cc"),
     "hcw_flags": sql("SELECT field_idx, work_idx, publication_year, n_intra, round(threshold, 9) threshold, is_hcw FROM fl"),
     "quadrants": sql("SELECT field_idx, work_idx, quadrant FROM qd"),
-    "quadrant_pools": sql("SELECT field_idx, " + ", ".join(f"count(*) FILTER (quadrant = '{q}') \"{q}\"" for q in ("HH", "HL", "LH", "LL")) + " FROM qd GROUP BY 1"),
+    "quadrant_pools": sql("SELECT field_idx, " + ", ".join(f"count(*) FILTER (quadrant = '{q}') {n}" for q, n in (("++", "n_pp"), ("+-", "n_pm"), ("-+", "n_mp"), ("--", "n_mm"))) + " FROM qd GROUP BY 1"),
     "hcw_pctile_overrides": sql("SELECT field_idx, round(CASE field_idx WHEN 12 THEN quantile_cont(n, 0.9) WHEN 20 THEN quantile_cont(n, 0.5) ELSE quantile_cont(n, 0.99) END, 9) threshold FROM (SELECT DISTINCT field_idx, work_idx, cited_by_count n FROM fw) GROUP BY 1"),
     "field_shares": sql("SELECT work_idx, field_idx, round(sum(score) / sum(sum(score)) OVER (PARTITION BY work_idx), 3) share FROM topic GROUP BY 1, 2"),
     "author_counts_mode": sql("SELECT author_idx, institution_idx, count(*) n FROM auth GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY author_idx ORDER BY count(*) DESC, institution_idx) = 1"),

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions import names, stats
-from quillgraph.model import group_of
+from quillgraph.model import Run, group_of
 from quillgraph.operators import authors, corpus, edges, graph, reports, spectral, text, works
 from quillgraph.sources.adapters import CORPUS, RUN, Tables
 from quillgraph.sources.shared import stored
 
-STEPS = 10
+#: The rankings' tolerance: tighter than the default, so that rounded scores do not depend on the steps taken.
+TOL = 1e-12
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -51,19 +52,30 @@ def references(t: Tables) -> DataFrame:
     return kept(t, "references", lambda: corpus.corpus_references(t.references(), corpus.title_dedup(corpus.filtered_works(all_works(t), t.sources(), CORPUS))))
 
 
+def candidates(t: Tables, group_col: str, window: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    s, u = corpus.candidacy(flat(t), group_col, window)
+    return kept(t, f"s-{group_col}-{window}", lambda: s), kept(t, f"u-{group_col}-{window}", lambda: u)
+
+
 def units(t: Tables, run=RUN) -> tuple[DataFrame, DataFrame]:
-    s, u = corpus.candidacy(flat(t), run.group_col, run.window)
-    return edges.retained(kept(t, f"s-{run.group_col}-{run.window}", lambda: s), kept(t, f"u-{run.group_col}-{run.window}", lambda: u), run, run.members[0])
+    return edges.retained(*candidates(t, run.group_col, run.window), run, run.members[0])
 
 
 def edge_list(t: Tables, run=RUN) -> DataFrame:
-    return kept(t, f"edges-{run.epsilon}-{run.tau_s}-{run.tau_u}", lambda: edges.edge_list(flat(t), references(t), run, *units(t, run)))
+    made = replace(run, rho=0, omega=0, beta=0, mask="0110", alpha=1.0, chi=-1.0, prior="uniform")  # what the list does not depend on
+    return kept(t, f"edges-{made}", lambda: edges.edge_list(flat(t), references(t), run, *units(t, run)))
 
 
 def made_blocks(t: Tables, run) -> edges.Blocks:
-    b = edges.blocks(edge_list(t, run), *units(t, run), run)
-    name = f"{run.rho}-{run.omega}-{run.beta}"
-    return edges.Blocks({k: kept(t, f"{k}-{name}", lambda d=d: d) for k, d in b.blocks.items()}, kept(t, "sources", lambda: b.sources), kept(t, "institutions", lambda: b.institutions))
+    b, key = edges.blocks(edge_list(t, run), *units(t, run), run), replace(run, mask="0110", alpha=1.0, chi=-1.0, prior="uniform")
+    sides = {n: kept(t, f"{n}-{key}", lambda d=d: d) for n, d in (("sources", b.sources), ("institutions", b.institutions))}
+    return edges.Blocks({k: kept(t, f"{k}-{key}", lambda d=d: d) for k, d in b.blocks.items()}, **sides)
+
+
+def giant_blocks(t: Tables, run) -> edges.Blocks:
+    g = edges.giant(made_blocks(t, run), run)
+    sides = {n: kept(t, f"giant-{n}-{run}", lambda d=d: d) for n, d in (("sources", g.sources), ("institutions", g.institutions))}
+    return edges.Blocks({k: kept(t, f"giant-{k}-{run}", lambda d=d: d) for k, d in g.blocks.items()}, **sides)
 
 
 # corpus
@@ -191,59 +203,91 @@ def active_units(t):
 
 
 def ranking(**options) -> Callable:
-    """Registers a ranking twice: as its SQL has it, of all active units, and as giant_..., the whole job, of the giant component
-    and to the tolerance."""
+    """Registers a ranking of a run: over the giant strong component of its blocks, iterated to the tolerance."""
 
-    def register(f: Callable[[edges.Blocks, int | None], DataFrame]) -> Callable:
+    def register(f: Callable[[edges.Blocks, Run], DataFrame]) -> Callable:
         run = replace(RUN, **options)
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(made_blocks(Tables(spark, sf_dir), run), STEPS)
-        QUERIES[f"giant_{f.__name__}"] = lambda spark, sf_dir: f(edges.giant(made_blocks(Tables(spark, sf_dir), run), run), None)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(giant_blocks(Tables(spark, sf_dir), run), run)
         return f
 
     return register
 
 
+def both_sides(s: DataFrame, u: DataFrame) -> DataFrame:
+    return s.select(F.lit("S").alias("unit_type"), "unit_idx", *r9("pi")).union(u.select(F.lit("U"), "unit_idx", *r9("pi")))
+
+
 @ranking(mask="0001")
-def power_ii(b, steps):
-    return spectral.power(b.blocks["ii"], b.institutions, steps).select("unit_idx", *r9("pi"))
+def power_ii(b, run):
+    return spectral.power(b.blocks["ii"], b.institutions, tol=TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking(mask="1000")
-def power_ss(b, steps):
-    return spectral.power(b.blocks["ss"], b.sources, steps).select("unit_idx", *r9("pi"))
+def power_ss(b, run):
+    return spectral.power(b.blocks["ss"], b.sources, tol=TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking(mask="0001")
-def katz_uniform(b, steps):
-    return spectral.power(b.blocks["ii"], b.institutions, steps, 0.85).select("unit_idx", *r9("pi"))
+def katz_uniform(b, run):
+    return spectral.katz(b.blocks["ii"], b.institutions, None, 0.85, tol=TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking(mask="0001")
-def katz_unit_scaled(b, steps):
-    return spectral.power(b.blocks["ii"], b.institutions, steps, 0.85, spectral.unit_scaled(b.institutions)).select("unit_idx", *r9("pi"))
+def katz_by_size(b, run):
+    """Katz scores under a prior in proportion to the units' sizes."""
+    prior = b.institutions.select("unit_idx", F.col("a_p").alias("pi"))
+    return spectral.katz(b.blocks["ii"], b.institutions, None, 0.85, prior, TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking()
-def bipartite_perron(b, steps):
-    s, u = spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, steps)
-    return s.select(F.lit("S").alias("unit_type"), "unit_idx", *r9("pi")).union(u.select(F.lit("U"), "unit_idx", *r9("pi")))
+def bipartite_perron(b, run):
+    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, tol=TOL))
+
+
+@ranking(alpha=0.85)
+def bipartite_uniform(b, run):
+    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, None, run.alpha, "uniform", TOL))
+
+
+@ranking(alpha=0.85, prior="unit_scaled")
+def bipartite_unit_scaled(b, run):
+    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, None, run.alpha, "unit_scaled", TOL))
+
+
+@ranking(alpha=0.85)
+def bipartite_resolvent(b, run):
+    return both_sides(*spectral.resolvent(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, run.alpha, TOL))
 
 
 @ranking(mask="1111")
-def joint_chi(b, steps):
-    h, us = spectral.joint_graph(b)
-    return spectral.power(h, us, steps).select("unit_idx", *r9("pi"))
+def joint_chi(b, run):
+    h, us = spectral.joint_graph(b, run.chi)
+    return spectral.power(h, us, tol=TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking(mask="0001")
-def rank_dense(b, steps):
-    v = spectral.size_adjusted(spectral.power(b.blocks["ii"], b.institutions, steps), b.institutions).select("unit_idx", F.lit("U").alias("unit_type"), *r9("pi"), F.round("v", 6).alias("v"))
-    return spectral.dense_ranks(v)
+def rank_dense(b, run):
+    v = spectral.size_adjusted((spectral.power(b.blocks["ii"], b.institutions, tol=TOL), b.institutions, "U"))
+    return spectral.dense_ranks(v.select("unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v")))
+
+
+def ranked(b: edges.Blocks, run: Run) -> DataFrame:
+    return spectral.rank(b, run, tol=TOL).select("unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
 
 
 @ranking()
-def rank_by_mask(b, steps):
-    return spectral.rank(b, RUN, steps).select("unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
+def rank_by_mask(b, run):
+    return ranked(b, run)
+
+
+@ranking(mask="1111")
+def rank_joint(b, run):
+    return ranked(b, run)
+
+
+@ranking(mask="1000")
+def rank_sources(b, run):
+    return ranked(b, run)
 
 
 @query
@@ -478,4 +522,4 @@ def nmf_topics(t):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Institutions of the giant component ranked by the Perron vector of their citation graph."""
-    return QUERIES["giant_rank_dense"](spark, sf_dir)
+    return QUERIES["rank_dense"](spark, sf_dir)

@@ -14,11 +14,13 @@ FW = "work_idx long, publication_year long, source_idx long, institution_idx lon
 
 
 @pytest.fixture(scope="module")
-def four(spark):
-    rows = [(w, 2021, s, u, c, 1.0, 1.0, 1700, 17, 1.0, 1) for w, s, u, c in ((1, 101, 201, "AU"), (2, 101, 201, "AU"), (3, 102, 201, "AU"), (4, 103, 202, "IN"))]
-    refs = spark.createDataFrame([(1, 3), (1, 2), (3, 1), (1, 4)], "citer_idx long, cited_idx long")
-    sc = spark.createDataFrame([(17, 101, 100.0), (17, 102, 100.0), (17, 103, 10.0)], "group_idx long, source_idx long, weighted_works double")
-    ic = spark.createDataFrame([(17, 201, 100.0), (17, 202, 10.0)], "group_idx long, institution_idx long, weighted_works double")
+def toy(spark):
+    """Works 11 to 15 of field 25: sources 7, 7, 8, 9, 8; all of institution 31 but 14, which is of 32. Source 9 and
+    institution 32 are too small. Citations 11-12, 11-13, 11-15, 11-14, 13-12, 15-11; so R is 3, 1, 1 and its mean 5/3."""
+    rows = [(w, 2022, s, u, c, 1.0, 1.0, 2501, 25, 1.0, 2) for w, s, u, c in ((11, 7, 31, "NZ"), (12, 7, 31, "NZ"), (13, 8, 31, "NZ"), (14, 9, 32, "FJ"), (15, 8, 31, "NZ"))]
+    refs = spark.createDataFrame([(11, 12), (11, 13), (11, 15), (11, 14), (13, 12), (15, 11)], "citer_idx long, cited_idx long")
+    sc = spark.createDataFrame([(25, 7, 70.0), (25, 8, 80.0), (25, 9, 5.0)], "group_idx long, source_idx long, weighted_works double")
+    ic = spark.createDataFrame([(25, 31, 150.0), (25, 32, 5.0)], "group_idx long, institution_idx long, weighted_works double")
     return spark.createDataFrame(rows, FW), refs, sc, ic
 
 
@@ -26,30 +28,63 @@ def as_dict(df, *keys):
     return {tuple(r[k] for k in keys): r for r in df.collect()}
 
 
-@pytest.mark.parametrize("options,expected", [({}, {101: 2.25, 102: 0.75}), ({"rho": 1}, {101: 2.0, 102: 1.0}), ({"beta": 1}, {101: 1.5, 102: 0.75})])
-def test_block_weights(four, options, expected):
-    fw, refs, sc, ic = four
-    run = Run("field_idx", (17,), **options)
-    s, u = edges.retained(sc, ic, run, 17)
+@pytest.mark.parametrize("options,expected", [({}, {7: 35 / 9, 8: 10 / 9}), ({"rho": 1}, {7: 3.0, 8: 2.0}), ({"beta": 1}, {7: 10 / 3, 8: 10 / 9})])
+def test_block_weights(toy, options, expected):
+    fw, refs, sc, ic = toy
+    run = Run("field_idx", (25,), **options)
+    s, u = edges.retained(sc, ic, run, 25)
     el = edges.edge_list(fw, refs, run, s, u)
-    assert el.count() == 3
+    assert el.count() == 5
     got = {r["dst"]: r["w"] for r in edges.blocks(el, s, u, run).blocks["is"].collect()}
     assert got == pytest.approx(expected)
 
 
-def test_sentinel_edges_and_masked_score(four):
-    fw, refs, sc, ic = four
-    run = Run("field_idx", (17,), epsilon=1)
-    s, u = edges.retained(sc, ic, run, 17)
+def test_sentinel_edges_and_masked_score(toy):
+    fw, refs, sc, ic = toy
+    run = Run("field_idx", (25,), epsilon=1)
+    s, u = edges.retained(sc, ic, run, 25)
     el = edges.edge_list(fw, refs, run, s, u)
     assert el.filter("cited_source_idx = 1").count() == 1
-    r = as_dict(spectral.rank(edges.blocks(el, s, u, run), run, 20), "unit_type", "unit_idx")
+    b = edges.giant(edges.blocks(el, s, u, run), run)
+    assert {r[0] for r in b.sources.select("unit_idx").collect()} == {1, 7, 8}  # the sentinel, which nothing leaves, stays
+    r = as_dict(spectral.rank(b, run, 20), "unit_type", "unit_idx")
     assert r["S", 1]["v"] is None and sum(x["pi"] for x in r.values()) == pytest.approx(1)
+    real = [x for k, x in r.items() if k[1] != 1]
+    assert sum(x["v"] * x["a_p"] for x in real) == pytest.approx(sum(x["a_p"] for x in real))  # over both sides together
 
 
-def test_bloc_keeps_unknown_countries(spark, four):
-    fw = four[0].withColumn("country_code", F.when(F.col("work_idx") == 2, None).otherwise(F.col("country_code")))
-    assert {r[0] for r in edges.bloc_excluded(fw, Run("field_idx", (17,)), frozenset({"AU"})).collect()} == {4}
+def test_priors_and_joint_scaling(spark):
+    unit = lambda *x: spark.createDataFrame([(k, float(k)) for k in x], "unit_idx long, a_p double")
+    s, u = spectral.joint_prior(unit(1, 2, 3), unit(4), "uniform")
+    assert {r["pi"] for r in s.union(u).collect()} == {0.25}
+    s, u = spectral.joint_prior(unit(1, 2, 3), unit(4), "unit_scaled")
+    assert {round(r["pi"], 9) for r in s.collect()} == {round(1 / 6, 9)} and u.first()["pi"] == 0.5
+    one = spark.createDataFrame([(2, 2, 1.0)], "src long, dst long, w double")
+    b = edges.Blocks({k: one for k in ("ss", "si", "is", "ii")}, unit(2), unit(2, 5, 6))
+    h, us = spectral.joint_graph(b)
+    assert {(r["src"], r["dst"]): r["w"] for r in h.collect()} == pytest.approx({(4, 4): 1.0, (4, 5): 3 / 16, (5, 4): 3 / 16, (5, 5): 1.0}) and us.count() == 4
+
+
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_damped_scores_of_both_sides(spark, monkeypatch, local):
+    """One source and one institution more than the chain between sources 1, 2 and institutions 3, 4 keeps apart."""
+    monkeypatch.setattr(spectral, "LOCAL_EDGES", local)
+    si = spark.createDataFrame([(1, 3, 1.0), (2, 3, 1.0), (2, 4, 1.0)], "src long, dst long, w double")
+    is_ = spark.createDataFrame([(3, 1, 1.0), (4, 2, 1.0)], "src long, dst long, w double")
+    unit = lambda *x: spark.createDataFrame([(k, 1.0) for k in x], "unit_idx long, a_p double")
+    a, m = 0.5, 0.25
+    # by hand: the prior of sources is m + a m each, scaled to a half each; x1 = a^2 (x1 + x2 / 2) + (1 - a^2) / 2
+    x2 = (1 - a * a) / 2 / (1 - a * a / 2)
+    x1 = 1 - x2
+    u = [a * (x1 + x2 / 2) + (1 - a) * m, a * x2 / 2 + (1 - a) * m]
+    s, i = spectral.bipartite(si, is_, unit(1, 2), unit(3, 4), 12, a)
+    assert {r["unit_idx"]: r["pi"] for r in s.collect()} == pytest.approx({1: x1 / 2, 2: x2 / 2}, abs=1e-6)
+    assert {r["unit_idx"]: r["pi"] for r in i.collect()} == pytest.approx({3: u[0] / sum(u) / 2, 4: u[1] / sum(u) / 2}, abs=1e-6)
+
+
+def test_bloc_keeps_unknown_countries(toy):
+    fw = toy[0].withColumn("country_code", F.when(F.col("work_idx") == 12, None).otherwise(F.col("country_code")))
+    assert {r[0] for r in edges.bloc_excluded(fw, Run("field_idx", (25,)), frozenset({"NZ"})).collect()} == {14}
 
 
 def test_author_fractions(spark):
@@ -88,11 +123,14 @@ def test_toy_graphs(spark, monkeypatch, local):
         assert [r["pi"] for r in side.collect()] == pytest.approx([0.25, 0.25])
 
 
-def test_katz_returns_dangling_mass(spark):
-    h = spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, w double")
-    units = spark.createDataFrame([(0, 1.0), (1, 1.0)], "unit_idx long, a_p double")
-    got = {r["unit_idx"]: r["pi"] for r in spectral.katz(h, units, 40, 0.85).collect()}
-    assert got == pytest.approx({0: 20 / 57, 1: 37 / 57}, abs=1e-4)
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_katz_returns_dangling_mass(spark, monkeypatch, local):
+    """With damping a half a unit that points to one without links has m = (x / 2 + 1 / 2) / 2 of x there, where x is m and a half m."""
+    monkeypatch.setattr(spectral, "LOCAL_EDGES", local)
+    h = spark.createDataFrame([(5, 6, 2.0)], "src long, dst long, w double")
+    units = spark.createDataFrame([(5, 1.0), (6, 1.0)], "unit_idx long, a_p double")
+    got = {r["unit_idx"]: r["pi"] for r in spectral.katz(h, units, None, 0.5, tol=1e-3).collect()}
+    assert got == pytest.approx({5: 0.4, 6: 0.6}, abs=2e-3)
 
 
 def test_components(spark):
@@ -150,11 +188,10 @@ def test_rankings_reach_the_tolerance_or_fail(spark, monkeypatch, local):
 def test_flagship_ranks_the_giant_component(spark):
     from quillgraph.plans import queries as q
 
-    assert q.flagship(spark, "/root/testdata/sf0.001").count() == 10
-    d = "/root/testdata/sf0.01"
-    t = q.Tables(spark, d)
+    d = "/root/testdata/sf0.001"
+    assert q.flagship(spark, d).count() == 10
     s = {r[0] for r in q.QUERIES["giant_scc"](spark, d).collect()}
-    assert {r[0] for r in q.QUERIES["giant_power_ss"](spark, d).collect()} == s and len(s) < q.made_blocks(t, q.replace(q.RUN, mask="1000")).sources.count()
+    assert {r[0] for r in q.QUERIES["power_ss"](spark, d).collect()} == s
 
 
 def test_hcw_all_equal_are_flagged(spark):
@@ -163,9 +200,9 @@ def test_hcw_all_equal_are_flagged(spark):
 
 
 def test_names(spark):
-    d = spark.createDataFrame([("Jürgen  Schmidt",), ("Ghassan Abou‑Alfa",)], "n string")
+    d = spark.createDataFrame([("Zoë  Brontë",), ("Óscar Ruiz‑Peña",)], "n string")
     got = [r[0] for r in d.select(names.last_norm(names.folded(names.clean_name(F.col("n"))))).collect()]
-    assert got == ["schmidt", "abou-alfa"]
+    assert got == ["bronte", "ruiz-pena"]
 
 
 def test_statistics(spark):
@@ -187,7 +224,7 @@ def test_run_checks_its_parameters():
         Run(mask="2222")
 
 
-@pytest.mark.parametrize("name", ["flat_works", "edge_list_epsilon", "bipartite_perron", "rank_by_mask", "hcw_flags", "waterfall_match"])
+@pytest.mark.parametrize("name", ["flat_works", "edge_list_epsilon", "bipartite_unit_scaled", "rank_joint", "hcw_flags", "waterfall_match", "enclave_networks"])
 def test_query_against_sql(spark, name):
     import __spark_entry__ as e
 
