@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import names, stats
 from quillgraph.model import Corpus, Run
 from quillgraph.operators import authors, corpus, edges, graph, spectral, works
+from quillgraph.sources.shared import stored
 
 FW = "work_idx long, publication_year long, source_idx long, institution_idx long, country_code string, inst_weight double, direct_inst_weight double, subfield_idx long, field_idx long, field_weight double, leiden_idx long"
 
@@ -43,9 +44,11 @@ def test_sentinel_edges_and_masked_score(toy):
     fw, refs, sc, ic = toy
     run = Run("field_idx", (25,), epsilon=1)
     s, u = edges.retained(sc, ic, run, 25)
-    el = edges.edge_list(fw, refs, run, s, u)
+    el = stored(edges.edge_list(fw, refs, run, s, u))
     assert el.filter("cited_source_idx = 1").count() == 1
-    b = edges.giant(edges.blocks(el, s, u, run), run)
+    raw = edges.blocks(el, s, u, run)
+    b = edges.giant(edges.Blocks({k: stored(d) for k, d in raw.blocks.items()}, stored(raw.sources), stored(raw.institutions)), run)
+    b = edges.Blocks({k: stored(d) for k, d in b.blocks.items()}, stored(b.sources), stored(b.institutions))
     assert {r[0] for r in b.sources.select("unit_idx").collect()} == {1, 7, 8}  # the sentinel, which nothing leaves, stays
     r = as_dict(spectral.rank(b, run, 20), "unit_type", "unit_idx")
     assert r["S", 1]["v"] is None and sum(x["pi"] for x in r.values()) == pytest.approx(1)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillgraph import runs
 from quillgraph.functions import compare
 from quillgraph.model import Run
-from quillgraph.operators import enclaves, ranking, spectral, text
+from quillgraph.operators import edges, enclaves, ranking, spectral, text
 from quillgraph.sources import files
+from quillgraph.sources.shared import stored
 
 
 def test_p_values():
@@ -126,12 +127,13 @@ def test_group_end_to_end(spark):
     refs = spark.createDataFrame([(w, (w * 5 + 1) % 12) for w in range(12)] + [(w, (w + 5) % 12) for w in range(12)], "citer_idx long, cited_idx long")
     run = Run("subfield_idx", (2501, 2502), (2020, 2024), tau_s=0.1, tau_u=0.1)
     d = spark.createDataFrame(rows, fw)
-    out = ranking.rank_units(d, refs, run, {1: [2501, 2502], 2: [9999]})
+    out = ranking.rank_units(d, refs, run, {1: [2501, 2502], 2: [9999]}, keep=stored)
     assert out[2] is None
     r = out[1].collect()
     assert {x["group_idx"] for x in r} == {1} and sum(x["pi"] for x in r) == pytest.approx(1) and min(x["rank_v"] for x in r) == 1
     cands = ranking.unit_candidates(d, run.window, {1: [2501, 2502]})
-    b = ranking.group_blocks(d, refs, cands, run, 1)
+    b = ranking.group_blocks(d, refs, cands, run, 1, keep=stored)
+    b = edges.Blocks({k: stored(x) for k, x in b.blocks.items()}, stored(b.sources), stored(b.institutions))
     diag = ranking.diagnostics(b, cands, run, 1)
     assert (diag["n_s_cands"], diag["n_u_cands"]) == (3, 2) and diag["lam1"] == pytest.approx(1) and 0 <= diag["lam2"] < 1
     v = ranking.variants(run)
