@@ -123,7 +123,7 @@ SQL: dict[str, str] = {
     ),
     "waterfall_institutions": q(
         "SELECT a.id person, coalesce(s, 0)::INT stage, CASE WHEN k = 1 THEN 1 ELSE coalesce(n, 0) END::BIGINT n_cands, CASE WHEN n IS NULL THEN 'zero' WHEN n = 1 THEN 'unique' WHEN k = 1 THEN 'inst_resolved' ELSE 'ambiguous' END match_status, coalesce(CASE WHEN n = 1 THEN o WHEN k = 1 THEN ft END, -1) candidate FROM nm_ a LEFT JOIN g_ ON g_.p = a.id WHERE a.id % 2 = 0",
-        m_=" UNION ALL ".join(f"SELECT p.id p, c.id c, {k} s, p.affil = c.affil fits FROM nm_ p JOIN nm_ c ON p.id % 2 = 0 AND c.id % 2 = 1 AND {on}" for k, on in enumerate(("p.fst = c.fst AND p.mid = c.mid AND p.lst = c.lst", "p.fst = c.fst AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.mid = c.mid AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.lst = c.lst"), 1)),
+        m_=" UNION ALL ".join(f"SELECT p.id p, c.id c, {k} s, contains(p.affil || ', Nowhere', c.affil) OR contains(c.affil, p.affil) fits FROM nm_ p JOIN nm_ c ON p.id % 2 = 0 AND c.id % 2 = 1 AND {on}" for k, on in enumerate(("p.fst = c.fst AND p.mid = c.mid AND p.lst = c.lst", "p.fst = c.fst AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.mid = c.mid AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.lst = c.lst"), 1)),
         g_="SELECT p, s, count(*) n, count(*) FILTER (fits) k, max(c) o, max(c) FILTER (fits) ft FROM m_ GROUP BY 1, 2 QUALIFY s = min(s) OVER (PARTITION BY p)",
     ),
     "cluster_scores": q("SELECT author_idx // 10 AS cluster, count(*) n_authors, count(n) n_found, coalesce(sum(n), 0)::BIGINT n_hcw, round(1 - count(n) / count(*)::DOUBLE, 6) miss_rate FROM (SELECT DISTINCT author_idx FROM auth) LEFT JOIN (SELECT author_idx, sum(n_hcw) n FROM fa_ GROUP BY 1) USING (author_idx) GROUP BY 1"),
