@@ -56,9 +56,9 @@ def country_benchmark(ranked: DataFrame) -> DataFrame:
     return ranked.filter(v.isNotNull()).groupBy("country_code").agg(F.count("*").alias("n_units"), F.round(100 * F.avg(F.when(v >= 1, 1.0).otherwise(0.0)), 2).alias("pct_ge_1"), F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.median("v"), 6).alias("median_v"), F.round(F.sum("v"), 6).alias("sum_v"))
 
 
-def national_rank(ranked: DataFrame) -> DataFrame:
-    """Rank of v inside a country, ties sharing the least."""
-    return ranked.withColumn("national_rank", F.rank().over(W.partitionBy("country_code").orderBy(F.desc_nulls_last(F.round("v", 9)))).cast("int"))
+def national_rank(ranked: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rank of v inside a country (and the keys), ties sharing the least."""
+    return ranked.withColumn("national_rank", F.rank().over(W.partitionBy(*keys, "country_code").orderBy(F.desc_nulls_last(F.round("v", 9)))).cast("int"))
 
 
 def whitelist_match(listed: DataFrame, sources: DataFrame) -> DataFrame:

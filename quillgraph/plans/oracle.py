@@ -145,10 +145,10 @@ SQL: dict[str, str] = {
     "taxonomy_case": sql(f"SELECT DISTINCT field_idx, {_CASE} leiden_idx, {_CASE_NAME} leiden_name FROM topic"),
     "flat_works": sql("SELECT * REPLACE (round(inst_weight, 9) AS inst_weight, round(direct_inst_weight, 9) AS direct_inst_weight, round(field_weight, 9) AS field_weight) FROM fw"),
     "corpus_refs": sql("SELECT citer_idx, cited_idx FROM cr"),
-    "refs_nested_explode": sql("SELECT citer_idx, cited_idx FROM refs WHERE citer_idx IN (SELECT work_idx FROM works WHERE publication_year >= 1997) AND cited_idx IN (SELECT work_idx FROM works WHERE publication_year >= 1997)"),
+    "refs_nested_explode": sql("SELECT citer_idx, cited_idx FROM refs WHERE citer_idx IN (SELECT work_idx FROM picked) AND cited_idx IN (SELECT work_idx FROM picked)"),
     "cand_source": sql(f"SELECT group_idx, source_idx, {_RE('weighted_works')} FROM cs"),
     "cand_inst": sql(f"SELECT group_idx, institution_idx, {_RE('weighted_works')} FROM cu"),
-    "cand_rollup": sql("SELECT g group_idx, institution_idx, round(sum(weighted_works), 9) weighted_works FROM cu JOIN (VALUES (1, 12), (1, 13), (1, 14), (2, 14), (2, 20), (2, 21)) v(g, f) ON group_idx = f GROUP BY 1, 2"),
+    "cand_rollup": sql("SELECT g group_idx, institution_idx, round(sum(weighted_works), 9) weighted_works FROM cu JOIN (SELECT 1 g, unnest(range(11, 25)) f UNION ALL SELECT 2, unnest(range(20, 37))) v ON group_idx = f GROUP BY 1, 2"),
     "retained_units_whitelist": sql("SELECT 'S' unit_type, source_idx unit_idx, round(weighted_works, 9) weighted_works FROM gs WHERE weighted_works >= 1.5 OR source_idx % 10 = 0 AND weighted_works >= 0.2 UNION ALL SELECT 'U', institution_idx, round(weighted_works, 9) FROM gu WHERE weighted_works >= 2.5"),
     "bloc_excluded_works": sql("SELECT DISTINCT work_idx FROM fw WHERE leiden_idx = 4 AND publication_year BETWEEN 1996 AND 2000 AND country_code NOT IN (" + ", ".join(f"'NATION_{k}'" for k in range(20)) + ")"),
     "work_pairs": sql("SELECT citer_idx citer_work_idx, cited_idx cited_work_idx, round(efw, 9) edge_field_weight FROM pairs"),
@@ -211,12 +211,12 @@ SQL: dict[str, str] = {
     "cross_field_pairs": sql("SELECT a.field_idx field_a, b.field_idx field_b, count(*) n_works FROM f a JOIN f b ON a.work_idx = b.work_idx AND a.field_idx < b.field_idx GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20", f="SELECT DISTINCT work_idx, field_idx FROM fw"),
     "country_report": sql("SELECT country_code, count(DISTINCT work_idx) n_works, count(DISTINCT institution_idx) n_inst, count(DISTINCT source_idx) n_sources, count(DISTINCT CASE WHEN publication_year >= 2000 THEN work_idx END) n_recent, count(DISTINCT CASE WHEN leiden_idx = 4 THEN work_idx END) n_health FROM fw GROUP BY 1"),
     "share_by_year": sql(
-        "SELECT country_code, " + ", ".join(f"round(max(k / n::DOUBLE) FILTER (y = {y}), 9) y{y}" for y in (1996, 1998, 2000)) + ", coalesce(sum(k) FILTER (y < 1999), 0)::BIGINT early, coalesce(sum(k) FILTER (y >= 1999), 0)::BIGINT late, CASE WHEN sum(k) FILTER (y < 1999) > 0 THEN round(coalesce(sum(k) FILTER (y >= 1999), 0) / sum(k) FILTER (y < 1999)::DOUBLE - 1, 9) END growth FROM c JOIN n USING (y) GROUP BY 1",
+        "SELECT country_code, " + ", ".join(f"round(max(k / n::DOUBLE) FILTER (y = {y}), 9) y{y}" for y in range(1995, 2002)) + ", coalesce(sum(k) FILTER (y < 1999), 0)::BIGINT early, coalesce(sum(k) FILTER (y >= 1999), 0)::BIGINT late, CASE WHEN sum(k) FILTER (y < 1999) > 0 THEN round(coalesce(sum(k) FILTER (y >= 1999), 0) / sum(k) FILTER (y < 1999)::DOUBLE - 1, 9) END growth FROM c JOIN n USING (y) GROUP BY 1",
         c="SELECT country_code, publication_year y, count(DISTINCT work_idx) k FROM fw GROUP BY 1, 2", n="SELECT publication_year y, count(DISTINCT work_idx) n FROM fw GROUP BY 1",
     ),
-    "pivot_units": sql("SELECT unit_idx, " + ", ".join(f"round(max(v) FILTER (field_idx = {f}), 6) f{f}" for f in (12, 13, 14)) + ", round(sum(v) FILTER (field_idx IN (12, 13, 14)), 6) total FROM rk WHERE unit_type = 'U' GROUP BY 1"),
+    "pivot_units": sql("SELECT unit_idx, " + ", ".join(f"round(max(v) FILTER (field_idx = {f}), 6) f{f}" for f in range(11, 37)) + ", round(sum(v), 6) total FROM rk WHERE unit_type = 'U' GROUP BY 1"),
     "country_benchmark": sql("SELECT country_code, count(*) n_units, round(100 * avg(CASE WHEN v >= 1 THEN 1.0::DOUBLE ELSE 0 END), 2) pct_ge_1, round(avg(v), 6) mean_v, round(median(v), 6) median_v, round(sum(v), 6) sum_v FROM rk JOIN inst ON unit_idx = institution_idx WHERE unit_type = 'U' GROUP BY 1"),
-    "national_rank": sql("SELECT unit_idx, country_code, v, rank() OVER (PARTITION BY country_code ORDER BY round(v, 9) DESC NULLS LAST)::INT national_rank FROM rk JOIN inst ON unit_idx = institution_idx WHERE unit_type = 'U' AND field_idx = 14"),
+    "national_rank": sql("SELECT field_idx, unit_idx, country_code, v, rank() OVER (PARTITION BY field_idx, country_code ORDER BY round(v, 9) DESC NULLS LAST)::INT national_rank FROM rk JOIN inst ON unit_idx = institution_idx WHERE unit_type = 'U'"),
     "issn_title_match": sql(
         "SELECT * FROM one UNION ALL SELECT list_id, min(source_idx), 'title' FROM li JOIN src ON trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g')) WHERE list_id NOT IN (SELECT list_id FROM one) GROUP BY 1",
         sk="SELECT source_idx, unnest([lpad((source_idx // 7)::VARCHAR, 4, '0') || lpad((source_idx % 977)::VARCHAR, 4, '0'), lpad(((source_idx + 3) // 7)::VARCHAR, 4, '0') || lpad(((source_idx + 3) % 977)::VARCHAR, 4, '0')]) i FROM src",

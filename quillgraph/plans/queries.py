@@ -120,7 +120,7 @@ def corpus_refs(t):
 @query
 def refs_nested_explode(t):
     nested = t.references().groupBy("citer_idx").agg(F.collect_list("cited_idx").alias("cited_list"))
-    return corpus.corpus_references(nested, all_works(t).filter("publication_year >= 1997"))
+    return corpus.corpus_references(nested, corpus.filtered_works(all_works(t), t.sources(), CORPUS))
 
 
 @query
@@ -135,7 +135,7 @@ def cand_inst(t):
 
 @query
 def cand_rollup(t):
-    return corpus.roll_up(corpus.candidacy(flat(t), "field_idx", RUN.window)[1], "institution_idx", {1: [12, 13, 14], 2: [14, 20, 21]}).select("group_idx", "institution_idx", *r9("weighted_works"))
+    return corpus.roll_up(corpus.candidacy(flat(t), "field_idx", RUN.window)[1], "institution_idx", {1: list(range(11, 25)), 2: list(range(20, 37))}).select("group_idx", "institution_idx", *r9("weighted_works"))
 
 
 @query
@@ -435,12 +435,12 @@ def country_report(t):
 
 @query
 def share_by_year(t):
-    return reports.share_by_year(flat(t), [1996, 1998, 2000], 1999)
+    return reports.share_by_year(flat(t), list(range(1995, 2002)), 1999)
 
 
 @query
 def pivot_units(t):
-    return reports.unit_pivot(rankings(t).filter("unit_type = 'U'"), [12, 13, 14])
+    return reports.unit_pivot(rankings(t).filter("unit_type = 'U'"), list(range(11, 37)))
 
 
 @query
@@ -451,8 +451,8 @@ def country_benchmark(t):
 
 @query
 def national_rank(t):
-    r = rankings(t).filter("unit_type = 'U' AND field_idx = 14").join(t.institutions().select(F.col("institution_idx").alias("unit_idx"), "country_code"), "unit_idx")
-    return reports.national_rank(r).select("unit_idx", "country_code", "v", "national_rank")
+    r = rankings(t).filter("unit_type = 'U'").join(t.institutions().select(F.col("institution_idx").alias("unit_idx"), "country_code"), "unit_idx")
+    return reports.national_rank(r, ["field_idx"]).select("field_idx", "unit_idx", "country_code", "v", "national_rank")
 
 
 @query
