@@ -32,10 +32,12 @@ def inst_weights(auth: DataFrame, institutions: DataFrame, works: DataFrame | No
     if works is not None:
         a = a.join(works.select("work_idx"), "work_idx", "left_semi")
     a = a.join(institutions.select("institution_idx", "country_code"), "institution_idx")
-    per = a.groupBy("work_idx", "author_idx").agg(F.countDistinct("institution_idx").alias("n_inst"))
-    authors = per.groupBy("work_idx").agg(F.count("*").alias("n_authors"))
-    a = a.join(per, ["work_idx", "author_idx"]).join(authors, "work_idx")
-    iw = a.groupBy("work_idx", "institution_idx").agg(F.max("country_code").alias("country_code"), F.sum(F.lit(1.0) / F.col("n_authors") / F.col("n_inst")).alias("inst_weight"))
+    # one partitioning by work serves all steps; a work has few authorships
+    a = a.repartition("work_idx").groupBy("work_idx", "author_idx", "institution_idx").agg(F.max("country_code").alias("country_code"), F.count("*").alias("k"))
+    author = W.partitionBy("work_idx", "author_idx")
+    a = a.withColumns({"n_inst": F.count("*").over(author), "first": (F.row_number().over(author.orderBy("institution_idx")) == 1).cast("int")})
+    a = a.withColumn("n_authors", F.sum("first").over(W.partitionBy("work_idx")))
+    iw = a.groupBy("work_idx", "institution_idx").agg(F.max("country_code").alias("country_code"), F.sum(F.col("k") / F.col("n_authors") / F.col("n_inst")).alias("inst_weight"))
     return iw.withColumn("direct_inst_weight", F.lit(1.0) / F.count("*").over(W.partitionBy("work_idx")))
 
 

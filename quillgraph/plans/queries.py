@@ -40,8 +40,12 @@ def kept(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     return _kept[key]
 
 
+def all_references(t: Tables) -> DataFrame:
+    return kept(t, "all references", t.references)
+
+
 def all_works(t: Tables) -> DataFrame:
-    return kept(t, "works", t.works)
+    return kept(t, "works", lambda: t.works(all_references(t)))
 
 
 def flat(t: Tables) -> DataFrame:
@@ -49,7 +53,7 @@ def flat(t: Tables) -> DataFrame:
 
 
 def references(t: Tables) -> DataFrame:
-    return kept(t, "references", lambda: corpus.corpus_references(t.references(), corpus.title_dedup(corpus.filtered_works(all_works(t), t.sources(), CORPUS))))
+    return kept(t, "references", lambda: corpus.corpus_references(all_references(t), corpus.title_dedup(corpus.filtered_works(all_works(t), t.sources(), CORPUS))))
 
 
 def candidates(t: Tables, group_col: str, window: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +123,7 @@ def corpus_refs(t):
 
 @query
 def refs_nested_explode(t):
-    nested = t.references().groupBy("citer_idx").agg(F.collect_list("cited_idx").alias("cited_list"))
+    nested = all_references(t).groupBy("citer_idx").agg(F.collect_list("cited_idx").alias("cited_list"))
     return corpus.corpus_references(nested, corpus.filtered_works(all_works(t), t.sources(), CORPUS))
 
 

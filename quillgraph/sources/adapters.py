@@ -45,13 +45,14 @@ class Tables:
         a, b = first.toDF("p", "citer_idx"), first.toDF("p", "cited_idx")
         return a.join(b, "p").filter("citer_idx > cited_idx").select("citer_idx", "cited_idx").distinct()
 
-    def works(self) -> DataFrame:
+    def works(self, refs: DataFrame | None = None) -> DataFrame:
+        """Works; refs are the references where they are stored already."""
         o = self.raw("orders").select(
             F.col("o_orderkey").alias("work_idx"), F.col("o_custkey").alias("source_id"), F.year("o_orderdate").cast("long").alias("publication_year"), F.col("o_orderpriority").alias("type"),
             (F.col("o_orderkey") % 97 == 0).alias("is_paratext"), (F.col("o_orderkey") % 101 == 0).alias("is_retracted"),
             F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("-"), F.floor(F.col("o_totalprice") / 50).cast("string")).alias("title"),
         )
-        refs = self.references()
+        refs = self.references() if refs is None else refs
         given = refs.groupBy(F.col("citer_idx").alias("work_idx")).agg(F.count("*").alias("referenced_works_count"))
         got = refs.groupBy(F.col("cited_idx").alias("work_idx")).agg(F.count("*").alias("cited_by_count"))
         au = self.authorships().groupBy("work_idx").agg(F.countDistinct("author_idx").alias("authors_count"), F.countDistinct("institution_idx").alias("institutions_distinct_count"))

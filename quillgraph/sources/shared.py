@@ -5,26 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(sc: SparkContext) -> str:
+    """The folder that the session names. Local masters alone may go without; they get a folder of their own."""
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillgraph-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed. A folder of our own is set only where the session names none."""
+    """df, checkpointed."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillgraph-"))
+        sc.setCheckpointDir(shared_folder(sc))
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its plan becomes a scan, with sizes that the planner can use."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillgraph-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession.sparkContext)}/quillgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
