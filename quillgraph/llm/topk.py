@@ -50,19 +50,34 @@ def dense(rows) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], w[order]
 
 
-def accumulate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Scores of query rows against vector rows, term at a time. Floats hold them exactly where they stay below 2**53."""
-    terms = min(q.shape[1], v.shape[1])
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(terms, 1) < 2**53
-    kind = np.float64 if exact else np.int64
-    scores, room = np.zeros((len(q), len(v)), kind), np.empty((len(q), len(v)), kind)
-    q, v = q.astype(kind), v.astype(kind)
-    for t in range(terms):
-        rows, posting = np.flatnonzero(q[:, t]), np.flatnonzero(v[:, t])
-        if 2 * len(rows) * len(posting) > scores.size:  # a long posting list is added as a whole
-            scores += np.multiply(q[:, t, None], v[None, :, t], out=room)
-        elif len(rows) and len(posting):
-            scores[np.ix_(rows, posting)] += q[rows, t, None] * v[None, posting, t]
+def kind_of(q: np.ndarray, v: np.ndarray) -> type:
+    """Floats where they hold every score exactly, below 2**53; else integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(min(q.shape[1], v.shape[1]), 1)
+    return np.float64 if most < 2**53 else np.int64
+
+
+def inverted(v: np.ndarray, kind: type) -> list[tuple]:
+    """The postings of each term: rows, ascending, and their weights. Rows are None where the list has every row."""
+    out = []
+    for t in range(v.shape[1]):
+        rows = np.flatnonzero(v[:, t])
+        out.append((None if len(rows) == len(v) else rows, v[rows, t].astype(kind)))
+    return out
+
+
+def accumulate(q: np.ndarray, postings: list[tuple], n: int) -> np.ndarray:
+    """Scores of query rows (of the postings' kind) against n vector rows, term at a time."""
+    scores, room = np.zeros((len(q), n), q.dtype), np.empty((len(q), n), q.dtype)
+    for t, (posting, weight) in enumerate(postings[: q.shape[1]]):
+        rows = np.flatnonzero(q[:, t])
+        if not len(rows) or not len(weight):
+            continue
+        if posting is not None:
+            scores[np.ix_(rows, posting)] += q[rows, t, None] * weight
+        elif len(rows) == len(q):
+            scores += np.multiply(q[:, t, None], weight, out=room)
+        else:
+            scores[rows] += q[rows, t, None] * weight
     return scores.astype(np.int64)
 
 
@@ -93,9 +108,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
                 qi, qw = dense(batch.column("q").slice(i, 1).flatten())
                 vi, vw = dense(batch.column("v").slice(i, 1).flatten())
                 out: list[tuple] = []
-                # tiles keep the scores in the processor's cache
+                # tiles keep the scores in the processor's cache; each tile is inverted once and meets all queries
+                kind = kind_of(qw, vw)
+                tiles = [(inverted(vw[b : b + TILE], kind), len(vw[b : b + TILE])) for b in range(0, len(vi), TILE)]
+                qw = qw.astype(kind)
                 for a in range(0, len(qi), 64):
-                    parts = [accumulate(qw[a : a + 64], vw[b : b + TILE]) for b in range(0, len(vi), TILE)]
+                    parts = [accumulate(qw[a : a + 64], postings, n_rows) for postings, n_rows in tiles]
                     s = np.concatenate(parts, axis=1)
                     for j in range(len(s)):
                         cols = best(s[j], vi != qi[a + j], k)
