@@ -5,10 +5,11 @@ substrings of labels that occur as words are joined to them, so the model is nev
 host words and path tokens is trained on all pages, labelled by a short list of seed words and their inflections in the
 segmented host: seeds say which hosts are bad for sure, and the counts carry that to the words that go with them. The model
 holds each seed with a count of one at least, so joined hosts split at seeds that no page's text has. Hosts and path patterns are judged
-once each.
+once each. A word has 2 to 63 letters, as a label of a host name has 63 at most; longer runs of letters are no words.
 
 Cases. Null url, or none with `://`: host and path empty, no rule, verdict by the method (an empty page has the prior
-alone: allow). Null page_id: kept. Repeated rows: each gets a row. No page with a seed: all allowed but by rules. Empty
+alone: allow). Null page_id: kept. Repeated rows: each gets a row. Very long urls and pages: read whole. Ties: a score of 0 is
+allow; of equal splits the one with the longest last word. No page with a seed: all allowed but by rules. Empty
 table: empty result. Extra columns, of any name: ignored.
 """
 
@@ -35,8 +36,8 @@ INFLECTED = {
     "hack": ("hacks", "hacked", "hacking"), "loans": ("loan",), "payday": ("paydays",), "phishing": ("phish", "phished"), "pills": ("pill",),
     "spam": ("spams", "spammed", "spamming"), "torrent": ("torrents", "torrented", "torrenting"),
 }
-LONGEST = 20
-_WORD = re.compile(r"[a-z]{2,20}")
+LONGEST = 63
+_WORD = re.compile(r"(?<![a-z])[a-z]{2,%d}(?![a-z])" % LONGEST)
 _TAG = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S)
 
 
