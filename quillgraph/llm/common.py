@@ -53,11 +53,13 @@ def words(c: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names. Local masters alone may go without; they get one of their own."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

@@ -7,7 +7,7 @@ Known are the short texts of KNOWN, these under the titles that files give them,
 up to the end of their terms. The SQL knows KNOWN alone, and takes any line that begins with "copyright" for a holder's.
 
 Cases. Null text: null digest, no licence. Blank text: the digest of the empty text, no licence. Repeated rows: each
-gets a row. Two known licences with one canonical form: the lesser name. Empty table: empty result. Extra columns and
+gets a row. Very long texts: read whole. Two known licences with one canonical form: the lesser name. Empty table: empty result. Extra columns and
 clashing names: only doc_id and text are read.
 """
 
@@ -25,7 +25,7 @@ SPELLINGS = [
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
     ("artefact", "artifact"), ("authoris", "authoriz"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("capitalis", "capitaliz"), ("catalogue", "catalog"), ("categoris", "categoriz"), ("centre", "center"),
-    ("emphasis", "emphasiz"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("honour", "honor"),
+    ("emphasise", "emphasize"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("honour", "honor"),
     ("initialis", "initializ"), ("judgement", "judgment"), ("labour", "labor"), ("merchantibility", "merchantability"),
     ("optimis", "optimiz"), ("organis", "organiz"), ("practise", "practice"), ("programme", "program"),
     ("realis", "realiz"), ("recognis", "recogniz"), ("signalling", "signaling"), ("utilis", "utiliz"),

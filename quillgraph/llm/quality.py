@@ -7,7 +7,7 @@ replace fixed cutoffs; a joined filter applies them. Groups of few documents tak
 from its sources, and languages of few documents that of the whole corpus.
 
 Cases. Null or blank text: no words, base_failed. Null language or source: a group of its own. Repeated rows:
-counted and judged each. Empty table: empty result. Extra columns: ignored by `measures`, kept by `filter_documents`
+counted and judged each. Very long texts: measured whole. Ties: values on a fence are kept. Empty table: empty result. Extra columns: ignored by `measures`, kept by `filter_documents`
 even if they bear a measure's name.
 """
 
