@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Cases, of every stage. Null or blank text: rejected by quality_rules, which asks for 50 words; by itself near_dedup keeps it, source_mix
+never takes it and byte_bpe gives it no tokens. Null language or source: a group of its own. Null ids: never duplicates. Rows
+that share an id are one document to near_dedup, which keeps one, and two to the other stages. Repeated rows and ties: as
+in the operators. Very long texts: whole. Empty table: empty result. Extra columns, of any name: kept up to byte_bpe.
 """
 
 from __future__ import annotations
@@ -37,8 +42,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("source_mix", source_mix), ("byte_bpe", byte_bpe)]
-#: MinHash and BPE are beyond SQL. Tests hold each stage's operator against brute force, and the stages against their schemas;
-#: a brute-force version of the whole pipeline is still missing.
+#: MinHash and BPE are beyond SQL; tests/llm/test_pipeline.py holds the stages and run() against a brute-force version.
 ORACLE_SQL = None
 
 
