@@ -57,11 +57,12 @@ def kind_of(q: np.ndarray, v: np.ndarray) -> type:
 
 
 def inverted(v: np.ndarray, kind: type) -> list[tuple]:
-    """The postings of each term: rows, ascending, and their weights. Rows are None where the list has every row."""
+    """The postings of each term: rows, ascending, and their weights. Of a term that more than half of the rows hold, rows are
+    None and the weights those of all rows, zeros too: adding them as a whole costs less than a scatter."""
     out = []
     for t in range(v.shape[1]):
-        rows = np.flatnonzero(v[:, t])
-        out.append((None if len(rows) == len(v) else rows, v[rows, t].astype(kind)))
+        rows, weights = np.flatnonzero(v[:, t]), v[:, t].astype(kind)
+        out.append((None, weights) if 2 * len(rows) > len(v) else (rows, weights[rows]))
     return out
 
 
@@ -74,7 +75,7 @@ def accumulate(q: np.ndarray, postings: list[tuple], n: int) -> np.ndarray:
             continue
         if posting is not None:
             scores[np.ix_(rows, posting)] += q[rows, t, None] * weight
-        elif len(rows) == len(q):
+        elif 2 * len(rows) > len(q):
             scores += np.multiply(q[:, t, None], weight, out=room)
         else:
             scores[rows] += q[rows, t, None] * weight
