@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "mixing", "minhash", "licenses", "topk", "quality", "tokenfile", "separators", "urls", "bpe"]
+MODULES = ["scoring", "mixing", "minhash", "licenses", "topk", "quality", "tokenfile", "separators", "urls", "bpe", "linededup"]
 
 QUERIES: dict = {}
 SQL: dict = {}
