@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "mixing", "minhash", "licenses", "topk", "quality", "tokenfile", "separators", "urls", "bpe", "linededup", "vectorcode"]
+MODULES = ["scoring", "mixing", "minhash", "licenses", "topk", "quality", "tokenfile", "separators", "urls", "bpe", "linededup", "negatives", "vectorcode"]
 
 QUERIES: dict = {}
 SQL: dict = {}
