@@ -193,18 +193,20 @@ def search(queries: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
 
     def answers(sent: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, v: np.ndarray) -> list[tuple]:
         qid, ql, qw, n, tags, lo, hi, kth = sent
-        qw, ends, out = qw.reshape(len(qid), width), np.cumsum(n), []
+        qw, out = qw.reshape(len(qid), width), []
+        ends = np.cumsum(n)
+        starts, least = ends - n, np.maximum(lo, kth)
+        # of all a query's windows together: what no window can take is put aside for whole blocks of queries
+        low, high = np.minimum.reduceat(least, starts), np.maximum.reduceat(hi, starts)
         for a in range(0, len(qid), 64):
-            s = np.concatenate([scored(qw[a : a + 64], v[t : t + TILE]) for t in range(0, len(v), TILE)], axis=1)
-            for j in range(len(s)):
-                q = a + j
-                fits = np.full(len(ids), not same)
-                fits[slice(*np.searchsorted(labels, [ql[q], ql[q] + 1]))] = same  # rows stand by label
-                windows = range(ends[q] - n[q], ends[q])
-                cols = np.flatnonzero(fits & (ids != qid[q]) & (s[j] >= min((lo[x] for x in windows), default=NO_MOST)))
+            part = slice(a, a + 64)
+            s = np.concatenate([scored(qw[part], v[t : t + TILE]) for t in range(0, len(v), TILE)], axis=1)
+            fits = (s >= low[part, None]) & (s <= high[part, None]) & (ids != qid[part, None]) & ((labels == ql[part, None]) == same)
+            for j in np.flatnonzero(fits.any(axis=1)):
+                q, cols = a + j, np.flatnonzero(fits[j])
                 mine = s[j][cols]
-                for x in windows:
-                    inside = cols[(mine >= max(lo[x], kth[x])) & (mine <= hi[x])]
+                for x in range(starts[q], ends[q]):
+                    inside = cols[(mine >= least[x]) & (mine <= hi[x])]
                     top = inside[leading(s[j][inside], ids[inside], k)]
                     out.append((np.full(len(top), qid[q]), np.full(len(top), tags[x]), ids[top], s[j][top]))
         return out
