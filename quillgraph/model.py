@@ -33,7 +33,8 @@ class Corpus:
 
 @dataclass(frozen=True)
 class Run:
-    """One ranking run. Thresholds are per year of the census window, which is the works' years on both ends."""
+    """One ranking run. Thresholds are per year of the census window, which is the works' years on both ends. sentinel is the number of the
+    unit that stands for all outside; no unit of the data may have it."""
 
     group_col: str = "field_idx"
     members: tuple[int, ...] = ()
@@ -49,6 +50,7 @@ class Run:
     chi: float = -1.0
     prior: str = "uniform"
     bloc: frozenset[str] = field(default_factory=frozenset)
+    sentinel: int = SENTINEL
 
     def __post_init__(self) -> None:
         if self.mask not in MASKS:

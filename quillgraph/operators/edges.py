@@ -2,58 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillgraph.model import MASKS, SENTINEL, Run
+from quillgraph.model import MASKS, Run
 from quillgraph.operators import graph
+from quillgraph.operators.iteration import joined
 
 
-def retained(sc: DataFrame, ic: DataFrame, run: Run, group: int, whitelist: DataFrame | None = None, whitelist_least: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Sources and institutions of a group whose weighted works reach the thresholds; whitelisted sources have their own."""
-    s = sc.filter(F.col("group_idx") == group)
+Keys = Sequence[str]
+
+
+def retained(sc: DataFrame, ic: DataFrame, run: Run, group: int | None, whitelist: DataFrame | None = None, whitelist_least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Sources and institutions of a group, or without one of each group_idx, whose weighted works reach the thresholds; whitelisted
+    sources have their own."""
+    mine, keys = (F.lit(True), ["group_idx"]) if group is None else (F.col("group_idx") == group, [])
+    s = sc.filter(mine)
     big = F.col("weighted_works") >= run.least_s
     if whitelist is not None:
         s = s.join(whitelist.select("source_idx").distinct().withColumn("_w", F.lit(True)), "source_idx", "left")
         big = big | (F.coalesce("_w", F.lit(False)) & (F.col("weighted_works") >= whitelist_least))
-    return s.filter(big).select("source_idx", "weighted_works"), ic.filter((F.col("group_idx") == group) & (F.col("weighted_works") >= run.least_u)).select("institution_idx", "weighted_works")
+    return s.filter(big).select(*keys, "source_idx", "weighted_works"), ic.filter(mine & (F.col("weighted_works") >= run.least_u)).select(*keys, "institution_idx", "weighted_works")
 
 
 def in_window(fw: DataFrame, run: Run) -> DataFrame:
     return fw.filter(F.col("publication_year").between(*run.window) & F.col(run.group_col).isin(*run.members))
 
 
-def bloc_excluded(fw: DataFrame, run: Run, bloc: frozenset[str]) -> DataFrame:
+def bloc_excluded(fw: DataFrame, run: Run, bloc: frozenset[str], keys: Keys = ()) -> DataFrame:
     """Works with an institution outside the bloc; an unknown country does not exclude."""
-    return in_window(fw, run).filter(~F.col("country_code").isin(*sorted(bloc))).select("work_idx").distinct()
+    return in_window(fw, run).filter(~F.col("country_code").isin(*sorted(bloc))).select(*keys, "work_idx").distinct()
 
 
-def group_works(fw: DataFrame, run: Run, s: DataFrame, u: DataFrame) -> DataFrame:
+def group_works(fw: DataFrame, run: Run, s: DataFrame, u: DataFrame, keys: Keys = ()) -> DataFrame:
     """Work by institution rows of retained units, with the work's weight in the group summed over subfields."""
-    f = in_window(fw, run).join(s.select("source_idx"), "source_idx", "left_semi").join(u.select("institution_idx"), "institution_idx", "left_semi")
+    f = in_window(fw, run).join(s.select(*keys, "source_idx"), [*keys, "source_idx"], "left_semi").join(u.select(*keys, "institution_idx"), [*keys, "institution_idx"], "left_semi")
     if run.bloc:
-        f = f.join(bloc_excluded(fw, run, run.bloc), "work_idx", "left_anti")
-    return f.groupBy("work_idx", "source_idx", "institution_idx").agg(F.max("inst_weight").alias("inst_weight"), F.max("direct_inst_weight").alias("direct_inst_weight"), F.sum("field_weight").alias("field_weight"))
+        f = f.join(bloc_excluded(fw, run, run.bloc, keys), [*keys, "work_idx"], "left_anti")
+    return f.groupBy(*keys, "work_idx", "source_idx", "institution_idx").agg(F.max("inst_weight").alias("inst_weight"), F.max("direct_inst_weight").alias("direct_inst_weight"), F.sum("field_weight").alias("field_weight"))
 
 
-def work_weights(fi: DataFrame) -> DataFrame:
+def work_weights(fi: DataFrame, keys: Keys = ()) -> DataFrame:
     """One row a work: sums over institutions' rows may differ in the last bit, so one is taken."""
-    return fi.groupBy("work_idx").agg(F.max("field_weight").alias("field_weight"))
+    return fi.groupBy(*keys, "work_idx").agg(F.max("field_weight").alias("field_weight"))
 
 
-def work_pairs(works: DataFrame, refs: DataFrame) -> DataFrame:
+def work_pairs(works: DataFrame, refs: DataFrame, keys: Keys = ()) -> DataFrame:
     """Citing and cited works of the group, before any expansion to institutions."""
-    a = works.toDF("citer_work_idx", "citer_fw")
-    b = works.toDF("cited_work_idx", "cited_fw")
-    p = refs.toDF("citer_work_idx", "cited_work_idx").join(a, "citer_work_idx").join(b, "cited_work_idx")
+    a = works.select(*keys, F.col("work_idx").alias("citer_work_idx"), F.col("field_weight").alias("citer_fw"))
+    b = works.select(*keys, F.col("work_idx").alias("cited_work_idx"), F.col("field_weight").alias("cited_fw"))
+    p = refs.toDF("citer_work_idx", "cited_work_idx").join(a, "citer_work_idx").join(b, [*keys, "cited_work_idx"])
     return p.withColumn("edge_field_weight", (F.col("citer_fw") + F.col("cited_fw")) / 2)
 
 
-def reference_sums(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("citer_work_idx").agg(F.sum("edge_field_weight").alias("R_i"))
+def reference_sums(pairs: DataFrame, keys: Keys = ()) -> DataFrame:
+    return pairs.groupBy(*keys, "citer_work_idx").agg(F.sum("edge_field_weight").alias("R_i"))
 
 
 CITER = {"work_idx": "citer_work_idx", "source_idx": "citer_source_idx", "institution_idx": "citer_inst_idx", "inst_weight": "inst_weight", "direct_inst_weight": "direct_inst_weight"}
@@ -61,61 +68,59 @@ CITED = {"work_idx": "cited_work_idx", "source_idx": "cited_source_idx", "instit
 COLUMNS = [*CITER.values(), *CITED.values(), "edge_field_weight", "R_i"]
 
 
-def _side(fi: DataFrame, names: dict[str, str]) -> DataFrame:
-    return fi.select(*(F.col(k).alias(v) for k, v in names.items()))
+def _side(fi: DataFrame, names: dict[str, str], keys: Keys = ()) -> DataFrame:
+    return fi.select(*keys, *(F.col(k).alias(v) for k, v in names.items()))
 
 
-def _sentinel(names: dict[str, str]) -> list:
+def _sentinel(names: dict[str, str], number: int) -> list:
     work, source, inst, w, dw = names.values()
-    return [F.lit(SENTINEL).cast("long").alias(source), F.lit(SENTINEL).cast("long").alias(inst), F.lit(1.0).alias(w), F.lit(1.0).alias(dw)]
+    return [F.lit(number).cast("long").alias(source), F.lit(number).cast("long").alias(inst), F.lit(1.0).alias(w), F.lit(1.0).alias(dw)]
 
 
-def edge_list(fw: DataFrame, refs: DataFrame, run: Run, s: DataFrame, u: DataFrame) -> DataFrame:
+def edge_list(fw: DataFrame, refs: DataFrame, run: Run, s: DataFrame, u: DataFrame, keys: Keys = ()) -> DataFrame:
     """Edges citer institution by cited institution. Only work pairs and sums by work come before the expansion."""
-    fi = group_works(fw, run, s, u)
-    works = work_weights(fi)
-    pairs = work_pairs(works, refs)
-    sums = reference_sums(pairs)
-    slim = pairs.select("citer_work_idx", "cited_work_idx", "edge_field_weight").join(sums, "citer_work_idx")
-    el = slim.join(_side(fi, CITER), "citer_work_idx").join(_side(fi, CITED), "cited_work_idx").select(*COLUMNS)
-    return el.unionByName(sentinel_edges(fi, works, refs, sums)) if run.epsilon else el
+    fi = group_works(fw, run, s, u, keys)
+    works = work_weights(fi, keys)
+    pairs = work_pairs(works, refs, keys)
+    sums = reference_sums(pairs, keys)
+    slim = pairs.select(*keys, "citer_work_idx", "cited_work_idx", "edge_field_weight").join(sums, [*keys, "citer_work_idx"])
+    el = slim.join(_side(fi, CITER, keys), [*keys, "citer_work_idx"]).join(_side(fi, CITED, keys), [*keys, "cited_work_idx"]).select(*keys, *COLUMNS)
+    return el.unionByName(sentinel_edges(fi, works, refs, sums, run.sentinel, keys)) if run.epsilon else el
 
 
-def sentinel_edges(fi: DataFrame, works: DataFrame, refs: DataFrame, sums: DataFrame) -> DataFrame:
+def sentinel_edges(fi: DataFrame, works: DataFrame, refs: DataFrame, sums: DataFrame, number: int, keys: Keys = ()) -> DataFrame:
     """Edges to and from works outside the group, all of which one sentinel stands for; the outer end weighs nothing."""
-    ids = works.select("work_idx")
-    citer, cited = ids.toDF("citer_idx"), ids.toDF("cited_idx")
-    out = refs.join(citer, "citer_idx", "left_semi").join(cited, "cited_idx", "left_anti")
-    out = out.select(F.col("citer_idx").alias("citer_work_idx"), F.col("cited_idx").alias("cited_work_idx"))
-    half = works.select("work_idx", (F.col("field_weight") / 2).alias("edge_field_weight"))
-    to = out.join(sums, "citer_work_idx").join(half.withColumnRenamed("work_idx", "citer_work_idx"), "citer_work_idx").join(_side(fi, CITER), "citer_work_idx").select("*", *_sentinel(CITED)).select(*COLUMNS)
-    into = refs.join(cited, "cited_idx", "left_semi").join(citer, "citer_idx", "left_anti").select(F.col("citer_idx").alias("citer_work_idx"), F.col("cited_idx").alias("cited_work_idx"))
-    into = into.join(half.withColumnRenamed("work_idx", "cited_work_idx"), "cited_work_idx")
-    outer = into.groupBy("citer_work_idx").agg(F.sum("edge_field_weight").alias("R_i"))
-    into = into.join(outer, "citer_work_idx").join(_side(fi, CITED), "cited_work_idx").select("*", *_sentinel(CITER)).select(*COLUMNS)
+    citer = works.select(*keys, F.col("work_idx").alias("citer_work_idx"), (F.col("field_weight") / 2).alias("edge_field_weight"))
+    cited = works.select(*keys, F.col("work_idx").alias("cited_work_idx"), (F.col("field_weight") / 2).alias("edge_field_weight"))
+    r = refs.toDF("citer_work_idx", "cited_work_idx")
+    out = r.join(citer, "citer_work_idx").join(cited.drop("edge_field_weight"), [*keys, "cited_work_idx"], "left_anti")
+    to = out.join(sums, [*keys, "citer_work_idx"]).join(_side(fi, CITER, keys), [*keys, "citer_work_idx"]).select("*", *_sentinel(CITED, number)).select(*keys, *COLUMNS)
+    into = r.join(cited, "cited_work_idx").join(citer.drop("edge_field_weight"), [*keys, "citer_work_idx"], "left_anti")
+    outer = into.groupBy(*keys, "citer_work_idx").agg(F.sum("edge_field_weight").alias("R_i"))
+    into = into.join(outer, [*keys, "citer_work_idx"]).join(_side(fi, CITED, keys), [*keys, "cited_work_idx"]).select("*", *_sentinel(CITER, number)).select(*keys, *COLUMNS)
     return to.unionByName(into)
 
 
-def weighted_edges(el: DataFrame, run: Run) -> DataFrame:
+def weighted_edges(el: DataFrame, run: Run, keys: Keys = ()) -> DataFrame:
     """Edges with weight ew: for rho 0 scaled by the mean of R_i over its citer's R_i; omega picks the institution weights,
     beta leaves out edges of a unit pair to itself."""
     e = el
     if run.rho == 0:
-        mean = el.select("citer_work_idx", "R_i").distinct().agg(F.avg("R_i").alias("mean"))
-        e = e.crossJoin(F.broadcast(mean)).withColumn("ew", F.when(F.col("R_i") == 0, 0.0).otherwise(F.col("edge_field_weight") * F.col("mean") / F.when(F.col("R_i") != 0, F.col("R_i"))))
+        mean = el.select(*keys, "citer_work_idx", "R_i").distinct().groupBy(*keys).agg(F.avg("R_i").alias("mean"))
+        e = joined(e, mean, keys).withColumn("ew", F.when(F.col("R_i") == 0, 0.0).otherwise(F.col("edge_field_weight") * F.col("mean") / F.when(F.col("R_i") != 0, F.col("R_i"))))
     else:
         e = e.withColumn("ew", F.col("edge_field_weight"))
     if run.beta:
         e = e.filter(~((F.col("citer_source_idx") == F.col("cited_source_idx")) & (F.col("citer_inst_idx") == F.col("cited_inst_idx"))))
     iw, ciw = ("direct_inst_weight", "direct_cited_inst_weight") if run.omega else ("inst_weight", "cited_inst_weight")
-    return e.select("citer_work_idx", "citer_source_idx", "citer_inst_idx", "cited_work_idx", "cited_source_idx", "cited_inst_idx", F.col(iw).alias("iw"), F.col(ciw).alias("ciw"), "ew")
+    return e.select(*keys, "citer_work_idx", "citer_source_idx", "citer_inst_idx", "cited_work_idx", "cited_source_idx", "cited_inst_idx", F.col(iw).alias("iw"), F.col(ciw).alias("ciw"), "ew")
 
 
-def block(e: DataFrame, kind: str) -> DataFrame:
+def block(e: DataFrame, kind: str, keys: Keys = ()) -> DataFrame:
     """src, dst, w of one block. The side that enters by its source must not count once per institution, so its
     institutions are made distinct away first."""
     cs, ds, ci, di = "citer_source_idx", "cited_source_idx", "citer_inst_idx", "cited_inst_idx"
-    works = ["citer_work_idx", "cited_work_idx"]
+    works = [*keys, "citer_work_idx", "cited_work_idx"]
     if kind == "ss":
         d, src, dst, w = e.groupBy(*works, cs, ds).agg(F.max("ew").alias("w")), cs, ds, F.col("w")
     elif kind == "si":
@@ -124,7 +129,7 @@ def block(e: DataFrame, kind: str) -> DataFrame:
         d, src, dst, w = e.groupBy(*works, ci, ds, "iw").agg(F.max("ew").alias("w")), ci, ds, F.col("w") * F.col("iw")
     else:
         d, src, dst, w = e, ci, di, F.col("ew") * F.col("iw") * F.col("ciw")
-    return d.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.sum(w).alias("w"))
+    return d.groupBy(*keys, F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.sum(w).alias("w"))
 
 
 @dataclass
@@ -134,56 +139,60 @@ class Blocks:
     institutions: DataFrame
 
 
-def active(el: DataFrame, s: DataFrame, u: DataFrame, run: Run) -> tuple[DataFrame, DataFrame]:
+def with_sentinel(units: DataFrame, run: Run, keys: Keys = ()) -> DataFrame:
+    """unit_idx, a_p, and in each graph the sentinel of size 1."""
+    one = units.select(*keys).distinct() if keys else units.sparkSession.range(1).select()
+    return units.unionByName(one.select("*", F.lit(run.sentinel).cast("long").alias("unit_idx"), F.lit(1.0).alias("a_p")))
+
+
+def active(el: DataFrame, s: DataFrame, u: DataFrame, run: Run, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
     """Retained units that the edge list holds on either end, with their size a_p; the sentinel has size 1."""
 
     def of(units: DataFrame, name: str, a: str, b: str) -> DataFrame:
-        ends = el.select(F.col(a).alias("unit_idx")).union(el.select(F.col(b).alias("unit_idx"))).distinct()
-        found = units.select(F.col(name).alias("unit_idx"), F.col("weighted_works").alias("a_p")).join(ends, "unit_idx", "left_semi")
-        if run.epsilon:
-            one = el.sparkSession.createDataFrame([(SENTINEL, 1.0)], "unit_idx long, a_p double")
-            found = found.filter(F.col("unit_idx") != SENTINEL).union(one)
-        return found
+        ends = el.select(*keys, F.col(a).alias("unit_idx")).union(el.select(*keys, F.col(b).alias("unit_idx"))).distinct()
+        found = units.select(*keys, F.col(name).alias("unit_idx"), F.col("weighted_works").alias("a_p")).join(ends, [*keys, "unit_idx"], "left_semi")
+        return with_sentinel(found.filter(F.col("unit_idx") != run.sentinel), run, keys) if run.epsilon else found
 
     return of(s, "source_idx", "citer_source_idx", "cited_source_idx"), of(u, "institution_idx", "citer_inst_idx", "cited_inst_idx")
 
 
-def blocks(el: DataFrame, s: DataFrame, u: DataFrame, run: Run) -> Blocks:
+def blocks(el: DataFrame, s: DataFrame, u: DataFrame, run: Run, keys: Keys = ()) -> Blocks:
     """The blocks that the run's mask asks for, between active units."""
-    e = weighted_edges(el, run)
-    src, inst = active(el, s, u, run)
-    side = {"s": src.select("unit_idx"), "i": inst.select("unit_idx")}
+    e = weighted_edges(el, run, keys)
+    src, inst = active(el, s, u, run, keys)
+    side = {"s": src.select(*keys, "unit_idx"), "i": inst.select(*keys, "unit_idx")}
     out = {}
     for kind in MASKS[run.mask]:
-        b = block(e, kind)
-        b = b.join(side[kind[0]].withColumnRenamed("unit_idx", "src"), "src", "left_semi")
-        out[kind] = b.join(side[kind[1]].withColumnRenamed("unit_idx", "dst"), "dst", "left_semi").select("src", "dst", "w")
+        b = block(e, kind, keys)
+        b = b.join(side[kind[0]].withColumnRenamed("unit_idx", "src"), [*keys, "src"], "left_semi")
+        out[kind] = b.join(side[kind[1]].withColumnRenamed("unit_idx", "dst"), [*keys, "dst"], "left_semi").select(*keys, "src", "dst", "w")
     return Blocks(out, src, inst)
 
 
-def giant(b: Blocks, run: Run) -> Blocks:
-    """Units and blocks cut to the giant strongly connected component of all blocks together; sentinels stay. A side that no
+def giant(b: Blocks, run: Run, keys: Keys = ()) -> Blocks:
+    """Units and blocks cut to the giant strongly connected component of all blocks together; the sentinel stays. A side that no
     block has is left alone. Units are (type, idx) folded to 2 idx + type."""
     kinds = {"s": 0, "i": 1}
     code = lambda c, side: (2 * F.col(c) + kinds[side]).alias(c)
-    parts = [df.select(code("src", k[0]), code("dst", k[1])) for k, df in b.blocks.items()]
+    parts = [df.select(*keys, code("src", k[0]), code("dst", k[1])) for k, df in b.blocks.items()]
     h = parts[0]
     for p in parts[1:]:
         h = h.unionByName(p)
-    nodes = graph.giant_scc(h)
+    nodes = graph.giant_scc(h, keys)
     keep = {}
     for side, t in kinds.items():
-        ids = nodes.filter(F.col("node") % 2 == t).select(F.shiftright("node", 1).alias("unit_idx"))
-        keep[side] = ids.union(nodes.sparkSession.createDataFrame([(SENTINEL,)], "unit_idx long")).distinct() if run.epsilon else ids
+        units = b.sources if side == "s" else b.institutions
+        ids = nodes.filter(F.col("node") % 2 == t).select(*keys, F.shiftright("node", 1).alias("unit_idx"))
+        keep[side] = ids.union(units.filter(F.col("unit_idx") == run.sentinel).select(*keys, "unit_idx")).distinct() if run.epsilon else ids
     out = {}
     for k, df in b.blocks.items():
-        d = df.join(keep[k[0]].toDF("src"), "src", "left_semi")
-        out[k] = d.join(keep[k[1]].toDF("dst"), "dst", "left_semi").select("src", "dst", "w")
-    of = lambda units, side: units.join(keep[side], "unit_idx", "left_semi") if any(side in k for k in b.blocks) else units
+        d = df.join(keep[k[0]].withColumnRenamed("unit_idx", "src"), [*keys, "src"], "left_semi")
+        out[k] = d.join(keep[k[1]].withColumnRenamed("unit_idx", "dst"), [*keys, "dst"], "left_semi").select(*keys, "src", "dst", "w")
+    of = lambda units, side: units.join(keep[side], [*keys, "unit_idx"], "left_semi") if any(side in k for k in b.blocks) else units
     return Blocks(out, of(b.sources, "s"), of(b.institutions, "i"))
 
 
-def row_normalised(b: DataFrame) -> DataFrame:
+def row_normalised(b: DataFrame, keys: Keys = ()) -> DataFrame:
     """Rows that sum to 1; rows without weight stay empty."""
-    total = F.sum("w").over(W.partitionBy("src"))
-    return b.withColumn("t", total).filter("t > 0").select("src", "dst", (F.col("w") / F.col("t")).alias("w"))
+    total = F.sum("w").over(W.partitionBy(*keys, "src"))
+    return b.withColumn("t", total).filter("t > 0").select(*keys, "src", "dst", (F.col("w") / F.col("t")).alias("w"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.iteration import fixed_plans
 from quillgraph.sources.shared import cut
 
 #: Up to so many edges, which a count checks, the driver finds strong components.
@@ -28,45 +30,71 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("to").alias("label"))
 
 
-def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node: all that can be reached along src to dst from the start nodes."""
-    seen = cut(start.select(F.col(start.columns[0]).alias("node")).distinct())
-    edge = seen
-    while True:
-        edge = edges.join(edge.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        edge = cut(edge)
-        if edge.isEmpty():
-            return seen
-        seen = cut(seen.union(edge))
+#: A label is a node with its priority above this bit.
+NODE_BITS = 56
 
 
-def giant_scc(edges: DataFrame) -> DataFrame:
-    """node: the largest strongly connected component; of equally large ones, that of the pivot tried first. Pivots are the
-    remaining nodes of greatest in-degree times out-degree; they are tried until what is left is no larger than the best. Each
-    round first drops edges from nodes that nothing reaches and to nodes that reach nothing: no cycle has them."""
-    spark = edges.sparkSession
-    if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
-        return spark.createDataFrame([(x,) for x in local_giant([(r[0], r[1]) for r in edges.select("src", "dst").distinct().collect()])], "node long")
-    edges = cut(edges.select("src", "dst").distinct())
-    best, size = None, 0
+def spread(edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each node's greatest label among all nodes that reach it (itself included). A label is a node's name, so the label of a label's
+    node reaches on, and rounds grow with the logarithm of a path's length."""
+    node = lambda c: F.col(c).bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     while True:
-        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o")).join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), "node")
-        pivot = degree.orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select("node")
-        if pivot.isEmpty():
-            if edges.isEmpty():
-                break
-            continue
-        scc = cut(reach(edges, pivot).join(reach(edges.toDF("dst", "src"), pivot), "node", "left_semi"))
-        n = scc.count()
-        if n > size:
-            best, size = scc, n
-        gone = scc.toDF("src")
-        edges = cut(edges.join(gone, "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
-        left = edges.select("src").union(edges.select("dst")).distinct().count()
-        if left <= size:
-            break
-    return best if best is not None else edges.select(F.col("src").alias("node")).limit(0)
+        near = edges.join(labels.withColumnsRenamed({"node": "src", "label": "l"}), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.max("l").alias("l"))
+        new = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.greatest("label", F.coalesce("l", "label")).alias("new"))
+        with fixed_plans(edges.sparkSession):
+            new = cut(new)  # it is read twice below
+            far = new.select(*keys, F.col("node").alias("at_"), F.col("new").alias("far"))
+            new = cut(new.withColumn("at_", node("new")).join(far, [*keys, "at_"], "left").select(*keys, "node", "label", F.greatest("new", F.coalesce("far", "new")).alias("new")))
+        if new.filter("new > label").isEmpty():
+            return new.select(*keys, "node", F.col("new").alias("label"))
+        labels = new.select(*keys, "node", F.col("new").alias("label"))
+
+
+def components_of_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, node, label of strong components, all those of a colour's root at once. A node's colour is the node of highest priority
+    that reaches it; inside a colour, what leads back to that node is its component. Priority is the logarithm of in- times
+    out-degree, so that a giant component's hub is its colour."""
+    n = edges.groupBy(*keys, F.col("src").alias("node")).agg(F.count("*").alias("o")).join(edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("i")), [*keys, "node"], "full").fillna(0, ["o", "i"])
+    first = cut(n.select(*keys, "node", (F.floor(F.log2(F.col("o") * F.col("i") + 1)).cast("long") * (1 << NODE_BITS) + F.col("node")).alias("label")))
+    colour = cut(spread(edges, first, keys))
+    same = edges.join(colour.withColumnsRenamed({"node": "src", "label": "c"}), [*keys, "src"]).join(colour.withColumnsRenamed({"node": "dst", "label": "d"}), [*keys, "dst"]).filter("c = d")
+    back = spread(cut(same.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))), first, keys).withColumnRenamed("label", "back")
+    return cut(colour.join(back, [*keys, "node"]).filter("label = back").drop("back"))
+
+
+def trimmed(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges without those from nodes that nothing reaches, and to nodes that reach nothing: no cycle has them."""
+    heads, tails = edges.select(*keys, F.col("dst").alias("src")).distinct(), edges.select(*keys, F.col("src").alias("dst")).distinct()
+    return cut(edges.join(heads, [*keys, "src"], "left_semi").join(tails, [*keys, "dst"], "left_semi").select(*keys, "src", "dst"))
+
+
+def giant_scc(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, node: the largest strongly connected component of each graph; of equally large ones, that whose root has the highest
+    priority. Nodes, not negative and below 2**56, are in none if no cycle has them. A round finds the component of every colour's root;
+    graphs whose remaining nodes are fewer than their best are done, as most are after one round."""
+    spark, keys = edges.sparkSession, list(keys)
+    if not keys and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return spark.createDataFrame([(x,) for x in local_giant([(r[0], r[1]) for r in edges.select("src", "dst").distinct().collect()])], "node long")
+    left = trimmed(cut(edges.select(*keys, "src", "dst").distinct()), keys)
+    loops = cut(left.filter("src = dst").select(*keys, F.col("src").alias("node")))
+    best = left.select(*keys, F.col("src").alias("node"), F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("size")).limit(0)
+    while not left.isEmpty():
+        found = components_of_roots(left, keys)
+        sizes = found.groupBy(*keys, "label").agg(F.count("*").alias("size"))
+        alone = found.join(loops, [*keys, "node"], "left_semi").select(*keys, "label").distinct()
+        sizes = sizes.filter("size > 1").unionByName(sizes.filter("size = 1").join(alone, [*keys, "label"], "left_semi"))
+        top = sizes.groupBy(*keys).agg(F.max_by("label", F.struct("size", "label")).alias("label"), F.max("size").alias("size"))
+        both = best.unionByName(found.join(top, [*keys, "label"]).select(*keys, "node", "label", "size"))
+        win = both.groupBy(*keys).agg(F.max(F.struct("size", "label")).alias("w")).select(*keys, F.col("w.size").alias("size"), F.col("w.label").alias("label"))
+        best = cut(both.join(win, [*keys, "size", "label"], "left_semi").select(*keys, "node", "label", "size"))
+        gone = found.select(*keys, "node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
+        rest = cut(rest.select(*keys, "src", "dst"))
+        many = rest.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+        size = best.select(*keys, "size").distinct()
+        many = (many.join(size, keys, "left") if keys else many.join(size, F.lit(True), "left")).filter("n >= coalesce(size, 0)")
+        left = trimmed(rest.join(F.broadcast(many.select(keys)), keys, "left_semi") if keys else rest if not many.isEmpty() else rest.limit(0), keys)
+    return best.select(*keys, "node")
 
 
 def local_giant(pairs: list[tuple[int, int]]) -> list[int]:

@@ -1,39 +1,33 @@
-"""Spectral scores by iterated joins: power iteration, bipartite ranking, Katz scores, masks and size-adjusted ranks.
+"""Spectral scores: power iteration, bipartite ranking, Katz scores, masks and size-adjusted ranks.
 
-`matvec` keeps a graph hash-partitioned and shuffles one row a unit. Each step pads units without in-links with 0; lineage is
-cut every few steps. `local_power` ranks many small groups at once, a numpy loop for each, in one job.
+Every operator takes keys, the columns that tell many graphs apart; all of them are then solved in the same jobs (`iteration`). A single
+graph of up to LOCAL_EDGES edges is solved by numpy on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillgraph.model import SENTINEL, Run
+from quillgraph.model import Run
+from quillgraph.operators import iteration
 from quillgraph.operators.edges import Blocks, row_normalised
-from quillgraph.operators.graph import local_giant
-from quillgraph.sources.shared import cut
+from quillgraph.operators.iteration import HELD, TOL, NotConverged, joined, unit_sum
 
-EVERY = 5
-#: Up to so many edges, and as many units, a graph is solved by numpy on the driver (a bound of some tens of MB, which counts
+#: Up to so many edges, and as many units, a single graph is solved by numpy on the driver (a bound of some tens of MB, which counts
 #: check); beyond, by joins. Both ways give the same scores; 0 always joins.
 LOCAL_EDGES = 1_000_000
-#: Where no number of steps is given, iterations end when the scores' summed change is below TOL, and fail after MOST steps.
-TOL, MOST = 1e-9, 500
-#: The share of the last scores that then stays in each step, so that graphs of even period converge to the same vector.
-HELD = 0.1
-
 
-class NotConverged(RuntimeError):
-    pass
+Keys = Sequence[str]
 
 
 def settled(change: float, tol: float) -> None:
     if not change < tol:
-        raise NotConverged(f"scores still change by {change:.3g} after {MOST} steps; the tolerance is {tol:g}")
+        raise NotConverged(f"scores still change by {change:.3g} after {iteration.MOST} steps; the tolerance is {tol:g}")
 
 
 class Local:
@@ -51,8 +45,8 @@ class Local:
         return np.bincount(self.dst, self.w * x[self.src], self.n) if len(self.w) else np.zeros(self.n)
 
 
-def is_small(*graphs: DataFrame) -> bool:
-    return all(g.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES for g in graphs)
+def is_small(keys: Keys, *graphs: DataFrame) -> bool:
+    return not keys and all(g.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES for g in graphs)
 
 
 def vector(x: DataFrame, units: list[int]) -> np.ndarray:
@@ -69,173 +63,99 @@ def ids(units: DataFrame) -> list[int]:
     return sorted(r[0] for r in units.select("unit_idx").collect())
 
 
-def matvec(h: DataFrame, x: DataFrame, units: DataFrame) -> DataFrame:
-    """The units' scores after one step along h: unit_idx, pi."""
-    y = h.join(x.select(F.col("unit_idx").alias("src"), "pi"), "src").groupBy(F.col("dst").alias("unit_idx")).agg(F.sum(F.col("w") * F.col("pi")).alias("pi"))
-    return units.select("unit_idx").join(y, "unit_idx", "left").select("unit_idx", F.coalesce("pi", F.lit(0.0)).alias("pi"))
-
-
-def unit_sum(x: DataFrame, to: float = 1.0) -> DataFrame:
-    total = x.agg(F.sum("pi").alias("t"))
-    return x.crossJoin(F.broadcast(total)).select("unit_idx", F.when(F.col("t") > 0, to * F.col("pi") / F.col("t")).otherwise(F.col("pi")).alias("pi"))
+def matvec(h: DataFrame, x: DataFrame, units: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The units' scores after one step along h: keys, unit_idx, pi."""
+    y = h.join(x.select(*keys, F.col("unit_idx").alias("src"), "pi"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("unit_idx")).agg(F.sum(F.col("w") * F.col("pi")).alias("pi"))
+    return units.select(*keys, "unit_idx").join(y, [*keys, "unit_idx"], "left").select(*keys, "unit_idx", F.coalesce("pi", F.lit(0.0)).alias("pi"))
 
 
-def uniform(units: DataFrame) -> DataFrame:
-    n = units.agg(F.count("*").alias("n"))
-    return units.crossJoin(F.broadcast(n)).select("unit_idx", (F.lit(1.0) / F.col("n")).alias("pi"))
+def uniform(units: DataFrame, keys: Keys = ()) -> DataFrame:
+    n = units.groupBy(*keys).agg(F.count("*").alias("n_"))
+    return joined(units, n, keys).select(*keys, "unit_idx", (F.lit(1.0) / F.col("n_")).alias("pi"))
 
 
-def joint_prior(sources: DataFrame, institutions: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+def joint_prior(sources: DataFrame, institutions: DataFrame, kind: str, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
     """Priors of both sides that sum to 1 together: uniform, the same for every unit; unit_scaled, half to each side."""
-    n = [sources.count(), institutions.count()]
+    n = [units.groupBy(*keys).agg(F.count("*").alias(c)) for units, c in ((sources, "n_s"), (institutions, "n_u"))]
+    n = n[0].join(n[1], list(keys), "full").fillna(0, ["n_s", "n_u"]) if keys else n[0].crossJoin(F.broadcast(n[1]))
     if kind == "uniform":
-        each = [1 / max(sum(n), 1)] * 2
+        each = [1 / F.greatest(F.col("n_s") + F.col("n_u"), F.lit(1))] * 2
     elif kind == "unit_scaled":
-        each = [0.5 / max(k, 1) for k in n]
+        each = [0.5 / F.greatest(F.col(k), F.lit(1)) for k in ("n_s", "n_u")]
     else:
         raise ValueError(f"unknown prior {kind}")
-    return tuple(units.select("unit_idx", F.lit(x).alias("pi")) for units, x in zip((sources, institutions), each))
+    return tuple(joined(units, n, keys).select(*keys, "unit_idx", x.cast("double").alias("pi")) for units, x in zip((sources, institutions), each))
 
 
-def power(h: DataFrame, units: DataFrame, steps: int | None = None, alpha: float = 1.0, prior: DataFrame | None = None, tol: float = TOL) -> DataFrame:
-    """steps of x <- alpha h'x + (1 - alpha) prior from the prior, then scaled to sum 1. Without steps it goes on until the
-    scores' summed change falls below tol."""
-    whole = steps is None
-    steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
-    if is_small(h, units):
+def power(h: DataFrame, units: DataFrame, alpha: float = 1.0, prior: DataFrame | None = None, tol: float = TOL, keys: Keys = ()) -> DataFrame:
+    """The fixed point of x <- alpha h'x + (1 - alpha) prior, scaled to sum 1: the Perron vector for alpha 1."""
+    held = HELD if alpha == 1 else 0.0
+    if is_small(keys, h, units):
         us = ids(units)
         g, m = Local(h, us, us), vector(prior, us) if prior is not None else np.full(len(us), 1 / max(len(us), 1))
-        x = m
-        for _ in range(steps):
+        x, last = m, 0.0
+        for _ in range(iteration.MOST):
             y = alpha * g.step(x) + (1 - alpha) * m
             y = held * x + (1 - held) * y / (y.sum() or 1.0) if alpha == 1 else y
             last = np.abs(y - x).sum()
             x = y
-            if whole and last < tol:
+            if last < tol:
                 break
-        if whole:
-            settled(last, tol)
-        return frame(units, us, x)
-    h = row_normalised(h).repartition("src").persist()
-    mu = cut(prior if prior is not None else uniform(units))
-    x = mu
-    for k in range(steps):
-        y = matvec(h, x, units)
-        if alpha < 1:
-            y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
-        if held:  # cut each time: the step reads x twice, so the plan would grow by powers
-            y = cut(unit_sum(y).join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi")))
-        if (k + 1) % EVERY == 0 or k + 1 == steps:
-            y = cut(unit_sum(y) if alpha == 1 else y)
-            if whole:
-                last = change(x, y)
-                if last < tol:
-                    x = y
-                    break
-        x = y
-    h.unpersist()
-    if whole:
         settled(last, tol)
-    return unit_sum(x)
-
-
-def change(x: DataFrame, y: DataFrame) -> float:
-    both = unit_sum(x).join(unit_sum(y).withColumnRenamed("pi", "q"), "unit_idx")
-    return both.agg(F.sum(F.abs(F.col("pi") - F.col("q")))).first()[0] or 0.0
+        return frame(units, us, x)
+    mu = prior if prior is not None else uniform(units, keys)
+    if alpha < 1:
+        mu = mu.withColumn("b", (1 - alpha) * F.col("pi"))
+    return unit_sum(iteration.fixed_point(row_normalised(h, keys), mu, keys, 1, alpha, held, alpha < 1, tol), 1.0, keys)
 
 
-def katz(h: DataFrame, units: DataFrame, steps: int | None, alpha: float, prior: DataFrame | None = None, tol: float = TOL) -> DataFrame:
-    """Katz-Hubbell: what dangling units hold returns through the prior. Without steps it goes on until the scores' summed
-    change falls below tol."""
-    whole, last = steps is None, 0.0
-    steps = MOST if whole else steps
-    if is_small(h, units):
-        us = ids(units)
-        g = Local(h, us, us)
-        m = vector(unit_sum(prior), us) if prior is not None else np.full(len(us), 1 / max(len(us), 1))
-        dangling = np.bincount(g.src, minlength=len(us)) == 0 if len(us) else np.zeros(0, bool)
-        x = m
-        for _ in range(steps):
-            y = alpha * g.step(x) + (alpha * x[dangling].sum() + 1 - alpha) * m
-            y = y / (y.sum() or 1.0)
-            last, x = np.abs(y - x).sum(), y
-            if whole and last < tol:
-                break
-        if whole:
-            settled(last, tol)
-        return frame(units, us, x)
-    h = row_normalised(h).repartition("src").persist()
-    mu = cut(unit_sum(prior) if prior is not None else uniform(units))
-    held = cut(h.select(F.col("src").alias("unit_idx")).distinct())
-    x = mu
-    for k in range(steps):
-        lost = x.join(held, "unit_idx", "left_anti").agg(F.coalesce(F.sum("pi"), F.lit(0.0)).alias("lost"))
-        y = matvec(h, x, units).join(mu.withColumnRenamed("pi", "mu"), "unit_idx").crossJoin(F.broadcast(lost))
-        y = cut(unit_sum(y.select("unit_idx", (alpha * F.col("pi") + (alpha * F.col("lost") + 1 - alpha) * F.col("mu")).alias("pi"))))
-        if whole:
-            last = change(x, y)
-        x = y
-        if whole and last < tol:
-            break
-    h.unpersist()
-    if whole:
-        settled(last, tol)
-    return x
+def katz(h: DataFrame, units: DataFrame, alpha: float, prior: DataFrame | None = None, tol: float = TOL, keys: Keys = ()) -> DataFrame:
+    """Katz-Hubbell: what dangling units hold returns through the prior. That only scales the damped scores, so these are solved and
+    then scaled to sum 1."""
+    return power(h, units, alpha, unit_sum(prior, 1.0, keys) if prior is not None else None, tol, keys)
 
 
-def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, steps: int | None = None, alpha: float = 1.0, prior: str = "uniform", tol: float = TOL) -> tuple[DataFrame, DataFrame]:
+def bipartite(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, alpha: float = 1.0, prior: str = "uniform", tol: float = TOL, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
     """Scores of sources and institutions, each side summing to a half. The two-step chain is never formed: a step goes to
     institutions and back. alpha damps each hop; below 1 the prior is that of sources plus alpha times that of institutions, one
-    hop on. Without steps it goes on until the sources' scores change by less than tol."""
-    whole = steps is None
-    steps, last, held = MOST if whole else steps, 0.0, HELD if whole and alpha == 1 else 0.0
-    mu_s, mu_u = joint_prior(sources, institutions, prior) if alpha < 1 else (uniform(sources), None)
-    if is_small(si, is_, sources, institutions):
+    hop on."""
+    held = HELD if alpha == 1 else 0.0
+    mu_s, mu_u = joint_prior(sources, institutions, prior, keys) if alpha < 1 else (uniform(sources, keys), None)
+    if is_small(keys, si, is_, sources, institutions):
         a, b = ids(sources), ids(institutions)
         out, back = Local(si, a, b), Local(is_, b, a)
-        mu = vector(mu_s, a)
+        mu, last = vector(mu_s, a), 0.0
         if mu_u is not None:
             n = vector(mu_u, b)
             mu = mu + alpha * back.step(n)
             mu = mu / (mu.sum() or 1.0)
         x = mu
-        for _ in range(steps):
+        for _ in range(iteration.MOST):
             y = alpha * alpha * back.step(out.step(x)) + (1 - alpha * alpha) * mu
             y = held * x + (1 - held) * y / (y.sum() or 1.0)
             last, x = np.abs(y - x).sum(), y
-            if whole and last < tol:
+            if last < tol:
                 break
-        if whole:
-            settled(last, tol)
+        settled(last, tol)
         u = out.step(x) if mu_u is None else alpha * out.step(x) + (1 - alpha) * n
         return frame(sources, a, x, 0.5), frame(institutions, b, u, 0.5)
-    h_si, h_is = row_normalised(si).persist(), row_normalised(is_).persist()
-    mu = cut(mu_s)
+    h_si, h_is = row_normalised(si, keys), row_normalised(is_, keys)
+    mu = mu_s
     if mu_u is not None:
-        hop = matvec(h_is, mu_u, sources).withColumnRenamed("pi", "hop")
-        mu = cut(unit_sum(mu.join(hop, "unit_idx").select("unit_idx", (F.col("pi") + alpha * F.col("hop")).alias("pi"))))
-    x = mu
-    for k in range(steps):
-        y = matvec(h_is, matvec(h_si, x, institutions), sources)
-        if alpha < 1:
-            y = y.join(mu.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * alpha * F.col("pi") + (1 - alpha * alpha) * F.col("mu")).alias("pi"))
-        y = unit_sum(y)
-        if held:
-            y = y.join(x.withColumnRenamed("pi", "old"), "unit_idx").select("unit_idx", (held * F.col("old") + (1 - held) * F.col("pi")).alias("pi"))
-        y = cut(y)  # each time: the step reads its scores twice, so the plan would grow by powers
-        if whole and (k + 1) % EVERY == 0:
-            last = change(x, y)
-        x = y
-        if whole and last < tol and (k + 1) % EVERY == 0:
-            break
-    if whole:
-        settled(last, tol)
-    u = matvec(h_si, x, institutions)
+        n = matvec(h_is, mu_u, sources, keys).withColumnRenamed("pi", "n_")
+        mu = unit_sum(mu.join(n, [*keys, "unit_idx"]).select(*keys, "unit_idx", (F.col("pi") + alpha * F.col("n_")).alias("pi")), 1.0, keys)
+    # one graph of both sides, on which two hops lead from sources to sources; institutions begin with nothing and get nothing
+    code = lambda c, t: (2 * F.col(c) + t).alias(c)
+    h = h_si.select(*keys, code("src", 0), code("dst", 1), "w").unionByName(h_is.select(*keys, code("src", 1), code("dst", 0), "w"))
+    x = mu.select(*keys, code("unit_idx", 0), "pi").unionByName(institutions.select(*keys, code("unit_idx", 1), F.lit(0.0).alias("pi")))
+    if alpha < 1:
+        x = x.withColumn("b", (1 - alpha * alpha) * F.col("pi"))
+    x = iteration.fixed_point(h, x, keys, 2, alpha * alpha, held, alpha < 1, tol)
+    x = unit_sum(x.filter("unit_idx % 2 = 0").select(*keys, F.shiftright("unit_idx", 1).alias("unit_idx"), "pi"), 1.0, keys)
+    u = matvec(h_si, x, institutions, keys)
     if mu_u is not None:
-        u = u.join(mu_u.withColumnRenamed("pi", "mu"), "unit_idx").select("unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
-    x, u = cut(unit_sum(x, 0.5)), cut(unit_sum(u, 0.5))
-    h_si.unpersist(), h_is.unpersist()
-    return x, u
+        u = u.join(mu_u.withColumnRenamed("pi", "mu"), [*keys, "unit_idx"]).select(*keys, "unit_idx", (alpha * F.col("pi") + (1 - alpha) * F.col("mu")).alias("pi"))
+    return unit_sum(x, 0.5, keys), unit_sum(u, 0.5, keys)
 
 
 def resolvent(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: DataFrame, alpha: float, tol: float = TOL) -> tuple[DataFrame, DataFrame]:
@@ -245,126 +165,67 @@ def resolvent(si: DataFrame, is_: DataFrame, sources: DataFrame, institutions: D
     code = lambda c, t: (2 * F.col(c) + t).alias(c)
     h = si.select(code("src", 0), code("dst", 1), "w").unionByName(is_.select(code("src", 1), code("dst", 0), "w"))
     units = sources.select(code("unit_idx", 0)).union(institutions.select(code("unit_idx", 1)))
-    x = power(h, units, None, root, None, tol)
+    x = power(h, units, root, None, tol)
     side = lambda t: x.filter(F.col("unit_idx") % 2 == t).select(F.shiftright("unit_idx", 1).alias("unit_idx"), "pi")
     return side(0), side(1)
 
 
-def joint_graph(b: Blocks, chi: float | None = None) -> tuple[DataFrame, DataFrame]:
+def joint_graph(b: Blocks, chi: float | None = None, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
     """All four blocks as one graph; units are (type, idx) folded to 2 idx + type. chi (1 - chi) weighs the blocks between the
     sides; by default chi is the institutions' share of units."""
-    if chi is None or chi < 0:
-        ns, nu = b.sources.count(), b.institutions.count()
-        chi = nu / max(ns + nu, 1)
-    scale = {"ss": 1.0, "si": chi * (1 - chi), "is": chi * (1 - chi), "ii": 1.0}
     code = lambda c, t: 2 * F.col(c) + (0 if t == "s" else 1)
-    parts = [df.select(code("src", k[0]).alias("src"), code("dst", k[1]).alias("dst"), (F.lit(scale[k]) * F.col("w")).alias("w")) for k, df in b.blocks.items()]
-    h = parts[0]
-    for p in parts[1:]:
-        h = h.unionByName(p)
-    units = b.sources.select(code("unit_idx", "s").alias("unit_idx"), "a_p").union(b.institutions.select(code("unit_idx", "i").alias("unit_idx"), "a_p"))
-    return h, units
+    h = None
+    for k, df in b.blocks.items():
+        part = df.select(*keys, code("src", k[0]).alias("src"), code("dst", k[1]).alias("dst"), "w", F.lit(k in ("si", "is")).alias("cross_"))
+        h = part if h is None else h.unionByName(part)
+    units = b.sources.select(*keys, code("unit_idx", "s").alias("unit_idx"), "a_p").union(b.institutions.select(*keys, code("unit_idx", "i").alias("unit_idx"), "a_p"))
+    if chi is None or chi < 0:
+        share = units.groupBy(*keys).agg(F.avg((F.col("unit_idx") % 2).cast("double")).alias("chi_"))
+        h = joined(h, share, keys)
+    else:
+        h = h.withColumn("chi_", F.lit(float(chi)))
+    w = F.when(F.col("cross_"), F.col("chi_") * (1 - F.col("chi_")) * F.col("w")).otherwise(F.col("w"))
+    return h.select(*keys, "src", "dst", w.alias("w")), units
 
 
-def size_adjusted(*sides: tuple[DataFrame, DataFrame, str]) -> DataFrame:
+def size_adjusted(*sides: tuple[DataFrame, DataFrame, str], sentinel: int | None = None, keys: Keys = ()) -> DataFrame:
     """unit_idx, unit_type, pi, v, a_p of sides (scores, units, type). v: a unit's score per size over that of all sides
-    together, sentinels left out of the sums and without v."""
+    together. The sentinel, of runs that have one, is left out of the sums and has no v."""
     out = None
     for x, units, kind in sides:
-        j = x.join(units.select("unit_idx", "a_p"), "unit_idx").withColumn("unit_type", F.lit(kind))
+        j = x.join(units.select(*keys, "unit_idx", "a_p"), [*keys, "unit_idx"]).withColumn("unit_type", F.lit(kind))
         out = j if out is None else out.unionByName(j)
-    real = F.col("unit_idx") != SENTINEL
-    t = out.filter(real).agg(F.sum("a_p").alias("A"), F.sum("pi").alias("P"))
+    real = F.lit(True) if sentinel is None else F.col("unit_idx") != sentinel
+    t = out.filter(real).groupBy(*keys).agg(F.sum("a_p").alias("A"), F.sum("pi").alias("P"))
     v = F.when(real & (F.col("P") * F.col("a_p") > 0), F.col("A") * F.col("pi") / F.when(F.col("P") * F.col("a_p") > 0, F.col("P") * F.col("a_p")))
-    return out.crossJoin(F.broadcast(t)).select("unit_idx", "unit_type", "pi", v.alias("v"), "a_p")
+    return joined(out, t, keys).select(*keys, "unit_idx", "unit_type", "pi", v.alias("v"), "a_p")
 
 
-def dense_ranks(r: DataFrame) -> DataFrame:
+def dense_ranks(r: DataFrame, keys: Keys = ()) -> DataFrame:
     """rank_pi and rank_v inside each unit_type, missing values last."""
-    by = lambda c: W.partitionBy("unit_type").orderBy(F.col(c).desc_nulls_last())
+    by = lambda c: W.partitionBy(*keys, "unit_type").orderBy(F.col(c).desc_nulls_last())
     return r.withColumns({"rank_pi": F.dense_rank().over(by("pi")).cast("int"), "rank_v": F.dense_rank().over(by("v")).cast("int")})
 
 
-def rank(b: Blocks, run: Run, steps: int | None = None, tol: float = TOL) -> DataFrame:
-    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask. Without steps it iterates to the tolerance. The prior
-    enters the ranking between the sides alone; on the others damping without a prior changes nothing."""
+def rank(b: Blocks, run: Run, tol: float = TOL, keys: Keys = ()) -> DataFrame:
+    """unit_idx, unit_type (S or U), pi, v, a_p and ranks, by the run's mask. The prior enters the ranking between the sides alone; on
+    the others damping without a prior changes nothing."""
+    adjust = lambda *sides: size_adjusted(*sides, sentinel=run.sentinel if run.epsilon else None, keys=keys)
     if run.mask == "1000":
-        out = size_adjusted((power(b.blocks["ss"], b.sources, steps, tol=tol), b.sources, "S"))
+        out = adjust((power(b.blocks["ss"], b.sources, tol=tol, keys=keys), b.sources, "S"))
     elif run.mask == "0001":
-        out = size_adjusted((power(b.blocks["ii"], b.institutions, steps, tol=tol), b.institutions, "U"))
+        out = adjust((power(b.blocks["ii"], b.institutions, tol=tol, keys=keys), b.institutions, "U"))
     elif run.mask == "0110":
-        s, u = bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, steps, run.alpha, run.prior, tol)
-        out = size_adjusted((s, b.sources, "S"), (u, b.institutions, "U"))
+        s, u = bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, run.alpha, run.prior, tol, keys)
+        out = adjust((s, b.sources, "S"), (u, b.institutions, "U"))
     else:
-        h, units = joint_graph(b, run.chi)
-        x = power(h, units, steps, tol=tol)
-        half = lambda t: x.filter(F.col("unit_idx") % 2 == t).select(F.shiftright("unit_idx", 1).alias("unit_idx"), "pi")
-        out = size_adjusted((half(0), b.sources, "S"), (half(1), b.institutions, "U"))
-    return dense_ranks(out)
+        h, units = joint_graph(b, run.chi, keys)
+        x = power(h, units, tol=tol, keys=keys)
+        half = lambda t: x.filter(F.col("unit_idx") % 2 == t).select(*keys, F.shiftright("unit_idx", 1).alias("unit_idx"), "pi")
+        out = adjust((half(0), b.sources, "S"), (half(1), b.institutions, "U"))
+    return dense_ranks(out, keys)
 
 
 def mask_graph(b: Blocks, run: Run) -> tuple[DataFrame, DataFrame]:
     """The one graph on which the run's mask walks, and its units, folded to 2 idx + type."""
     return joint_graph(b, run.chi if run.mask == "1111" else 0.5)
-
-
-def second_value(h: DataFrame, units: DataFrame, steps: int = 60, tol: float = TOL) -> tuple[float, float]:
-    """The leading eigenvalue of a row-normalised graph, and the size of the second: growth of all mass, and of a vector kept
-    free of the first (its sum taken out along the Perron vector), averaged over the last steps."""
-    if is_small(h, units):
-        us = ids(units)
-        g = Local(h, us, us)
-        p = vector(power(h, units, tol=tol), us)
-        x, sizes = np.random.default_rng(0).random(len(us)) - 0.5, []
-        for _ in range(10 * steps):
-            x = g.step(x)
-            x = x - x.sum() * p
-            sizes.append(float(np.linalg.norm(x)))
-            if sizes[-1] < 1e-12:
-                break
-            x = x / sizes[-1]
-        late = sizes[len(sizes) // 2 :]
-        return float(g.step(p).sum()), float(np.exp(np.mean(np.log(late)))) if late and min(late) > 1e-12 else 0.0
-    n = row_normalised(h).repartition("src").persist()
-    pi = cut(power(h, units, tol=tol))
-    mass = matvec(n, pi, units).agg(F.sum("pi")).first()[0] or 0.0
-    p = pi.withColumnRenamed("pi", "p")
-    x = cut(units.select("unit_idx", (F.pmod(F.xxhash64("unit_idx"), F.lit(1000)) / 1000.0 - 0.5).alias("pi")))
-    growth = []
-    size = lambda v: v.agg(F.sqrt(F.sum(F.col("pi") * F.col("pi")))).first()[0] or 0.0
-    for _ in range(max(steps // EVERY, 2)):
-        x = x.select("unit_idx", (F.col("pi") / (size(x) or 1.0)).alias("pi"))
-        for _ in range(EVERY):
-            y = matvec(n, x, units)
-            x = y.join(p, "unit_idx").crossJoin(F.broadcast(y.agg(F.sum("pi").alias("t")))).select("unit_idx", (F.col("pi") - F.col("t") * F.col("p")).alias("pi"))
-            x = cut(x)
-        growth.append(size(x))
-        if growth[-1] < 1e-12:
-            break
-    n.unpersist()
-    late = growth[len(growth) // 2 :]
-    return mass, float(np.exp(np.mean(np.log(np.maximum(late, 1e-300)))) ** (1 / EVERY)) if min(late) > 1e-12 else 0.0
-
-
-def local_power(edges: DataFrame, steps: int = MOST, tol: float = 1e-12) -> DataFrame:
-    """Perron scores of many small graphs at once, of each the giant strongly connected component: edges have group_idx,
-    src, dst, w; a group must fit a task. Iterates to tol; what is not below TOL after all steps fails."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, giant = pdf["group_idx"].iloc[0], local_giant(list(zip(pdf["src"].tolist(), pdf["dst"].tolist())))
-        pdf = pdf[pdf["src"].isin(giant) & pdf["dst"].isin(giant)]
-        ids, code = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        src, dst, w = code[: len(pdf)], code[len(pdf) :], pdf["w"].to_numpy()
-        w = w / np.bincount(src, w, len(ids))[src]
-        x, last = np.full(len(ids), 1 / max(len(ids), 1)), 0.0
-        for _ in range(steps):
-            y = np.bincount(dst, w * x[src], len(ids))
-            y = HELD * x + (1 - HELD) * y / (y.sum() or 1.0)
-            last = np.abs(y - x).sum()
-            x = y
-            if last < tol:
-                break
-        settled(last, TOL)
-        return pd.DataFrame({"group_idx": group, "unit_idx": ids, "pi": x})
-
-    return edges.select("group_idx", "src", "dst", "w").groupBy("group_idx").applyInPandas(solve, "group_idx long, unit_idx long, pi double")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions import compare, names, persons, stats
-from quillgraph.operators import authors, corpus, edges, enclaves, extraction, ranking, reports, spectral
-from quillgraph.plans.queries import QUERIES, TOL, all_works, both_sides, candidates, flat, giant_blocks, kept, made_blocks, query, r9, ranked, rankings, references, rounded_edges, scored, units  # noqa: F401
+from quillgraph.model import GROUPS
+from quillgraph.operators import authors, corpus, enclaves, extraction, graph, ranking, reports, spectral
+from quillgraph.plans.queries import QUERIES, TOL, all_references, all_works, candidates, flat, giant_blocks, kept, query, r9, ranked, rankings, references, scored  # noqa: F401
 from quillgraph.sources.adapters import RUN, Tables
 
 YEARS, HORIZON, BLOC = (1996, 2000), 2002, frozenset(f"NATION_{k}" for k in range(20))
@@ -299,9 +300,9 @@ def rank_diagnostics(t):
 
 @query
 def spectral_gap(t):
-    """The two leading eigenvalues of the ranking's graph; the second by an iteration, so there is no SQL."""
+    """The leading eigenvalues of the ranking's graph, by descending real part; found by iteration, so there is no SQL."""
     d = ranking.diagnostics(giant_blocks(t, replace(RUN, mask="0001")), candidates(t, RUN.group_col, RUN.window), replace(RUN, mask="0001"), RUN.members[0])
-    return t.spark.createDataFrame([(round(d["lam1"], 6), round(d["lam2"], 4))], "lam1 double, lam2 double")
+    return t.spark.createDataFrame([(k, round(a, 5), round(b, 5)) for k, (a, b) in enumerate(d["values"], 1)], "place int, real_part double, imaginary_part double")
 
 
 def _variant(name: str, **options) -> None:
@@ -327,22 +328,57 @@ UNITS = {1: [16, 17, 18, 19], 2: [18, 21, 24]}
 def rank_unit(t):
     """Units made of subfields, with a white list, ranked end to end."""
     white = t.sources().filter("source_idx % 10 = 0").select("source_idx")
-    run = replace(RUN, tau_s=0.1)
-    out = None
-    for k, df in ranking.rank_units(flat(t), references(t), run, UNITS, keep=lambda d: kept(t, f"unit-{id(d)}", lambda: d), white=white, white_least=0.2).items():
-        if df is not None:
-            out = df if out is None else out.unionByName(df)
+    out = ranking.rank_units(flat(t), references(t), replace(RUN, tau_s=0.1), UNITS, TOL, white=white, white_least=0.2)
     return out.select("group_idx", "unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
 
 
+ALL = replace(RUN, members=tuple(GROUPS))
+
+
+def grouped(t: Tables) -> DataFrame:
+    return flat(t).withColumn("group_idx", F.col(RUN.group_col))
+
+
+def swept(t: Tables, name: str, runs: dict) -> DataFrame:
+    return kept(t, f"sweep-{name}", lambda: ranking.sweep(grouped(t), references(t), candidates(t, RUN.group_col, RUN.window), runs, TOL))
+
+
+def shown_sweep(df: DataFrame) -> DataFrame:
+    return df.select("run", "group_idx", "unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
+
+
+@query
+def sweep_blocs(t):
+    """Every group, with works of all countries and with those of one bloc alone, in one sweep."""
+    return shown_sweep(swept(t, "blocs", ranking.bloc_runs(ALL, {"world": frozenset(), "bloc": BLOC})))
+
+
+def sensitivity(t: Tables) -> DataFrame:
+    return swept(t, "variants", {"baseline": ALL} | ranking.variants(ALL))
+
+
+@query
+def sweep_variants(t):
+    """Every group under the baseline and the five sensitivity runs, in one sweep."""
+    return shown_sweep(sensitivity(t))
+
+
 @query
 def variant_agreement(t):
-    base = ranked(giant_blocks(t, RUN), RUN)
-    others = {}
-    for name, o in (("rho1", {"rho": 1}), ("beta1", {"beta": 1})):
-        run = replace(RUN, **o)
-        others[name] = ranked(giant_blocks(t, run), run)
-    return rounded(ranking.agreement(base, others), "pearson", "spearman", to=4)
+    """Agreement of each variant's scores with the baseline's, in every group and on both sides."""
+    return rounded(ranking.agreement(sensitivity(t)), "pearson", "spearman", to=4)
+
+
+@query
+def rank_all_fields(t):
+    """Institution graphs of all fields, of each the giant component, ranked in the same jobs."""
+    w = flat(t).select("work_idx", F.col("field_idx").alias("group_idx"), "institution_idx", (F.col("inst_weight") * F.col("field_weight")).alias("w"))
+    a, b = w.toDF("citer_idx", "group_idx", "src", "wa"), w.toDF("cited_idx", "group_idx", "dst", "wb")
+    e = references(t).join(a, "citer_idx").join(b, ["cited_idx", "group_idx"]).groupBy("group_idx", "src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    e = kept(t, "field graphs", lambda: e)
+    nodes = graph.giant_scc(e, ["group_idx"]).withColumnRenamed("node", "unit_idx")
+    inside = e.join(nodes.withColumnRenamed("unit_idx", "src"), ["group_idx", "src"], "left_semi").join(nodes.withColumnRenamed("unit_idx", "dst"), ["group_idx", "dst"], "left_semi")
+    return spectral.power(kept(t, "field giants", lambda: inside), nodes, tol=TOL, keys=["group_idx"]).select("group_idx", "unit_idx", *r9("pi"))
 
 
 def with_ranks(t: Tables, shift: int = 0) -> DataFrame:
@@ -406,7 +442,7 @@ def division_indicators(t):
 @query
 def supplement_roles(t):
     """Cited, citing or both: works outside the corpus that corpus works are linked with."""
-    inside, refs = flat(t).select("work_idx").distinct(), t.references()
+    inside, refs = flat(t).select("work_idx").distinct(), all_references(t)
     one = refs.join(inside.toDF("citer_idx"), "citer_idx", "left_semi").select(F.col("cited_idx").alias("work_idx"), F.lit(1).alias("cited"), F.lit(0).alias("citer"))
     two = refs.join(inside.toDF("cited_idx"), "cited_idx", "left_semi").select(F.col("citer_idx").alias("work_idx"), F.lit(0).alias("cited"), F.lit(1).alias("citer"))
     g = one.union(two).join(inside, "work_idx", "left_anti").groupBy("work_idx").agg(F.max("cited").alias("a"), F.max("citer").alias("b"))

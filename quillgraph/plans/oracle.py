@@ -42,9 +42,9 @@ W: dict[str, str] = {
     "ri": "SELECT citer_idx, sum(efw) R_i FROM pairs GROUP BY 1",
     "el": """SELECT citer_idx citer_work_idx, a.source_idx citer_source_idx, a.institution_idx citer_inst_idx, a.inst_weight, a.direct_inst_weight, cited_idx cited_work_idx, b.source_idx cited_source_idx, b.institution_idx cited_inst_idx,
   b.inst_weight cited_inst_weight, b.direct_inst_weight direct_cited_inst_weight, efw edge_field_weight, R_i FROM pairs JOIN ri USING (citer_idx) JOIN fi a ON a.work_idx = citer_idx JOIN fi b ON b.work_idx = cited_idx""",
-    "eps": """SELECT * FROM el UNION ALL SELECT citer_idx, source_idx, institution_idx, inst_weight, direct_inst_weight, cited_idx, 1, 1, 1.0, 1.0, (SELECT field_weight FROM ww w WHERE w.work_idx = fi.work_idx) / 2, R_i
+    "eps": """SELECT * FROM el UNION ALL SELECT citer_idx, source_idx, institution_idx, inst_weight, direct_inst_weight, cited_idx, 1000000000000, 1000000000000, 1.0, 1.0, (SELECT field_weight FROM ww w WHERE w.work_idx = fi.work_idx) / 2, R_i
   FROM cr JOIN fi ON work_idx = citer_idx JOIN ri USING (citer_idx) WHERE cited_idx NOT IN (SELECT work_idx FROM ww)
-  UNION ALL SELECT citer_idx, 1, 1, 1.0, 1.0, cited_idx, fi.source_idx, institution_idx, inst_weight, direct_inst_weight, w.field_weight / 2, t.R_i FROM cr JOIN fi ON work_idx = cited_idx JOIN ww w ON w.work_idx = cited_idx
+  UNION ALL SELECT citer_idx, 1000000000000, 1000000000000, 1.0, 1.0, cited_idx, fi.source_idx, institution_idx, inst_weight, direct_inst_weight, w.field_weight / 2, t.R_i FROM cr JOIN fi ON work_idx = cited_idx JOIN ww w ON w.work_idx = cited_idx
   JOIN (SELECT citer_idx, sum(field_weight / 2) R_i FROM cr JOIN ww ON work_idx = cited_idx WHERE citer_idx NOT IN (SELECT work_idx FROM ww) GROUP BY 1) t USING (citer_idx)""",
     "ew": "SELECT *, CASE WHEN R_i = 0 THEN 0 ELSE edge_field_weight * (SELECT avg(R_i) FROM (SELECT DISTINCT citer_work_idx, R_i FROM el)) / R_i END ew FROM el",
     "us": "SELECT source_idx unit_idx, weighted_works a_p FROM gs WHERE weighted_works >= 0.25 AND source_idx IN (SELECT citer_source_idx FROM el UNION SELECT cited_source_idx FROM el)",
@@ -129,9 +129,25 @@ def _damped(prior: str, alpha: float = 0.85) -> dict[str, str]:
 
 
 _SIDES = "SELECT CASE unit_idx % 2 WHEN 0 THEN 'S' ELSE 'U' END unit_type, unit_idx // 2 unit_idx, round(pi, 9) pi FROM pi"
-# v by the definition: pi over size, over the same of all units but the sentinel
-_V = "CASE WHEN unit_idx <> 1 THEN round((pi / a_p) / ((sum(pi) FILTER (unit_idx <> 1) OVER ()) / (sum(a_p) FILTER (unit_idx <> 1) OVER ())), 6) END v"
-_RANKED = f"SELECT unit_idx, unit_type, round(pi, 9) pi, {_V} FROM (SELECT CASE unit_idx % 2 WHEN 0 THEN 'S' ELSE 'U' END unit_type, unit_idx // 2 unit_idx, pi, a_p FROM pi)"
+# v by the definition: pi over size, over the same of all units; where a run has a sentinel, of all others
+_V = "round((pi / a_p) / (sum(pi) OVER () / sum(a_p) OVER ()), 6) v"
+_SIDED = "SELECT CASE unit_idx % 2 WHEN 0 THEN 'S' ELSE 'U' END unit_type, unit_idx // 2 unit_idx, pi, a_p FROM pi"
+_RANKED = f"SELECT unit_idx, unit_type, round(pi, 9) pi, {_V} FROM ({_SIDED})"
+_REAL = "FILTER (unit_idx <> 1000000000000) OVER ()"
+_SENTINEL_RANKED = f"SELECT unit_idx, unit_type, round(pi, 9) pi, CASE WHEN unit_idx <> 1000000000000 THEN round((pi / a_p) / (sum(pi) {_REAL} / sum(a_p) {_REAL}), 6) END v FROM ({_SIDED})"
+_SENTINEL = _BI | {
+    "ew": W["ew"].replace(" el", " eps"), "us": W["us"].replace(" el", " eps") + " UNION ALL SELECT 1000000000000, 1.0", "uu": W["uu"].replace(" el", " eps") + " UNION ALL SELECT 1000000000000, 1.0",
+    "scc": "(SELECT node FROM fwd INTERSECT SELECT node FROM bwd) UNION SELECT 2000000000000 UNION SELECT 2000000000001",
+}
+
+
+def of_group(body: str, group: int) -> str:
+    """The same query for another group."""
+    return body.replace("leiden_idx = 4", f"leiden_idx = {group}")
+
+
+_BLOC = "work_idx NOT IN (SELECT work_idx FROM fw WHERE leiden_idx = 4 AND publication_year BETWEEN 1996 AND 2000 AND country_code NOT IN (" + ", ".join(f"'NATION_{k}'" for k in range(20)) + "))"
+_IN_BLOC = {"fi": W["fi"].replace(" GROUP BY 1, 2, 3", f" AND {_BLOC} GROUP BY 1, 2, 3")}
 _RE = lambda c: f"round({c}, 9) {c.split('.')[-1]}"
 _EL = "citer_work_idx, citer_source_idx, citer_inst_idx, round(inst_weight, 9) inst_weight, round(direct_inst_weight, 9) direct_inst_weight, cited_work_idx, cited_source_idx, cited_inst_idx, round(cited_inst_weight, 9) cited_inst_weight, round(direct_cited_inst_weight, 9) direct_cited_inst_weight, round(edge_field_weight, 9) edge_field_weight, round(R_i, 9) R_i"
 _KEYS = "SELECT p_partkey id, split_part(p_name, ' ', 1) f, split_part(p_name, ' ', 2) l, substr(p_name, 1, 1) fi, p_brand m FROM part"
@@ -176,6 +192,8 @@ SQL: dict[str, str] = {
     "rank_joint": sql(_RANKED, **_JOINT),
     "rank_sources": sql(f"SELECT unit_idx, 'S' unit_type, round(pi, 9) pi, {_V} FROM pi", **_power(_BLOCKS["ss"], "us")),
     "rank_dense": sql(f"SELECT *, dense_rank() OVER (ORDER BY pi DESC)::INT rank_pi, dense_rank() OVER (ORDER BY v DESC NULLS LAST)::INT rank_v FROM (SELECT unit_idx, 'U' unit_type, round(pi, 9) pi, {_V} FROM pi)", **_power(_BLOCKS["ii"], "uu")),
+    "rank_sentinel": sql(_SENTINEL_RANKED, **_SENTINEL),
+    "sweep_blocs": " UNION ALL ".join(f"SELECT '{run}' run, {g}::BIGINT group_idx, * FROM ({of_group(sql(_RANKED, **(_BI | more)), g)}) WHERE pi IS NOT NULL" for run, more in (("world", {}), ("bloc", _IN_BLOC)) for g in _GROUPS),
     "giant_scc": sql("SELECT node FROM scc", **_giant(_BLOCKS["ss"])),
     "work_v": sql("SELECT work_idx, field_idx, round(source_v, 9) source_v, round(mean_inst_v, 9) mean_inst_v, round(work_v, 9) work_v FROM wv"),
     "citer_counts": sql("SELECT field_idx, work_idx, n_intra, round(mean_citer_v, 9) mean_citer_v, n_citer_hi, n_citer_lo FROM cc"),

@@ -233,14 +233,14 @@ def power_ss(b, run):
 
 @ranking(mask="0001")
 def katz_uniform(b, run):
-    return spectral.katz(b.blocks["ii"], b.institutions, None, 0.85, tol=TOL).select("unit_idx", *r9("pi"))
+    return spectral.katz(b.blocks["ii"], b.institutions, 0.85, tol=TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking(mask="0001")
 def katz_by_size(b, run):
     """Katz scores under a prior in proportion to the units' sizes."""
     prior = b.institutions.select("unit_idx", F.col("a_p").alias("pi"))
-    return spectral.katz(b.blocks["ii"], b.institutions, None, 0.85, prior, TOL).select("unit_idx", *r9("pi"))
+    return spectral.katz(b.blocks["ii"], b.institutions, 0.85, prior, TOL).select("unit_idx", *r9("pi"))
 
 
 @ranking()
@@ -250,12 +250,12 @@ def bipartite_perron(b, run):
 
 @ranking(alpha=0.85)
 def bipartite_uniform(b, run):
-    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, None, run.alpha, "uniform", TOL))
+    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, run.alpha, "uniform", TOL))
 
 
 @ranking(alpha=0.85, prior="unit_scaled")
 def bipartite_unit_scaled(b, run):
-    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, None, run.alpha, "unit_scaled", TOL))
+    return both_sides(*spectral.bipartite(b.blocks["si"], b.blocks["is"], b.sources, b.institutions, run.alpha, "unit_scaled", TOL))
 
 
 @ranking(alpha=0.85)
@@ -299,17 +299,6 @@ def giant_scc(t):
     return graph.giant_scc(made_blocks(t, replace(RUN, mask="1000")).blocks["ss"])
 
 
-@query
-def rank_all_fields_local(t):
-    """Institution graphs of all fields, of each the giant component, ranked in one job."""
-    fw = flat(t)
-    refs = references(t)
-    a = fw.select(F.col("work_idx").alias("citer_idx"), "field_idx", F.col("institution_idx").alias("src"), (F.col("inst_weight") * F.col("field_weight")).alias("wa"))
-    b = fw.select(F.col("work_idx").alias("cited_idx"), "field_idx", F.col("institution_idx").alias("dst"), (F.col("inst_weight") * F.col("field_weight")).alias("wb"))
-    e = refs.join(a, "citer_idx").join(b, ["cited_idx", "field_idx"]).groupBy(F.col("field_idx").alias("group_idx"), "src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
-    return spectral.local_power(e).select("group_idx", "unit_idx", *r9("pi"))
-
-
 # works
 
 
@@ -402,7 +391,7 @@ def coauthor_evidence(t):
 
 @query
 def connected_components(t):
-    r = t.references()
+    r = all_references(t)
     nodes = r.select("citer_idx").union(r.select("cited_idx")).distinct()
     return graph.connected_components(nodes, r)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.model import Corpus, Run
 
 CORPUS = Corpus(years=(1995, 2001), work_types=("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"), source_types=("HOUSEHOLD", "FURNITURE", "MACHINERY", "BUILDING"))
-RUN = Run(group_col="leiden_idx", members=(4,), window=(1996, 2000), tau_s=0.05, tau_u=0.5)
+RUN = Run(group_col="leiden_idx", members=(4,), window=(1996, 2000), tau_s=0.05, tau_u=0.5, sentinel=10**12)
 
 
 class Tables:
