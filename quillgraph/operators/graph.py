@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.iteration import fixed_plans
@@ -30,24 +30,33 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("to").alias("label"))
 
 
-#: A label is a node with its priority above this bit.
-NODE_BITS = 56
+#: Nodes are below 2 to the power of twice HALF; a label is a node's priority above the node itself, its halves scattered and exchanged.
+HALF = 28
+
+
+def own_label(node: Column, priority: Column) -> Column:
+    """A label of its own for each node. Along a path labels come as if shuffled, which `spread` needs."""
+    mask = F.lit((1 << HALF) - 1)
+    low, high = node.bitwiseAND(mask), F.shiftright(node, HALF)
+    scattered = (low * 165_580_141).bitwiseAND(mask).bitwiseXOR((high * 102_334_155).bitwiseAND(mask))
+    return priority * (1 << 2 * HALF) + scattered * (1 << HALF) + high
 
 
 def spread(edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each node's greatest label among all nodes that reach it (itself included). A label is a node's name, so the label of a label's
-    node reaches on, and rounds grow with the logarithm of a path's length."""
-    node = lambda c: F.col(c).bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+    """keys, node, label: the greatest of the own labels of all nodes that lead to a node, itself included. labels: keys, node, own.
+    A label belongs to a node, so what has come to that node comes on from there at once; since labels are scattered, these leaps
+    grow, and rounds with them only slowly, where a path is long."""
+    labels = labels.withColumn("label", F.col("own"))
     while True:
-        near = edges.join(labels.withColumnsRenamed({"node": "src", "label": "l"}), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.max("l").alias("l"))
-        new = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.greatest("label", F.coalesce("l", "label")).alias("new"))
+        near = edges.join(labels.select(*keys, F.col("node").alias("src"), F.col("label").alias("l")), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.max("l").alias("l"))
+        new = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "own", "label", F.greatest("label", F.coalesce("l", "label")).alias("new"))
         with fixed_plans(edges.sparkSession):
             new = cut(new)  # it is read twice below
-            far = new.select(*keys, F.col("node").alias("at_"), F.col("new").alias("far"))
-            new = cut(new.withColumn("at_", node("new")).join(far, [*keys, "at_"], "left").select(*keys, "node", "label", F.greatest("new", F.coalesce("far", "new")).alias("new")))
+            far = new.select(*keys, F.col("own").alias("new"), F.col("new").alias("far"))
+            new = cut(new.join(far, [*keys, "new"], "left").select(*keys, "node", "own", "label", F.greatest("new", F.coalesce("far", "new")).alias("new")))
         if new.filter("new > label").isEmpty():
             return new.select(*keys, "node", F.col("new").alias("label"))
-        labels = new.select(*keys, "node", F.col("new").alias("label"))
+        labels = new.select(*keys, "node", "own", F.col("new").alias("label"))
 
 
 def components_of_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,7 +64,7 @@ def components_of_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     that reaches it; inside a colour, what leads back to that node is its component. Priority is the logarithm of in- times
     out-degree, so that a giant component's hub is its colour."""
     n = edges.groupBy(*keys, F.col("src").alias("node")).agg(F.count("*").alias("o")).join(edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("i")), [*keys, "node"], "full").fillna(0, ["o", "i"])
-    first = cut(n.select(*keys, "node", (F.floor(F.log2(F.col("o") * F.col("i") + 1)).cast("long") * (1 << NODE_BITS) + F.col("node")).alias("label")))
+    first = cut(n.select(*keys, "node", own_label(F.col("node"), F.floor(F.log2(F.col("o") * F.col("i") + 1)).cast("long")).alias("own")))
     colour = cut(spread(edges, first, keys))
     same = edges.join(colour.withColumnsRenamed({"node": "src", "label": "c"}), [*keys, "src"]).join(colour.withColumnsRenamed({"node": "dst", "label": "d"}), [*keys, "dst"]).filter("c = d")
     back = spread(cut(same.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))), first, keys).withColumnRenamed("label", "back")
@@ -70,7 +79,7 @@ def trimmed(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def giant_scc(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, node: the largest strongly connected component of each graph; of equally large ones, that whose root has the highest
-    priority. Nodes, not negative and below 2**56, are in none if no cycle has them. A round finds the component of every colour's root;
+    priority. Nodes are not negative and below 2**56; those that no cycle has are in no component. A round finds the component of every colour's root;
     graphs whose remaining nodes are fewer than their best are done, as most are after one round."""
     spark, keys = edges.sparkSession, list(keys)
     if not keys and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:

@@ -71,7 +71,7 @@ def strong(pairs):
 
 def test_giant_components_of_many_graphs(spark):
     r = np.random.default_rng(11)
-    graphs = {g: sorted({(int(a), int(b)) for a, b in r.integers(0, 30, (n, 2))}) for g, n in ((1, 25), (2, 45), (3, 70))}
+    graphs = {g: sorted({(int(a), int(b)) for a, b in r.integers(0, 30, (n, 2))}) for g, n in ((1, 30), (2, 45), (3, 70))}
     graphs[4] = [(k, k + 1) for k in range(39)] + [(39, 0)]  # one long cycle
     graphs[5] = [(9, 8), (8, 9), (8, 1), (1, 2), (2, 3), (3, 1)]  # upstream of the giant lies a smaller one of greater names
     graphs[6] = [(1, 2), (2, 3)]  # no cycle
@@ -87,13 +87,14 @@ def test_giant_components_of_many_graphs(spark):
         assert (got[g] in [set(c) for c in cyclic if len(c) == most]) if cyclic else not got[g]
 
 
-def test_rounds_do_not_grow_with_components_or_length(spark, monkeypatch):
-    """Forty equal cycles in a row fall in few rounds, each of few steps."""
-    calls, real = [], graph.components_of_roots
-    monkeypatch.setattr(graph, "components_of_roots", lambda *a: calls.append(1) or real(*a))
-    pairs = [(8 * c + k, 8 * c + (k + 1) % 8) for c in range(40) for k in range(8)]
+def test_steps_grow_slowly_with_length(spark, monkeypatch):
+    """Equal cycles all fall in one round, and labels leap along a long one."""
+    rounds, steps, real, cut = [], [], graph.components_of_roots, graph.cut
+    monkeypatch.setattr(graph, "components_of_roots", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(graph, "cut", lambda df: steps.append(1) or cut(df))
+    pairs = [(100 * c + k, 100 * c + (k + 1) % 100) for c in range(4) for k in range(100)]
     e = spark.createDataFrame([(0, a, b) for a, b in pairs], "g long, src long, dst long")
-    assert graph.giant_scc(e, ["g"]).count() == 8 and len(calls) == 1
+    assert graph.giant_scc(e, ["g"]).count() == 100 and len(rounds) == 1 and len(steps) < 60
 
 
 def test_a_sweep_equals_runs_of_one_group(spark):
