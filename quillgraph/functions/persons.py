@@ -191,8 +191,13 @@ def ordered_keyword(text: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-GENERIC = ("university", "college", "institute", "institution", "school", "academy", "hospital", "centre", "center", "polytechnic", "universidade", "universidad", "universite", "universitat")
-STOP = ("of", "the", "and", "for", "in", "at", "de", "la", "et", "und", "du", "di")
+# The words that mnemonics pass over, those that tell no institution from another, and those that affiliations are compared without.
+STOP = ("of", "the", "and", "for", "in", "at", "a", "de", "la", "du", "des")
+GENERIC = ("university", "institute", "college", "school", "hospital", "center", "centre", "academy", "polytechnic")
+AFFILIATION_STOP = (
+    "of", "the", "and", "for", "in", "at", "de", "du", "la", "le", "les", "l", "d", "a", "an", "et", "en", "del", "der", "van",
+    "university", "institute", "center", "centre", "national", "research", "science", "sciences", "technology",
+)
 
 
 def mnemonic(name: str) -> str:
@@ -266,7 +271,7 @@ def institution_tiers(asked: DataFrame, known: DataFrame, least: float = 0.7) ->
     hit = by_name.unionByName(by_short.select(by_name.columns)).withColumn("away", F.coalesce((F.col("cc") != F.col("country_code")).cast("int"), F.lit(0)))
     hit = hit.filter("NOT (t = 1 AND away = 1)")
     best = hit.groupBy("id").agg(F.min(F.struct("t", "o", "away", "institution_idx")).alias("b")).select("id", "b.institution_idx", F.element_at(F.array(F.lit("T1"), F.lit("T2"), F.lit("T2b")), F.col("b.t")).alias("tier"), F.lit(1.0).alias("score"))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP)))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(*AFFILIATION_STOP)))
     left = a.join(best, "id", "left_anti").select("id", "country_code", words(F.col("norm")).alias("wa"))
     right = k.select("institution_idx", F.col("country_code").alias("cc"), words(plain_name(F.col("display_name"))).alias("wb"))
     rows = right.select("institution_idx", "cc", "wb", F.explode("wb").alias("w"))
