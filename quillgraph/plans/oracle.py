@@ -193,7 +193,8 @@ SQL: dict[str, str] = {
     "rank_sources": sql(f"SELECT unit_idx, 'S' unit_type, round(pi, 9) pi, {_V} FROM pi", **_power(_BLOCKS["ss"], "us")),
     "rank_dense": sql(f"SELECT *, dense_rank() OVER (ORDER BY pi DESC)::INT rank_pi, dense_rank() OVER (ORDER BY v DESC NULLS LAST)::INT rank_v FROM (SELECT unit_idx, 'U' unit_type, round(pi, 9) pi, {_V} FROM pi)", **_power(_BLOCKS["ii"], "uu")),
     "rank_sentinel": sql(_SENTINEL_RANKED, **_SENTINEL),
-    "sweep_blocs": " UNION ALL ".join(f"SELECT '{run}' run, {g}::BIGINT group_idx, * FROM ({of_group(sql(_RANKED, **(_BI | more)), g)}) WHERE pi IS NOT NULL" for run, more in (("world", {}), ("bloc", _IN_BLOC)) for g in _GROUPS),
+    # a group without any cycle has no giant component, and no ranking: its one pivot keeps no score
+    "sweep_blocs": " UNION ALL ".join(f"SELECT '{run}' run, {g}::BIGINT group_idx, * FROM ({of_group(sql(_RANKED, **(_BI | more)), g)}) WHERE isfinite(pi)" for run, more in (("world", {}), ("bloc", _IN_BLOC)) for g in _GROUPS),
     "giant_scc": sql("SELECT node FROM scc", **_giant(_BLOCKS["ss"])),
     "work_v": sql("SELECT work_idx, field_idx, round(source_v, 9) source_v, round(mean_inst_v, 9) mean_inst_v, round(work_v, 9) work_v FROM wv"),
     "citer_counts": sql("SELECT field_idx, work_idx, n_intra, round(mean_citer_v, 9) mean_citer_v, n_citer_hi, n_citer_lo FROM cc"),
