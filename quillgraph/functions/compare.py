@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.functions import order
+from quillgraph.functions.order import rank_sums
 from quillgraph.functions.stats import average_rank, incomplete_beta
 
 # The least v of each rating from the best down, and what the ratings say.
@@ -56,8 +58,7 @@ def verdict() -> Column:
 
 def group_auc(df: DataFrame, key: str, label: str, score: str) -> DataFrame:
     """key, n_pos, n_neg, auc of a 0/1 label inside each group; null where a side has fewer than two."""
-    d = average_rank(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()), [key], score, "_r")
-    s = d.groupBy(key).agg(F.sum(label).cast("long").alias("n_pos"), F.sum(1 - F.col(label)).cast("long").alias("n_neg"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"))
+    s = rank_sums(df, [key], label, score)
     ok = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
     return s.select(key, "n_pos", "n_neg", F.when(ok, (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.when(ok, F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
@@ -100,13 +101,33 @@ def quantile_mapped(df: DataFrame, v: str, rating: str) -> DataFrame:
 
 
 def two_groups(df: DataFrame, flag: str, value: str) -> DataFrame:
-    """n, mean and variance of both groups of a 0/1 flag, Student's t of equal variances, and Mann-Whitney's U of the first (1)."""
-    d = average_rank(df.filter(F.col(flag).isNotNull() & F.col(value).isNotNull()).withColumn("_k", F.lit(0)), ["_k"], value, "_r")
+    """n, mean and variance of both groups of a 0/1 flag, Student's t of equal variances, and Mann-Whitney's U of the first (1)
+    with the sum of t^3 - t over its ties."""
+    d = df.filter(F.col(flag).isNotNull() & F.col(value).isNotNull())
     of = lambda k, c: F.when(F.col(flag) == k, F.col(c))
-    s = d.agg(*(f(of(k, value)).alias(f"{n}_{k}") for k in (1, 0) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))), F.sum(of(1, "_r")).alias("r"))
+    s = d.agg(*(f(of(k, value)).alias(f"{n}_{k}") for k in (1, 0) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
+    s = s.crossJoin(F.broadcast(rank_sums(d, [], flag, value).select("r", "ties")))
     pooled = ((F.col("n_1") - 1) * F.col("var_1") + (F.col("n_0") - 1) * F.col("var_0")) / (F.col("n_1") + F.col("n_0") - 2)
     t = (F.col("mean_1") - F.col("mean_0")) / F.sqrt(pooled * (1 / F.col("n_1") + 1 / F.col("n_0")))
-    return s.select("n_1", "n_0", "mean_1", "mean_0", t.alias("t"), (F.col("r") - F.col("n_1") * (F.col("n_1") + 1) / 2).alias("u"))
+    return s.select("n_1", "n_0", "mean_1", "mean_0", t.alias("t"), (F.col("r") - F.col("n_1") * (F.col("n_1") + 1) / 2).alias("u"), "ties")
+
+
+def significance(df: DataFrame, flag: str, value: str, bad: str) -> DataFrame:
+    """One row: p of Student's t and of Mann-Whitney's U for the value in both groups of a 0/1 flag, and of chi-squared and Fisher
+    for a 0/1 outcome. Spark reduces to moments, rank sums and four counts; the driver turns these into tails. A p that a sample
+    does not define (a group of fewer than two, an empty margin) is null."""
+    s, r = two_groups(df, flag, value).first(), risks(df, flag, bad).first()
+    table = [[r["n_10"], r["n_11"]], [r["n_00"], r["n_01"]]]
+    both = min(s["n_1"], s["n_0"]) >= 2
+    n = s["n_1"] + s["n_0"]
+    apart = both and s["ties"] < n**3 - n  # not all values equal
+    full = all(sum(x) for x in (*table, *zip(*table)))
+    row = (
+        t_test_p(s["t"], s["n_1"], s["n_0"]) if both and s["t"] is not None else None,
+        mann_whitney_p(s["u"], s["n_1"], s["n_0"], s["ties"]) if apart else None,
+        chi2_p(table) if full else None, fisher_p(table) if full else None,
+    )
+    return df.sparkSession.createDataFrame([row], "t_p double, u_p double, chi2_p double, fisher_p double")
 
 
 def normal_tail(z: float) -> float:
@@ -119,10 +140,10 @@ def t_test_p(t: float, n1: int, n0: int) -> float:
     return incomplete_beta(free / 2, 0.5, free / (free + t * t))
 
 
-def mann_whitney_p(u: float, n1: int, n0: int, ties: list[int]) -> float:
-    """Two-sided, by the normal approximation with corrections for ties (sizes of tied groups) and continuity."""
+def mann_whitney_p(u: float, n1: int, n0: int, ties: float) -> float:
+    """Two-sided, by the normal approximation with corrections for ties (the sum of t^3 - t over tied groups) and continuity."""
     n = n1 + n0
-    var = n1 * n0 / 12 * (n + 1 - sum(t**3 - t for t in ties) / (n * (n - 1)))
+    var = n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))
     return min(1.0, normal_tail((max(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / math.sqrt(var)))
 
 
@@ -221,9 +242,9 @@ def mean_over_areas(old: DataFrame, new: DataFrame) -> DataFrame:
     """Units with a mean v over areas in both snapshots (unit_idx, area, v), ranks of the means (averages of ties cut to whole
     numbers) and ranks gained."""
     m = lambda d, x: d.groupBy("unit_idx").agg(F.avg("v").alias(f"mean_{x}"))
-    j = m(old, "old").join(m(new, "new"), "unit_idx").dropna().withColumn("_k", F.lit(0))
+    j = m(old, "old").join(m(new, "new"), "unit_idx").dropna()
     for x in ("old", "new"):
-        j = average_rank(j.withColumn("_n", -F.round(f"mean_{x}", 9)), ["_k"], "_n", f"rank_{x}").withColumn(f"rank_{x}", F.floor(f"rank_{x}").cast("int"))
+        j = order.average_rank(j.withColumn("_n", -F.round(f"mean_{x}", 9)), [], "_n", f"rank_{x}").withColumn(f"rank_{x}", F.floor(f"rank_{x}").cast("int"))
     return j.select("unit_idx", "mean_old", "mean_new", (F.col("mean_new") - F.col("mean_old")).alias("delta_mean"), "rank_old", "rank_new", (F.col("rank_old") - F.col("rank_new")).alias("delta_rank"))
 
 

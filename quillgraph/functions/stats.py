@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.functions.order import rank_sums
+
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ascending ranks inside keys, ties sharing their mean."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    """Ascending ranks inside keys, ties sharing their mean. A group is one task's; order.average_rank splits it."""
+    by = W.partitionBy(*keys)
     ties = W.partitionBy(*keys, value)
     return df.withColumn(name, F.rank().over(by.orderBy(value)) + (F.count("*").over(ties) - 1) / 2.0)
 
@@ -27,8 +29,7 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """n_pos, n_neg, auc and somers_d of a 0/1 label, from the rank sum."""
-    d = average_rank(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()), [], score, "_r")
-    s = d.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n_neg"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"))
+    s = rank_sums(df, [], label, score)
     u = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("n_pos") * F.col("n_neg"))
     return s.select("n_pos", "n_neg", u.alias("auc"), (2 * u - 1).alias("somers_d"))
 

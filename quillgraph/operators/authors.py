@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.functions.order import percentiles
+
 
 def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, n: the most frequent value of each key; of equals the least."""
@@ -13,11 +15,6 @@ def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), value))).filter("_r = 1").drop("_r")
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """A surrogate key in a stated order. All rows pass one task: for reports."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
-
-
 def top_authors(membership: DataFrame, auth: DataFrame, n: int) -> DataFrame:
     """The n authors with most works of each (field, enclave)."""
     c = membership.join(auth.select("work_idx", "author_idx"), "work_idx").groupBy("field_idx", "enclave", "author_idx").agg(F.countDistinct("work_idx").alias("n_works"))
@@ -27,13 +24,8 @@ def top_authors(membership: DataFrame, auth: DataFrame, n: int) -> DataFrame:
 
 def calibrated(scores: DataFrame, target: int, value: str) -> DataFrame:
     """field_idx, threshold: at least 1, the linear quantile at which about target authors of a field lie above."""
-    by = W.partitionBy("field_idx")
-    s = scores.select("field_idx", F.col(value).cast("double").alias("x"))
-    s = s.withColumns({"n": F.count("*").over(by), "r": F.row_number().over(by.orderBy("x")) - 1})
-    h = (F.col("n") - 1) * F.greatest(F.lit(0.0), 1 - F.lit(float(target)) / F.col("n"))
-    s = s.withColumn("h", h)
-    s = s.groupBy("field_idx").agg(F.max("h").alias("h"), F.max(F.when(F.col("r") == F.floor("h"), F.col("x"))).alias("a"), F.max(F.when(F.col("r") == F.ceil("h"), F.col("x"))).alias("b"))
-    return s.select("field_idx", F.greatest(F.lit(1.0), F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("threshold"))
+    p = percentiles(scores, ["field_idx"], value, threshold=F.greatest(F.lit(0.0), 1 - F.lit(float(target)) / F.col("total")))
+    return p.withColumn("threshold", F.greatest(F.lit(1.0), "threshold"))
 
 
 def crossfield(papers: DataFrame, cites: DataFrame, target: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.functions.order import percentiles
 from quillgraph.operators.authors import modal
+from quillgraph.operators.works import share_of
 
 KEPT = ["work_idx", "publication_year", "cited_by_count", "authors_count", "institutions_distinct_count"]
 
@@ -25,14 +27,8 @@ def shared_by_field(works: DataFrame) -> DataFrame:
 
 
 def highly_cited(works: DataFrame, share: float, overrides: dict[int, float]) -> DataFrame:
-    """Works at or above the percentile of citations of their field and year; some fields have a percentile of their own. All
-    percentiles come of one aggregation."""
-    shares = sorted({share, *overrides.values()})
-    at = F.lit(shares.index(share) + 1)
-    for f, x in overrides.items():
-        at = F.when(F.col("field_idx") == f, F.lit(shares.index(x) + 1)).otherwise(at)
-    t = works.groupBy("field_idx", "publication_year").agg(F.percentile("cited_by_count", F.array(*map(F.lit, shares))).alias("p"))
-    t = t.select("field_idx", "publication_year", F.element_at("p", at).alias("threshold"))
+    """Works at or above the percentile of citations of their field and year; some fields have a percentile of their own."""
+    t = percentiles(works, ["field_idx", "publication_year"], "cited_by_count", threshold=share_of(share, overrides))
     return works.join(F.broadcast(t), ["field_idx", "publication_year"]).filter(F.col("cited_by_count") >= F.col("threshold")).select("work_idx", "publication_year", "cited_by_count", "field_idx", "field_share")
 
 
@@ -57,7 +53,7 @@ def authorships(hcw: DataFrame, auth: DataFrame) -> DataFrame:
 
 def thresholds(found: DataFrame, share: float = 0.9) -> DataFrame:
     """field_idx, thresh: the whole part of the percentile of n_hcw, 1 at least."""
-    return found.groupBy("field_idx").agg(F.greatest(F.lit(1), F.floor(F.percentile("n_hcw", F.lit(share)))).cast("long").alias("thresh"))
+    return percentiles(found, ["field_idx"], "n_hcw", p=F.lit(share)).select("field_idx", F.greatest(F.lit(1), F.floor("p")).cast("long").alias("thresh"))
 
 
 def prolific(found: DataFrame, share: float = 0.9) -> DataFrame:

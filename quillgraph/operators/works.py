@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.functions.order import percentiles
+
 
 def work_v(fw: DataFrame, rankings: DataFrame) -> DataFrame:
     """work_idx, field_idx, source_v, mean_inst_v and work_v of works whose source is ranked. rankings: field_idx, unit_idx,
@@ -28,18 +30,21 @@ def citer_counts(scored: DataFrame, refs: DataFrame) -> DataFrame:
 
 def hcw_flags(works: DataFrame, share: float = 0.99, n: str = "n_intra", year: str = "publication_year") -> DataFrame:
     """works (field_idx, work_idx, year, n) with threshold and is_hcw: at least the exact percentile of field and year."""
-    t = works.groupBy("field_idx", year).agg(F.percentile(n, F.lit(share)).alias("threshold"))
+    t = percentiles(works, ["field_idx", year], n, threshold=F.lit(share))
     return works.join(t, ["field_idx", year]).withColumn("is_hcw", F.col(n) >= F.col("threshold"))
 
 
-def override_thresholds(works: DataFrame, share: float, overrides: dict[int, float], n: str) -> DataFrame:
-    """field_idx, threshold with a percentile of its own for some fields: all percentiles come of one aggregation."""
-    shares = sorted({share, *overrides.values()})
-    t = works.groupBy("field_idx").agg(F.percentile(n, F.array(*map(F.lit, shares))).alias("p"))
-    at = F.lit(shares.index(share) + 1)
+def share_of(share: float, overrides: dict[int, float]) -> Column:
+    """The percentile of a field."""
+    at = F.lit(share)
     for f, s in overrides.items():
-        at = F.when(F.col("field_idx") == f, F.lit(shares.index(s) + 1)).otherwise(at)
-    return t.select("field_idx", F.element_at("p", at).alias("threshold"))
+        at = F.when(F.col("field_idx") == f, F.lit(s)).otherwise(at)
+    return at
+
+
+def override_thresholds(works: DataFrame, share: float, overrides: dict[int, float], n: str) -> DataFrame:
+    """field_idx, threshold with a percentile of its own for some fields."""
+    return percentiles(works, ["field_idx"], n, threshold=share_of(share, overrides))
 
 
 QUADRANTS = {"++": "n_pp", "+-": "n_pm", "-+": "n_mp", "--": "n_mm"}

@@ -495,7 +495,12 @@ def flagged_units(t: Tables) -> DataFrame:
 
 @query
 def group_tests(t):
-    return rounded(compare.two_groups(flagged_units(t), "seat", "v"), "mean_1", "mean_0", "t", "u")
+    return rounded(compare.two_groups(flagged_units(t), "seat", "v"), "mean_1", "mean_0", "t", "u").drop("ties")
+
+
+@query
+def significance_tests(t):
+    return rounded(compare.significance(flagged_units(t), "seat", "v", "low"), "t_p", "u_p", "chi2_p", "fisher_p")
 
 
 @query

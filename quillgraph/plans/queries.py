@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillgraph.functions import names, stats
+from quillgraph.functions import names, order, stats
 from quillgraph.model import Run, group_of
 from quillgraph.operators import authors, corpus, edges, graph, reports, spectral, text, works
 from quillgraph.sources.adapters import CORPUS, RUN, Tables
@@ -369,7 +369,7 @@ def author_counts_mode(t):
 @query
 def surrogate_key(t):
     c = t.authorships().groupBy("author_idx").agg(F.countDistinct("work_idx").alias("n_works"))
-    return authors.numbered(c, [F.desc("n_works"), "author_idx"], "key")
+    return order.numbered(c, [F.desc("n_works"), "author_idx"], "key")
 
 
 def _counts(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ def test_p_values():
     assert compare.t_test_p(2.0, 10, 12) == pytest.approx(0.0593, abs=2e-4)
     assert compare.fisher_p([[3, 1], [1, 3]]) == pytest.approx(34 / 70) and compare.fisher_p([[5, 0], [0, 5]]) == pytest.approx(2 / 252)
     assert compare.chi2_p([[10, 20], [30, 40]]) == pytest.approx(0.5040, abs=2e-3)
-    assert compare.mann_whitney_p(2, 5, 5, []) == pytest.approx(0.0367, abs=2e-3)
+    assert compare.mann_whitney_p(2, 5, 5, 0) == pytest.approx(0.0367, abs=2e-3)
 
 
 def test_tiers_codes_and_logs(spark):
