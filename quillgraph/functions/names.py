@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillgraph.sources.shared import small, stored
+
 #: Letters that decomposition does not fold to ASCII.
 FOLD = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"})
 
@@ -56,13 +59,46 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != ""))
 
 
-def token_jaccard(left: DataFrame, right: DataFrame, least: float, hot: int = 10_000) -> DataFrame:
-    """id_a, id_b, jaccard of texts (id, text) that share a token; candidates come from an exploded-token join."""
-    a = left.select(F.col("id").alias("id_a"), tokens(F.col("text")).alias("ta"))
-    b = right.select(F.col("id").alias("id_b"), tokens(F.col("text")).alias("tb"))
-    both = a.select("id_a", F.size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("id_b", F.size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
-    c = both.groupBy("id_a", "id_b").agg(F.count("*").alias("n"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return c.withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).filter(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard")
+def by_rarity(sides: list[DataFrame]) -> list[DataFrame]:
+    """Each side (id, set) with its set as an array in one order of all tokens: those that fewer sets hold first, then by name."""
+    rows = [d.select("id", F.explode("set").alias("t")) for d in sides]
+    n = reduce(DataFrame.union, [r.select("t") for r in rows]).groupBy("t").agg(F.count("*").alias("n"))
+    n = small(stored(n))
+    return [r.join(n, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("set")) for r in rows]
+
+
+def prefix(size: Column, needed: Column) -> Column:
+    """How many of a set's tokens must be looked up, if a partner shares at least `needed` of them. A hair is taken off, so that rounding
+    can only lengthen it."""
+    return (size - F.greatest(F.ceil(needed - 1e-9), F.lit(1)) + 1).cast("int")
+
+
+def token_jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """id_a, id_b, jaccard of texts (id, text; ids are unique on a side) that share a token and reach the least jaccard.
+
+    Tokens are ordered by rarity. Two sets of at least this jaccard share one of the first tokens of the longer, all but
+    least * size - 1, and of the shorter, all but 2 * least / (1 + least) * size - 1, so only these are joined: a token that many texts hold
+    stands last and is looked up where nothing rarer could decide. The first token in common yields a pair, once, if both
+    sizes and what is left behind the token allow it. Nothing is left out: see the bounds.
+    """
+    a, b = by_rarity([d.select("id", tokens(F.col("text")).alias("set")) for d in (left, right)])
+    size = F.size("set")
+
+    def side(d: DataFrame, x: str, roles: tuple[int, int]) -> DataFrame:
+        """A row a token of a prefix: `role` 0 pairs a short left with a long right set, 1 the reverse."""
+        lengths = {"short": prefix(size, size * (2 * least / (1 + least))), "long": prefix(size, size * least)}
+        ends = [F.struct(F.lit(r).alias("role"), F.slice("set", 1, lengths[k]).alias("head")) for k, r in zip(lengths, roles)]
+        d = d.select("id", "set", F.explode(F.array(*ends)).alias("e"))
+        d = d.select("id", "set", "e.role", "e.head", F.posexplode("e.head").alias("p", "t"))
+        return d.select("role", "t", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "set", "head", "p")), size.alias(f"n_{x}"))
+
+    j = side(a, "a", (0, 1)).join(side(b, "b", (1, 0)), ["role", "t"])
+    na, nb = F.col("n_a"), F.col("n_b")
+    sizes = F.when(F.col("role") == 0, na <= nb).otherwise(nb < na) & (F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9)
+    behind = F.least(na - F.col("p_a"), nb - F.col("p_b")) >= (na + nb) * (least / (1 + least)) - 1e-9
+    j = j.filter(sizes & behind).filter(F.array_intersect("head_a", "head_b")[0] == F.col("t"))
+    n = F.size(F.array_intersect("set_a", "set_b"))
+    return j.select("id_a", "id_b", (n / (na + nb - n)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def waterfall(people: DataFrame, candidates: DataFrame, stages: list[tuple[str, ...]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quillgraph.functions.names import list_digest
+from quillgraph.functions.names import by_rarity, list_digest, prefix
 from quillgraph.operators.graph import connected_components
 
 # Titles before a name, letters after it, and particles that belong to a last name.
@@ -274,10 +274,15 @@ def institution_tiers(asked: DataFrame, known: DataFrame, least: float = 0.7) ->
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(*AFFILIATION_STOP)))
     left = a.join(best, "id", "left_anti").select("id", "country_code", words(F.col("norm")).alias("wa"))
     right = k.select("institution_idx", F.col("country_code").alias("cc"), words(plain_name(F.col("display_name"))).alias("wb"))
-    rows = right.select("institution_idx", "cc", "wb", F.explode("wb").alias("w"))
-    j = left.select("id", "country_code", "wa", F.explode("wa").alias("w")).join(rows, "w").filter(F.col("country_code").isNull() | (F.col("cc") == F.col("country_code")))
-    both = j.groupBy("id", "institution_idx").agg(F.count("*").alias("n"), F.first(F.size("wa")).alias("na"), F.first(F.size("wb")).alias("nb"))
-    score = F.greatest(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), F.col("n") / F.col("na"))
-    fuzzy = both.withColumn("score", score).filter(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "institution_idx")).alias("b"))
+    # the share of the asked words is never the lesser of both; a hit holds one of their rarest, all but least * size - 1
+    asked_words, known_words = by_rarity([left.select("id", F.col("wa").alias("set")), right.select(F.col("institution_idx").alias("id"), F.col("wb").alias("set"))])
+    wa = F.size("wa")
+    looked = asked_words.withColumnRenamed("set", "wa").join(left.select("id", "country_code"), "id").withColumn("head", F.slice("wa", 1, prefix(wa, wa * least)))
+    rows = known_words.select(F.col("id").alias("institution_idx"), F.col("set").alias("wb")).join(right.select("institution_idx", "cc"), "institution_idx")
+    rows = rows.select("institution_idx", "cc", "wb", F.explode("wb").alias("w"))
+    j = looked.select("id", "country_code", "wa", "head", F.explode("head").alias("w")).join(rows, "w").filter(F.col("country_code").isNull() | (F.col("cc") == F.col("country_code")))
+    j = j.filter(F.array_intersect("head", "wb")[0] == F.col("w"))
+    both = j.select("id", "institution_idx", (F.size(F.array_intersect("wa", "wb")) / wa).alias("score"))
+    fuzzy = both.filter(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "institution_idx")).alias("b"))
     fuzzy = fuzzy.select("id", "b.institution_idx", F.lit("T3").alias("tier"), (-F.col("b.s")).alias("score"))
     return asked.select("id").join(best.unionByName(fuzzy), "id", "left")
