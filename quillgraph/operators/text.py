@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillgraph.sources.shared import stored
+
 
 def term_rows(docs: DataFrame, stop: set[str], bigrams: bool = True) -> DataFrame:
     """group, doc, term, tf. Words of two or more word characters, lower case, stop words out before pairs are formed."""
@@ -41,28 +43,98 @@ def lift(docs: DataFrame, top: int, least: int = 10, **options) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("group", "term", "mean_enc", "mean_non", "lift", "score", "rank")
 
 
-def nmf(weights: DataFrame, steps: int = 100, seed: int = 0) -> DataFrame:
-    """group, doc, topic, label: topics of each group's documents (10 at most, one for 20 documents), by size. A group, whose
-    documents are highly cited works of one field, must fit a task; topics are seeded, not canonical."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, d = np.unique(pdf["doc"], return_inverse=True)
-        terms, t = np.unique(pdf["term"], return_inverse=True)
-        if len(docs) < 30:
-            return pd.DataFrame({"group": [], "doc": [], "topic": [], "label": []})
-        k, rng = min(10, max(2, len(docs) // 20)), np.random.default_rng(seed)
-        v = pdf["w"].to_numpy()
-        a, b = rng.random((len(docs), k)), rng.random((k, len(terms)))
-        for _ in range(steps):  # multiplicative updates on the non-zeros alone
-            va, vb = np.zeros_like(a), np.zeros_like(b)
-            np.add.at(va, d, v[:, None] * b.T[t])
-            a *= va / (a @ (b @ b.T) + 1e-12)
-            np.add.at(vb.T, t, v[:, None] * a[d])
-            b *= vb / ((a.T @ a) @ b + 1e-12)
-        topic = a.argmax(1)
-        order = np.argsort(-np.bincount(topic, minlength=k), kind="stable")
-        place = np.argsort(order)
-        label = [", ".join(terms[np.argsort(-b[j], kind="stable")[:5]]) for j in range(k)]
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "doc": docs, "topic": place[topic], "label": [label[j] for j in topic]})
-
-    return weights.groupBy("group").applyInPandas(solve, "group long, doc long, topic long, label string")
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def _start(*parts: str, k: Column) -> Column:
+    """k numbers in (0, 1] that hang on the row's key alone."""
+    return F.transform(F.sequence(F.lit(1), k), lambda i: (F.pmod(F.xxhash64(*parts, i), F.lit(1 << 20)) + 1) / float(1 << 20))
+
+
+def _gram(factor: DataFrame, x: str) -> DataFrame:
+    """group, g: the k x k products of a factor's columns, summed over its rows, as rows of a matrix."""
+    pairs = F.posexplode(F.flatten(F.transform(x, lambda p: F.transform(x, lambda q: p * q))))
+    d = factor.select("group", F.size(x).alias("k"), pairs.alias("at", "v")).groupBy("group", "k", "at").agg(F.sum("v").alias("v"))
+    flat = d.groupBy("group", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("f"))
+    return flat.select("group", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.slice("f", i * F.col("k") + 1, F.col("k"))).alias("g"))
+
+
+def _products(weights: DataFrame, factor: DataFrame, on: str, by: str, x: str, most: int) -> DataFrame:
+    """group, by, p: each row of weights times the other factor. Sums combine before the shuffle."""
+    j = weights.join(factor, ["group", on]).select("group", by, *((F.col("w") * F.get(x, F.lit(i))).alias(f"_{i}") for i in range(most)))
+    d = j.groupBy("group", by).agg(*(F.sum(f"_{i}").alias(f"_{i}") for i in range(most)))
+    return d.select("group", by, F.filter(F.array(*(f"_{i}" for i in range(most))), lambda v: v.isNotNull()).alias("p"))
+
+
+def _descent(x: str, passes: int) -> Column:
+    """The factor's row after some passes over its columns, each set to its best non-negative value, given products p and gram g."""
+
+    def set_one(row: Column, j: Column) -> Column:
+        at = lambda c: F.get(c, j)
+        own = at(at(F.col("g")))
+        best = F.greatest(F.lit(0.0), at(row) + (at(F.col("p")) - _dot(row, at(F.col("g")))) / F.when(own > 0, own))
+        return F.transform(row, lambda v, i: F.when((i == j) & (own > 0), best).otherwise(v))
+
+    return F.aggregate(F.flatten(F.array_repeat(F.sequence(F.lit(0), F.size(x) - 1), passes)), F.col(x), set_one)
+
+
+@dataclass(frozen=True)
+class Topics:
+    """least: documents of a group, below which it has no topics; a topic per `each` documents, 2 to `most`; sweeps end when no
+    group's squared error falls by more than tol of it, or after `sweeps`."""
+
+    least: int = 30
+    each: int = 20
+    most: int = 10
+    sweeps: int = 12
+    tol: float = 1e-3
+    passes: int = 3  # of a row over its columns in a half sweep: these need no join
+    together: int = 2  # sweeps between two looks at the error
+
+
+def factors(weights: DataFrame, c: Topics = Topics()) -> tuple[DataFrame, DataFrame]:
+    """The non-negative factors of each group's document-term weights: (group, doc, a) and (group, term, b).
+
+    Rows of either factor are updated in turn by coordinate descent from the rows of weights times the other factor, one join and
+    one sum, and from that factor's k x k gram matrix, the only thing that all rows of a group share. A group may be of any size.
+    """
+    docs = weights.select("group", "doc").distinct().groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= c.least)
+    k = F.least(F.lit(c.most), F.greatest(F.lit(2), F.floor(F.col("n") / c.each))).cast("int")
+    docs = stored(docs.select("group", k.alias("k")))
+    w = stored(weights.join(F.broadcast(docs), "group").select("group", "doc", "term", F.col("w").cast("double").alias("w"), "k"))
+    a = stored(w.select("group", "doc", "k").distinct().select("group", "doc", _start("group", "doc", k=F.col("k")).alias("a")))
+    b = stored(w.select("group", "term", "k").distinct().select("group", "term", _start("group", "term", k=F.col("k")).alias("b")))
+    few = [d.count() <= 200_000 for d in (a, b)]
+    hint = lambda d, i: F.broadcast(d) if few[i] else d
+    whole = {r["group"]: r["s"] for r in w.groupBy("group").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()}
+    before: dict = {}
+    for done in range(0, c.sweeps, c.together):
+        for _ in range(min(c.together, c.sweeps - done)):
+            p = _products(w, hint(b, 1), "term", "doc", "b", c.most).join(F.broadcast(_gram(b, "b")), "group")
+            a = stored(p.join(a, ["group", "doc"]).select("group", "doc", _descent("a", c.passes).alias("a")))
+            p = _products(w, hint(a, 0), "doc", "term", "a", c.most).join(F.broadcast(_gram(a, "a")), "group")
+            full = stored(p.join(b, ["group", "term"]).select("group", "term", "p", "g", _descent("b", c.passes).alias("b")))
+            b = full.select("group", "term", "b")
+        # |W - AB|^2 from the products of the last half step, one number a group
+        turned = F.transform("g", lambda r: _dot(F.col("b"), r))
+        fit = full.select("group", (_dot(F.col("b"), turned) - 2 * _dot(F.col("b"), F.col("p"))).alias("e"))
+        error = {r["group"]: whole[r["group"]] + r["e"] for r in fit.groupBy("group").agg(F.sum("e").alias("e")).collect()}
+        if before and all(before[g] - e <= c.tol * whole[g] for g, e in error.items()):
+            break
+        before = error
+    return a, b
+
+
+def nmf(weights: DataFrame, c: Topics = Topics()) -> DataFrame:
+    """group, doc, topic, label: topics of each group's documents by size, from 0, each document in its heaviest; a label is a topic's five
+    heaviest terms. The start hangs on hashes of keys, so that runs agree; topics are not canonical. Ties: the lesser topic or term."""
+    a, b = factors(weights, c)
+    best = F.array_position("a", F.array_max("a")).cast("int") - 1
+    d = stored(a.select("group", "doc", best.alias("t")))
+    size = d.groupBy("group", "t").agg(F.count("*").alias("n"))
+    place = size.withColumn("topic", F.row_number().over(W.partitionBy("group").orderBy(F.desc("n"), "t")) - 1)
+    heavy = b.select("group", "term", F.posexplode("b").alias("t", "x")).withColumn("r", F.row_number().over(W.partitionBy("group", "t").orderBy(F.desc("x"), "term"))).filter("r <= 5")
+    label = heavy.groupBy("group", "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda e: e["term"]), ", ").alias("label"))
+    named = place.join(label, ["group", "t"]).select("group", "t", "topic", "label")
+    return d.join(F.broadcast(named), ["group", "t"]).select("group", "doc", "topic", "label")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph import runs
 from quillgraph.functions import compare
 from quillgraph.model import Run
-from quillgraph.operators import edges, enclaves, ranking, spectral, text
+from quillgraph.operators import edges, enclaves, ranking, spectral
 from quillgraph.sources import files
 from quillgraph.sources.shared import stored
 
@@ -106,9 +106,6 @@ def test_topics(spark):
     got = sorted(map(tuple, enclaves.topic_names(t, 20, [[3, 1]], {1: "one"}).select("field_idx", "topic_idx", "topic_name").collect()))
     assert got == [(11, 1, ""), (20, 1, "one"), (20, 1, "one")]
     assert "  1: n=1  x, y" in enclaves.topic_prompt(t, 20, "Economics")
-    r = spark.createDataFrame([(7, d, f"t{d % 2}{k}", 0.5) for d in range(40) for k in range(4)], "group long, doc long, term string, w double")
-    n = text.nmf(r).collect()
-    assert len(n) == 40 and len({(r["doc"] % 2, r["topic"]) for r in n}) == 2  # two kinds of documents, two topics
 
 
 def test_group_end_to_end(spark):
