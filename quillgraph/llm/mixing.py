@@ -124,6 +124,8 @@ def planned(small: DataFrame, whole: bool, c: Curriculum = PRODUCTION) -> tuple[
     left = F.greatest(F.least(F.col("goal") - F.col("passes") * F.col("source_size") - F.col("offset"), F.col("size")), F.lit(0).cast("long"))
     if whole:  # the one document of each source at the end of its stream is taken if half of it fits
         left = F.when((left > 0) & (2 * left >= F.col("size")), F.col("size")).otherwise(F.lit(0).cast("long"))
+        same = W.partitionBy("source_", "bucket", "key")
+        d = d.withColumns({"nth": F.row_number().over(same.orderBy("size")), "same": F.count("*").over(same)})
     return d.withColumn("last", left).withColumn("taken", F.col("passes") * F.col("size") + F.col("last")), sums, digits
 
 
@@ -144,20 +146,39 @@ def mix(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
     return d.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def numbered(d: DataFrame) -> DataFrame:
+    """d with nth, numbers from 1 inside a source: rows are written with the task that wrote them, and numbered inside each task's rows
+    after all earlier tasks' ones, so that copies of one text, however many, stay spread."""
+    d = written(d.withColumn("part", F.spark_partition_id()), "copies")
+    n = d.groupBy(F.col("source_").alias("of"), F.col("part").alias("of_part")).agg(F.count("*").alias("n"))
+    n = written(n.select("of", "of_part", (F.sum("n").over(W.partitionBy("of").orderBy("of_part")) - F.col("n")).alias("earlier")), "copies")
+    d = d.join(broadcast_if_small(n, n.count()), d["source_"].eqNullSafe(n["of"]) & (d["part"] == n["of_part"]))
+    place = F.row_number().over(W.partitionBy("source_", "part").orderBy("key"))
+    return d.withColumn("nth", F.col("earlier") + place).drop("of", "of_part", "earlier", "part")
+
+
 def mix_documents(docs: DataFrame, c: Curriculum = PRODUCTION) -> DataFrame:
     """The mix itself: rows of docs, whole, once for each time they are taken, range-sorted by training time.
 
     Whole rows pass one shuffle, that of the sort. What they need for it is known before: their key, the sums of its bucket, and
     the last key that the source's last pass takes. Inside a bucket the offset is read off the key, as hashes are even; a
-    source's documents keep the order of `mix`. Rows equal in id and text are taken together.
+    source's documents keep the order of `mix`. Of rows equal in id and text the last pass takes as many as the target asks for;
+    which of them is not fixed, should they differ in other columns.
     """
     plan, sums, digits = planned(sized(docs), True, c)
-    ends = plan.filter("last > 0").groupBy("source__").agg(F.max("key").alias("end_key")).withColumnRenamed("source__", "source___")
+    # the last key of the last pass, the rows of it that are taken, and all that have it
+    ends = plan.filter("last > 0").groupBy("source__").agg(F.max(F.struct("key", "nth", "same")).alias("e"))
+    ends = written(ends.select(F.col("source__").alias("source___"), F.col("e.key").alias("end_key"), F.col("e.nth").alias("copies"), (F.col("e.same") > F.col("e.nth")).alias("parted")), "ends")
     sums = written(sums.join(ends, sums["source__"].eqNullSafe(ends["source___"]), "left").drop("source___"), "buckets")
     # a document of no words is in no pass
     d = docs.select(F.struct(*docs.columns).alias("doc")).filter(F.coalesce(F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     d = located(d.select("doc", F.col("doc.source").alias("source_"), key_of(F.col("doc.doc_id"), F.col("doc.text")).alias("key")), sums, digits)
-    times = F.col("passes") + F.when(F.col("key") <= F.col("end_key"), 1).otherwise(0)
+    if not ends.filter("parted").isEmpty():
+        parted = F.col("parted") & (F.col("key") == F.col("end_key"))
+        d = d.filter(~F.coalesce(parted, F.lit(False))).unionByName(numbered(d.filter(parted)), allowMissingColumns=True)
+        times = F.col("passes") + F.when((F.col("key") < F.col("end_key")) | ((F.col("key") == F.col("end_key")) & (F.coalesce("nth", F.lit(0)) <= F.col("copies"))), 1).otherwise(0)
+    else:
+        times = F.col("passes") + F.when(F.col("key") <= F.col("end_key"), 1).otherwise(0)
     inside = F.conv(F.substring("key", digits + 1, 8), 16, 10).cast("double") / float(16**8)
     d = d.withColumn("times", times).filter("times > 0").withColumn("offset", F.col("before") + inside * F.col("bucket_size"))
     d = d.withColumn("pass", F.explode(F.expr("sequence(0L, times - 1)")))

@@ -93,3 +93,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         rows += [(i, len(ids), sha(ids.tobytes()), sha(by_id[i][1].encode()))] * k
     assert same(stages["byte_bpe"](spark, mix, str(tmp_path))) == sorted(rows)
     assert same(pipeline.run(spark, str(tmp_path))) == sorted(rows)
+
+
+@pytest.mark.parametrize("source", ["b", None])
+def test_mix_takes_as_many_copies_as_the_target_asks(spark, source):
+    """A thousand rows of one id and text, far above the target of their source, beside ten long documents."""
+    rows = [(5, "ten words " * 5, "en", source, k) for k in range(1000)] + [(k, "long " * 1000, "en", "a", 0) for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = Counter((r["doc_id"], r["n_chars"]) for r in dict(pipeline.STAGES)["source_mix"](spark, docs, "").collect())
+    copies = {k: n for k, n in got.items() if k[0] == 5}
+    assert sum(copies.values()) == 571 and set(copies.values()) == {1}  # two sevenths of 20,000 words are 5,714
+    assert sum(n for k, n in got.items() if k[0] != 5) == 14 and max(got.values()) == 2
+
+
+def test_mix_repeats_copies(spark):
+    """Three copies of ten words and a target of twice their words and a half: each twice, and one or two of them once more."""
+    rows = [(5, "ten words " * 5, "en", "a", k) for k in range(3)] + [(6, "w " * 75, "en", "b", 0)]
+    got = Counter(r["doc_id"] for r in dict(pipeline.STAGES)["source_mix"](spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got[5] == 8  # five sevenths of 105 words are 75: two passes and 15 words, of which the second ten are half in
