@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-import glob
 import json
-import os
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -14,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from quillgraph.model import MASKS, Run
+from quillgraph.operators import corpus
+from quillgraph.sources.folders import LOCAL, Folders, Shared, expanded
 
 CIA, CIAA = frozenset({"CN", "IN", "US"}), frozenset({"AU", "CN", "IN", "US"})
 
@@ -70,95 +70,96 @@ def world(fw: DataFrame) -> frozenset[str]:
 # what was built from what
 
 
-def _state(path: str) -> dict:
-    """Time and size of a file, or the latest time and whole size of a folder's files."""
-    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names] if os.path.isdir(path) else [path]
-    stats = [os.stat(f) for f in files]
-    return {"path": path, "mtime": max((s.st_mtime for s in stats), default=0.0), "size": sum(s.st_size for s in stats)}
-
-
-def _expanded(paths: Iterable[str]) -> list[str]:
-    return [x for p in paths for x in (sorted(glob.glob(str(p))) if any(c in str(p) for c in "*?[") else [str(p)])]
+def manifest_of(output: str) -> Path:
+    return Path(_note(output))
 
 
-def manifest_of(output: str) -> Path:
-    return Path(f"{str(output).rstrip('/')}.built.json")
+def _note(output: str) -> str:
+    return f"{str(output).rstrip('/')}.built.json"
 
 
-def record(output: str, inputs: Iterable[str], scripts: Iterable[str] = (), seconds: float | None = None, **more) -> None:
+def record(output: str, inputs: Iterable[str], scripts: Iterable[str] = (), seconds: float | None = None, folders: Folders = LOCAL, **more) -> None:
     """Notes beside an output which inputs and scripts, in which state, it was built from."""
-    found = {"output": str(output), "built_at": time.time(), "seconds": seconds, "inputs": [_state(p) for p in _expanded(inputs) if os.path.exists(p)], "scripts": [_state(p) for p in scripts if os.path.exists(p)]}
-    manifest_of(output).write_text(json.dumps(found | more, indent=2))
+    of = lambda paths: [folders.state(p) for p in paths if folders.exists(p)]
+    found = {"output": str(output), "built_at": time.time(), "seconds": seconds, "inputs": of(expanded(folders, inputs)), "scripts": of(map(str, scripts))}
+    folders.write(_note(output), json.dumps(found | more, indent=2))
 
 
-def stale(output: str, inputs: Iterable[str], scripts: Iterable[str] = ()) -> list[str]:
+def stale(output: str, inputs: Iterable[str], scripts: Iterable[str] = (), folders: Folders = LOCAL) -> list[str]:
     """Why an output must be built again; empty if it stands. Without a record, times alone decide."""
-    if not os.path.exists(output):
+    output = str(output)
+    if not folders.exists(output):
         return ["output does not exist"]
-    inputs, scripts, note = _expanded(inputs), [str(s) for s in scripts], manifest_of(output)
-    if not note.exists():
-        made = _state(str(output))["mtime"]
-        return [f"no record, and {p} is newer" for p in [*inputs, *scripts] if os.path.exists(p) and _state(p)["mtime"] > made]
-    known = json.loads(note.read_text())
+    inputs, scripts, note = expanded(folders, inputs), [str(s) for s in scripts], _note(output)
+    if not folders.exists(note):
+        made = folders.state(output)["mtime"]
+        return [f"no record, and {p} is newer" for p in [*inputs, *scripts] if folders.exists(p) and folders.state(p)["mtime"] > made]
+    known = json.loads(folders.read(note))
     out = []
     for kind, paths in (("inputs", inputs), ("scripts", scripts)):
         old = {r["path"]: r for r in known.get(kind, [])}
         for p in paths:
-            if not os.path.exists(p):
+            if not folders.exists(p):
                 out.append(f"{p} is missing") if kind == "inputs" else None
             elif p not in old:
                 out.append(f"{p} is not in the record")
-            elif (now := _state(p))["mtime"] > old[p]["mtime"] + 1e-6 or now["size"] != old[p]["size"]:
+            elif (now := folders.state(p))["mtime"] > old[p]["mtime"] + 1e-6 or any(now[k] != old[p].get(k) for k in now if k not in ("path", "mtime")):
                 out.append(f"{p} changed since")
     return out
 
 
-def ensure(output: str, inputs: Iterable[str], build: Callable[[], None], scripts: Iterable[str] = (), allow: Callable[[str, float | None], bool] | None = None) -> bool:
+def ensure(output: str, inputs: Iterable[str], build: Callable[[], None], scripts: Iterable[str] = (), allow: Callable[[str, float | None], bool] | None = None, folders: Folders = LOCAL) -> bool:
     """Builds an output that is stale, and records it; whether it did. allow (of the output and the seconds it took last) may
     decline to rebuild one that exists."""
-    if not stale(output, inputs, scripts):
+    if not stale(output, inputs, scripts, folders):
         return False
-    if os.path.exists(output) and allow is not None:
-        note = manifest_of(output)
-        if not allow(str(output), json.loads(note.read_text()).get("seconds") if note.exists() else None):
+    if folders.exists(str(output)) and allow is not None:
+        note = _note(output)
+        if not allow(str(output), json.loads(folders.read(note)).get("seconds") if folders.exists(note) else None):
             return False
     began = time.time()
     build()
-    record(output, inputs, scripts, time.time() - began)
+    record(output, inputs, scripts, time.time() - began, folders)
     return True
 
 
-def status(folder: str, patterns: Iterable[str]) -> dict[str, list]:
+def status(folder: str, patterns: Iterable[str], folders: Folders = LOCAL) -> dict[str, list]:
     """fresh and stale outputs (with reasons) of all records under a folder, and unmanaged files of the patterns; links, which
     stand for other outputs, are left out."""
     out: dict[str, list] = {"fresh": [], "stale": [], "unmanaged": []}
     managed = set()
-    for note in sorted(Path(folder).rglob("*.built.json")):
-        m = json.loads(note.read_text())
-        managed.add(os.path.abspath(m["output"]))
-        why = stale(m["output"], [i["path"] for i in m["inputs"]], [s["path"] for s in m["scripts"]])
+    for note in folders.below(folder, ".built.json"):
+        m = json.loads(folders.read(note))
+        managed.add(folders.same(m["output"]))
+        why = stale(m["output"], [i["path"] for i in m["inputs"]], [s["path"] for s in m["scripts"]], folders)
         out["stale" if why else "fresh"].append((m["output"], why) if why else m["output"])
     for p in patterns:
-        out["unmanaged"] += [x for x in sorted(glob.glob(os.path.join(folder, p))) if os.path.abspath(x) not in managed and not os.path.islink(x) and not x.endswith(".built.json")]
+        out["unmanaged"] += [x for x in folders.named(f"{folder.rstrip('/')}/{p}") if folders.same(x) not in managed and not folders.link(x) and not x.endswith(".built.json")]
     return out
 
 
-def drop(output: str) -> None:
+def drop(output: str, folders: Folders = LOCAL) -> None:
     """Removes an output and its record."""
-    import shutil
+    folders.drop(str(output))
+    folders.drop(_note(output))
 
-    shutil.rmtree(output) if os.path.isdir(output) else Path(output).unlink(missing_ok=True)
-    manifest_of(output).unlink(missing_ok=True)
 
-
-def collect_garbage(folder: str) -> list[str]:
+def collect_garbage(folder: str, folders: Folders = LOCAL) -> list[str]:
     """Drops outputs whose inputs are gone or changed; which they were."""
-    gone = [o for o, _ in status(folder, [])["stale"]]
+    gone = [o for o, _ in status(folder, [], folders)["stale"]]
     for o in gone:
-        drop(o)
+        drop(o, folders)
     return gone
 
 
+def ensure_candidates(fw_path: str, folder: str, group_col: str, window: tuple[int, int], folders: Shared) -> tuple[str, str]:
+    """Paths of the candidate tables of a window, sources' and institutions', built from the flat works where either is stale."""
+    named = [f"{folder.rstrip('/')}/{side}_{group_col}_{window[0]}_{window[1]}" for side in ("s", "u")]
+    for k, path in enumerate(named):
+        ensure(path, [fw_path], lambda k=k, path=path: corpus.candidacy(folders.spark.read.parquet(fw_path), group_col, window)[k].write.mode("overwrite").parquet(path), folders=folders)
+    return named[0], named[1]
+
+
 def each(names: Iterable[str], done: Callable[[str], bool], work: Callable[[str], None]) -> dict[str, str]:
     """Works through units that are not done yet, going on after one that fails. What became of each: skipped, done, or the error."""
     out = {}
