@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,19 +46,6 @@ def group_works(fw: DataFrame, run: Run, s: DataFrame, u: DataFrame, keys: Keys
     return f.groupBy(*keys, "work_idx", "source_idx", "institution_idx").agg(F.max("inst_weight").alias("inst_weight"), F.max("direct_inst_weight").alias("direct_inst_weight"), F.sum("field_weight").alias("field_weight"))
 
 
-def work_weights(fi: DataFrame, keys: Keys = ()) -> DataFrame:
-    """One row a work: sums over institutions' rows may differ in the last bit, so one is taken."""
-    return fi.groupBy(*keys, "work_idx").agg(F.max("field_weight").alias("field_weight"))
-
-
-def work_pairs(works: DataFrame, refs: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Citing and cited works of the group, before any expansion to institutions."""
-    a = works.select(*keys, F.col("work_idx").alias("citer_work_idx"), F.col("field_weight").alias("citer_fw"))
-    b = works.select(*keys, F.col("work_idx").alias("cited_work_idx"), F.col("field_weight").alias("cited_fw"))
-    p = refs.toDF("citer_work_idx", "cited_work_idx").join(a, "citer_work_idx").join(b, [*keys, "cited_work_idx"])
-    return p.withColumn("edge_field_weight", (F.col("citer_fw") + F.col("cited_fw")) / 2)
-
-
 def reference_sums(pairs: DataFrame, keys: Keys = ()) -> DataFrame:
     return pairs.groupBy(*keys, "citer_work_idx").agg(F.sum("edge_field_weight").alias("R_i"))
 
@@ -77,15 +64,68 @@ def _sentinel(names: dict[str, str], number: int) -> list:
     return [F.lit(number).cast("long").alias(source), F.lit(number).cast("long").alias(inst), F.lit(1.0).alias(w), F.lit(1.0).alias(dw)]
 
 
-def edge_list(fw: DataFrame, refs: DataFrame, run: Run, s: DataFrame, u: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Edges citer institution by cited institution. Only work pairs and sums by work come before the expansion."""
-    fi = group_works(fw, run, s, u, keys)
-    works = work_weights(fi, keys)
-    pairs = work_pairs(works, refs, keys)
+#: A work is hot if more than one in SHARES of all references name it, and more than FEWEST: at most SHARES works are.
+SHARES, FEWEST = 1000, 100_000
+
+
+def hot_works(refs: DataFrame, column: str, shares: int = SHARES, fewest: int = FEWEST) -> list[int]:
+    """Works that a column of the references names so often that they would be most of a task: at most shares of them."""
+    total = refs.count()
+    if total <= fewest:
+        return []
+    n = refs.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(max(total // shares, fewest)))
+    return [r[0] for r in n.select(column).collect()]
+
+
+def with_works(refs: DataFrame, works: DataFrame, column: str, hot: Sequence[int], keys: Keys = ()) -> DataFrame:
+    """Inner join of rows with one row a work, under the work's name on both sides. Rows of hot works stay where they are, and these works,
+    whose number is bounded, go to all tasks; the rest meets by work."""
+    on = [c for c in keys if c in refs.columns] + [column]
+    if not hot:
+        return refs.join(works, on)
+    is_hot = F.col(column).isin(list(hot))
+    return refs.filter(~is_hot).join(works.filter(~is_hot), on).unionByName(refs.filter(is_hot).join(F.broadcast(works.filter(is_hot)), on))
+
+
+def work_ends(fi: DataFrame, keys: Keys = ()) -> DataFrame:
+    """One row a work: field_weight and ends, its sources and institutions with their weights. A work has few, so rows stay small, and what
+    meets the references is as long as the works, not as their institutions."""
+    end = F.struct("source_idx", "institution_idx", "inst_weight", "direct_inst_weight")
+    return fi.groupBy(*keys, "work_idx").agg(F.max("field_weight").alias("field_weight"), F.sort_array(F.collect_list(end)).alias("ends"))
+
+
+def _expanded(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """df with its ends as columns of one side."""
+    rest = [c for c in df.columns if c != column]
+    d = df.select(*rest, F.explode(column).alias("_e"))
+    return d.select(*rest, *(F.col(f"_e.{k}").alias(v) for k, v in names.items() if k != "work_idx"))
+
+
+def work_pairs(works: DataFrame, refs: DataFrame, keys: Keys = (), hot: tuple[Sequence[int], Sequence[int]] = ((), ())) -> DataFrame:
+    """Citing and cited works of the group, before any expansion to institutions. works: work_idx, field_weight, a row each."""
+    side = lambda name: works.select(*keys, F.col("work_idx").alias(f"{name}_work_idx"), F.col("field_weight").alias(f"{name}_fw"))
+    r = refs.toDF("citer_work_idx", "cited_work_idx")
+    p = with_works(with_works(r, side("citer"), "citer_work_idx", hot[0]), side("cited"), "cited_work_idx", hot[1], keys)
+    return p.withColumn("edge_field_weight", (F.col("citer_fw") + F.col("cited_fw")) / 2)
+
+
+def edge_list(fw: DataFrame, refs: DataFrame, run: Run, s: DataFrame, u: DataFrame, keys: Keys = (), keep: Callable[[DataFrame], DataFrame] | None = None, hot: tuple[Sequence[int], Sequence[int]] | None = None) -> DataFrame:
+    """Edges citer institution by cited institution. Only work pairs and sums by work come before the expansion, which happens inside
+    tasks after the last shuffle. keep stores what is used several times. hot: citing and cited works that are most of a task (else looked for)."""
+    keep = keep or (lambda d: d)
+    r = refs.toDF("citer_work_idx", "cited_work_idx")
+    citing, cited = hot or (hot_works(r, "citer_work_idx"), hot_works(r, "cited_work_idx"))
+    ends = keep(work_ends(group_works(fw, run, s, u, keys), keys))
+    pairs = keep(work_pairs(ends, r, keys, (citing, cited)).select(*keys, "citer_work_idx", "cited_work_idx", "edge_field_weight"))
     sums = reference_sums(pairs, keys)
-    slim = pairs.select(*keys, "citer_work_idx", "cited_work_idx", "edge_field_weight").join(sums, [*keys, "citer_work_idx"])
-    el = slim.join(_side(fi, CITER, keys), [*keys, "citer_work_idx"]).join(_side(fi, CITED, keys), [*keys, "cited_work_idx"]).select(*keys, *COLUMNS)
-    return el.unionByName(sentinel_edges(fi, works, refs, sums, run.sentinel, keys)) if run.epsilon else el
+    citers = ends.select(*keys, F.col("work_idx").alias("citer_work_idx"), F.col("ends").alias("from")).join(sums, [*keys, "citer_work_idx"])
+    targets = ends.select(*keys, F.col("work_idx").alias("cited_work_idx"), F.col("ends").alias("to"))
+    met = with_works(with_works(pairs, citers, "citer_work_idx", citing, keys), targets, "cited_work_idx", cited, keys)
+    el = _expanded(_expanded(met, "from", CITER), "to", CITED).select(*keys, *COLUMNS)
+    if not run.epsilon:
+        return el
+    fi = _expanded(ends, "ends", {k: k for k in CITER})
+    return el.unionByName(sentinel_edges(fi, ends.select(*keys, "work_idx", "field_weight"), refs, sums, run.sentinel, keys))
 
 
 def sentinel_edges(fi: DataFrame, works: DataFrame, refs: DataFrame, sums: DataFrame, number: int, keys: Keys = ()) -> DataFrame:

@@ -67,7 +67,7 @@ def units(t: Tables, run=RUN) -> tuple[DataFrame, DataFrame]:
 
 def edge_list(t: Tables, run=RUN) -> DataFrame:
     made = replace(run, rho=0, omega=0, beta=0, mask="0110", alpha=1.0, chi=-1.0, prior="uniform")  # what the list does not depend on
-    return kept(t, f"edges-{made}", lambda: edges.edge_list(flat(t), references(t), run, *units(t, run)))
+    return kept(t, f"edges-{made}", lambda: edges.edge_list(flat(t), references(t), run, *units(t, run), keep=stored))
 
 
 def made_blocks(t: Tables, run) -> edges.Blocks:
@@ -159,12 +159,12 @@ def bloc_excluded_works(t):
 
 @query
 def work_pairs(t):
-    return edges.work_pairs(edges.work_weights(edges.group_works(flat(t), RUN, *units(t))), references(t)).select("citer_work_idx", "cited_work_idx", *r9("edge_field_weight"))
+    return edges.work_pairs(edges.work_ends(edges.group_works(flat(t), RUN, *units(t))), references(t)).select("citer_work_idx", "cited_work_idx", *r9("edge_field_weight"))
 
 
 @query
 def ref_sums(t):
-    pairs = edges.work_pairs(edges.work_weights(edges.group_works(flat(t), RUN, *units(t))), references(t))
+    pairs = edges.work_pairs(edges.work_ends(edges.group_works(flat(t), RUN, *units(t))), references(t))
     return edges.reference_sums(pairs).select("citer_work_idx", *r9("R_i"))
 
 
