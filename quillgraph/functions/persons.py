@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quillgraph.functions.names import by_rarity, list_digest, prefix
 from quillgraph.operators.graph import connected_components
+from quillgraph.sources.shared import small
 
 # Titles before a name, letters after it, and particles that belong to a last name.
 TITLES = ("dr", "prof", "professor", "emeritus", "mr", "mrs", "ms", "miss", "sir", "dame", "lady", "lord", "associate", "assoc", "adjunct", "distinguished", "hon.", "rev", "reverend", "mx")
@@ -105,14 +106,21 @@ def unresolved(clustered: DataFrame, names: DataFrame) -> DataFrame:
     return j.groupBy("cluster_id").agg(F.sort_array(F.collect_set("fa")).alias("first_names")).filter(F.size("first_names") > 1)
 
 
-def corrected(df: DataFrame) -> DataFrame:
-    """first_name and last_name without letters after the name, generation marks and all capitals."""
-    last = F.trim(F.regexp_replace(F.coalesce("last_name", F.lit("")), r"[\p{Cf}\p{Cc}]", ""))
+def corrected(df: DataFrame, by_hand: DataFrame | None = None) -> DataFrame:
+    """first_name and last_name without letters after the name, generation marks and all capitals. by_hand (first_name, last_name,
+    right_first, right_last): a list kept by people of names that were split or swapped wrongly; it goes first (of several
+    rows for a name the least), and what it says is corrected like any other name."""
+    visible = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{Cf}\p{Cc}]", ""))
+    if by_hand is not None:
+        df = df.withColumns({c: visible(F.col(c)) for c in ("first_name", "last_name")})
+        rule = by_hand.groupBy(*(visible(F.col(c)).alias(c) for c in ("first_name", "last_name"))).agg(F.min(F.struct("right_first", "right_last")).alias("_r"))
+        j = df.join(small(rule), ["first_name", "last_name"], "left")
+        df = j.withColumns({"first_name": F.coalesce("_r.right_first", "first_name"), "last_name": F.coalesce("_r.right_last", "last_name")}).select(*df.columns)
+    last = visible(F.col("last_name"))
     last = F.trim(F.regexp_replace(last, r"(?i)\s+(" + "|".join(POSTNOMINALS) + r")(\s+.*)?$", ""))
     last = F.trim(F.regexp_replace(last, r"(?i)(?<=\S)\s+(" + "|".join(GENERATIONS) + r")\.?$", ""))
     shout = (F.upper(last) == last) & (F.lower(last) != last) & (F.length(last) > 2)
-    first = F.trim(F.regexp_replace(F.coalesce("first_name", F.lit("")), r"[\p{Cf}\p{Cc}]", ""))
-    return df.withColumns({"first_name": first, "last_name": F.when(shout, F.initcap(last)).otherwise(last)})
+    return df.withColumns({"first_name": visible(F.col("first_name")), "last_name": F.when(shout, F.initcap(last)).otherwise(last)})
 
 
 def persons(rows: DataFrame) -> DataFrame:
@@ -124,6 +132,20 @@ def persons(rows: DataFrame) -> DataFrame:
     return p.withColumn("multi_category", F.col("n_categories") > 1)
 
 
+def clusters_table(authors: DataFrame, appearances: DataFrame) -> DataFrame:
+    """One row an author: cluster_hash (of last_norm and initial) and how many authors share it, the parts of the name, the institution
+    that most of its works name and the one last known. authors: author_idx, display_name, last_norm, initial, institutions (array of
+    struct<display_name, country_code>, the last known first). appearances: author_idx, inst_name, inst_country of each work; rows that
+    lack either of both are passed over, of institutions named equally often the least comes. An author without any has nulls."""
+    a = authors.withColumns({"cluster_hash": list_digest(F.col("last_norm"), F.col("initial")), "hn": name_parts(F.coalesce("display_name", F.lit("")))})
+    n = a.groupBy("cluster_hash").agg(F.count("*").alias("cluster_n"))
+    times = appearances.filter("inst_name IS NOT NULL AND inst_country IS NOT NULL").groupBy("author_idx", "inst_name", "inst_country").agg(F.count("*").alias("k"))
+    modal = times.groupBy("author_idx").agg(F.min(F.struct((-F.col("k")).alias("k"), "inst_name", "inst_country")).alias("m"))
+    j = a.join(n, "cluster_hash").join(modal, "author_idx", "left").withColumn("r", F.try_element_at("institutions", F.lit(1)))
+    names = [F.col("m.inst_name").alias("inst_name_modal"), F.col("m.inst_country").alias("inst_country_modal"), F.col("r.display_name").alias("inst_name_recent"), F.col("r.country_code").alias("inst_country_recent")]
+    return j.select("author_idx", "cluster_hash", "cluster_n", "display_name", "hn", "last_norm", "initial", *names, F.lit("name_only").alias("cluster_status"))
+
+
 def refined(members: DataFrame, evidence: DataFrame, least: float = 0.1) -> DataFrame:
     """author_idx, cluster, refined (least author of the part), cluster_n, cluster_status: clusters of several authors split into
     parts that co-authors join. members: author_idx, cluster; evidence: cluster, a, b, n_a, n_b, jaccard. A cluster of which any
@@ -253,8 +275,9 @@ def split_affiliation(c: Column) -> tuple[Column, Column]:
     return F.trim(F.regexp_replace(c, ",[^,]*$", "")), F.when(has, F.trim(F.regexp_extract(c, ",([^,]*)$", 1)))
 
 
-def institution_tiers(asked: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
-    """id, institution_idx, tier, score: T1 by name, T2 by another name, T2b by an acronym in the text, T3 by the share of words in
+def institution_tiers(asked: DataFrame, known: DataFrame, least: float = 0.7, by_hand: DataFrame | None = None) -> DataFrame:
+    """id, institution_idx, tier, score: T0 by a list kept by people (by_hand: inst, institution_idx, which known need not hold; of several
+    the least), T1 by name, T2 by another name, T2b by an acronym in the text, T3 by the share of words in
     common (of both, or of the asked ones); the asked country first, then any (T1: only the asked one, if one is). asked: id, inst, country_code. known:
     institution_idx, display_name, alternatives, acronyms, country_code. Of several the least number. T3 compares only those that
     no earlier tier has, by their words."""
@@ -272,6 +295,10 @@ def institution_tiers(asked: DataFrame, known: DataFrame, least: float = 0.7) ->
     hit = hit.filter("NOT (t = 1 AND away = 1)")
     best = hit.groupBy("id").agg(F.min(F.struct("t", "o", "away", "institution_idx")).alias("b")).select("id", "b.institution_idx", F.element_at(F.array(F.lit("T1"), F.lit("T2"), F.lit("T2b")), F.col("b.t")).alias("tier"), F.lit(1.0).alias("score"))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(*AFFILIATION_STOP)))
+    if by_hand is not None:
+        rule = by_hand.groupBy(plain_name(F.col("inst")).alias("norm")).agg(F.min("institution_idx").alias("institution_idx")).filter("norm <> ''")
+        zero = a.join(small(rule), "norm").select("id", "institution_idx", F.lit("T0").alias("tier"), F.lit(1.0).alias("score"))
+        best = zero.unionByName(best.join(zero, "id", "left_anti"))
     left = a.join(best, "id", "left_anti").select("id", "country_code", words(F.col("norm")).alias("wa"))
     right = k.select("institution_idx", F.col("country_code").alias("cc"), words(plain_name(F.col("display_name"))).alias("wb"))
     # the share of the asked words is never the lesser of both; a hit holds one of their rarest, all but least * size - 1

@@ -121,6 +121,12 @@ SQL: dict[str, str] = {
     "person_categories": q(
         f"SELECT {_H('f', 'l', 'affil')} person_hash, {_H('lst', 'ini')} cluster_hash, {_H(_H('lst', 'ini'), 'lower(affil)')} sub_cluster_hash, f first_name, l last_name, affil, string_agg(category, '; ' ORDER BY category) categories, count(*) n_categories, count(*) > 1 multi_category FROM (SELECT {_CAP('fst')} f, {_CAP('lst')} l, lst, substr(fst, 1, 1) ini, affil, category FROM nm_) GROUP BY f, l, lst, ini, affil"
     ),
+    "clusters_table": q(
+        f"""SELECT a.id author_idx, {_H('lst', 'substr(fst, 1, 1)')} cluster_hash, count(*) OVER (PARTITION BY lst, substr(fst, 1, 1)) cluster_n, {_CAP('fst')} || ' ' || {_CAP('lst')} display_name, lst last_norm, substr(fst, 1, 1) initial,
+        m.n inst_name_modal, m.c inst_country_modal, r.n inst_name_recent, r.c inst_country_recent, 'name_only' cluster_status, {_CAP('fst')} first_part, {_CAP('lst')} last_part FROM nm_ a
+        LEFT JOIN (SELECT author_idx, s_name n, n_name c FROM auth JOIN supplier ON s_suppkey = institution_idx JOIN nation ON n_nationkey = s_nationkey GROUP BY author_idx, s_name, n_name QUALIFY row_number() OVER (PARTITION BY author_idx ORDER BY count(*) DESC, s_name, n_name) = 1) m ON m.author_idx = a.id
+        LEFT JOIN (SELECT author_idx, s_name n, n_name c FROM auth JOIN supplier ON s_suppkey = institution_idx JOIN nation ON n_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY author_idx ORDER BY work_idx DESC, institution_idx DESC) = 1) r ON r.author_idx = a.id"""
+    ),
     "waterfall_institutions": q(
         "SELECT a.id person, coalesce(s, 0)::INT stage, CASE WHEN k = 1 THEN 1 ELSE coalesce(n, 0) END::BIGINT n_cands, CASE WHEN n IS NULL THEN 'zero' WHEN n = 1 THEN 'unique' WHEN k = 1 THEN 'inst_resolved' ELSE 'ambiguous' END match_status, coalesce(CASE WHEN n = 1 THEN o WHEN k = 1 THEN ft END, -1) candidate FROM nm_ a LEFT JOIN g_ ON g_.p = a.id WHERE a.id % 2 = 0",
         m_=" UNION ALL ".join(f"SELECT p.id p, c.id c, {k} s, contains(p.affil || ', Nowhere', c.affil) OR contains(c.affil, p.affil) fits FROM nm_ p JOIN nm_ c ON p.id % 2 = 0 AND c.id % 2 = 1 AND {on}" for k, on in enumerate(("p.fst = c.fst AND p.mid = c.mid AND p.lst = c.lst", "p.fst = c.fst AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.mid = c.mid AND p.lst = c.lst", "substr(p.fst, 1, 1) = substr(c.fst, 1, 1) AND p.lst = c.lst"), 1)),
