@@ -3,6 +3,7 @@ formulas of their keys stand in for it."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,10 @@ from pyspark.sql import Window as W
 from quillgraph.functions import compare, names, persons, stats
 from quillgraph.model import GROUPS
 from quillgraph.operators import authors, corpus, enclaves, extraction, graph, ranking, reports, spectral
+from quillgraph.operators.runner import Runner, unit_rankings
 from quillgraph.plans.queries import QUERIES, TOL, all_references, all_works, candidates, flat, giant_blocks, kept, query, r9, ranked, rankings, references, scored  # noqa: F401
 from quillgraph.sources.adapters import RUN, Tables
+from quillgraph.sources.shared import shared_folder
 
 YEARS, HORIZON, BLOC = (1996, 2000), 2002, frozenset(f"NATION_{k}" for k in range(20))
 
@@ -342,6 +345,17 @@ def rank_unit(t):
     return out.select("group_idx", "unit_idx", "unit_type", *r9("pi"), F.round("v", 6).alias("v"))
 
 
+@query
+def unit_runs(t):
+    """Units worked through by the runner, one batch; read back from what it committed: diagnostics and the sum of scores."""
+    run = Runner(t.spark, f"{shared_folder(t.spark.sparkContext)}/quillgraph/runs-{uuid.uuid4().hex}", basis=repr(RUN))
+    become = run.run([str(u) for u in UNITS], unit_rankings(flat(t), references(t), RUN, UNITS, 1e-9))
+    if set(become.values()) != {"done"}:
+        raise RuntimeError(f"units failed: {become}")
+    mass = run.committed().groupBy("unit").agg(F.round(F.sum("pi"), 6).alias("mass"))
+    return run.committed("diagnostics").drop("mass").join(mass, "unit").select(F.col("unit").cast("long").alias("group_idx"), "n_s_cands", "n_u_cands", "mass")
+
+
 ALL = replace(RUN, members=tuple(GROUPS))
 
 

@@ -82,6 +82,15 @@ def _variant(steps: dict[str, str]) -> str:
     return sql(_RANKED, **_BI, **steps)
 
 
+def _unit(group: int, members: str) -> str:
+    """Candidates of a unit's subfields, whose scores sum to 1."""
+    mine = f"FROM fw WHERE publication_year BETWEEN 1996 AND 2000 AND subfield_idx IN {members}"
+    sources = f"SELECT source_idx FROM (SELECT DISTINCT work_idx, source_idx, subfield_idx, field_weight {mine}) GROUP BY 1 HAVING sum(field_weight) >= 0.25"
+    institutions = f"SELECT institution_idx {mine} GROUP BY 1 HAVING sum(field_weight * inst_weight) >= 2.5"
+    body = f"SELECT {group}::BIGINT group_idx, (SELECT count(*) FROM ({sources})) n_s_cands, (SELECT count(*) FROM ({institutions})) n_u_cands, 1.0::DOUBLE mass"
+    return f"SELECT * FROM ({sql(body)})"
+
+
 SQL: dict[str, str] = {
     "field_citations": q("SELECT d.field_idx, d.work_idx, count(*) n_intra FROM cr JOIN wv c ON c.work_idx = citer_idx JOIN wv d ON d.work_idx = cited_idx AND d.field_idx = c.field_idx GROUP BY 1, 2"),
     "hcw_assembly": q(f"SELECT field_idx, work_idx, publication_year, source_idx, n_intra, n_citer_hi, n_citer_lo, title, {_r('year_threshold', 'source_v', 'mean_citer_v', 'mean_inst_v', to=9)}, round(gap, 9) + 0.0::DOUBLE gap FROM hc_"),
@@ -121,6 +130,7 @@ SQL: dict[str, str] = {
     "person_categories": q(
         f"SELECT {_H('f', 'l', 'affil')} person_hash, {_H('lst', 'ini')} cluster_hash, {_H(_H('lst', 'ini'), 'lower(affil)')} sub_cluster_hash, f first_name, l last_name, affil, string_agg(category, '; ' ORDER BY category) categories, count(*) n_categories, count(*) > 1 multi_category FROM (SELECT {_CAP('fst')} f, {_CAP('lst')} l, lst, substr(fst, 1, 1) ini, affil, category FROM nm_) GROUP BY f, l, lst, ini, affil"
     ),
+    "unit_runs": " UNION ALL ".join(_unit(g, m) for g, m in ((1, "(16, 17, 18, 19)"), (2, "(18, 21, 24)"))),
     "clusters_table": q(
         f"""SELECT a.id author_idx, {_H('lst', 'substr(fst, 1, 1)')} cluster_hash, count(*) OVER (PARTITION BY lst, substr(fst, 1, 1)) cluster_n, {_CAP('fst')} || ' ' || {_CAP('lst')} display_name, lst last_norm, substr(fst, 1, 1) initial,
         m.n inst_name_modal, m.c inst_country_modal, r.n inst_name_recent, r.c inst_country_recent, 'name_only' cluster_status, {_CAP('fst')} first_part, {_CAP('lst')} last_part FROM nm_ a
