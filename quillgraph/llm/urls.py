@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, broadcast_if_small, table, written
 
 #: (host, path, verdict): the contract's rules.
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Words that mark a host as bad.
 SEEDS = ("adult", "bet", "betting", "casino", "escort", "gambling", "hack", "loans", "malware", "payday", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
 INFLECTED = {
