@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillgraph.functions.order import percentiles
+from quillgraph.functions.order import percentiles, steady
 
 
 def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -38,7 +38,7 @@ def crossfield(papers: DataFrame, cites: DataFrame, target: int) -> DataFrame:
 
     j = score(papers, "n_hcw", "cf_paper_score").join(score(cites, "n_cites", "cf_cite_score"), "author_idx", "full")
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return j.select("author_idx", F.coalesce("n_cf_paper_score", F.lit(0)).alias("n_fields"), z("cf_paper_score").alias("cf_paper_score"), z("cf_cite_score").alias("cf_cite_score"), ((z("cf_paper_score") >= 1) & (z("cf_cite_score") >= 1)).alias("qualified"))
+    return j.select("author_idx", F.coalesce("n_cf_paper_score", F.lit(0)).alias("n_fields"), z("cf_paper_score").alias("cf_paper_score"), z("cf_cite_score").alias("cf_cite_score"), ((steady(z("cf_paper_score")) >= 1) & (steady(z("cf_cite_score")) >= 1)).alias("qualified"))
 
 
 def coauthor_evidence(clusters: DataFrame, auth: DataFrame) -> DataFrame:
