@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -98,6 +100,21 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession, most: int = 1 << 20) -> Iterator[None]:
+    """Inside, Spark broadcasts by itself only tables of up to most bytes. Its own bound counts compressed bytes of a file, of which the driver
+    holds the rows several times over: collected, hashed and serialised."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, most)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 LOWER_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, broadcast_if_small, byte_words, mix64, table, written
+from .common import Hashes, broadcast_if_small, byte_words, mix64, shuffled_joins, table, written
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,8 @@ class Near:
 PRODUCTION = Near()
 #: Classes that a task compares with as many others at once.
 CHUNK = 128
-#: Rows of a table that may be broadcast.
-SMALL = 200_000
+#: Rows of a table that may be broadcast: some MB of the driver's memory, whatever the corpus.
+SMALL = 20_000
 #: Odd step of the circular shift.
 SHIFT = np.uint32(0x9E3779B1)
 
@@ -137,7 +137,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, p: Near, repeated: bool) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets])], names=["node", "set"])
 
     nodes = nodes.select("node", "rep")
-    near = broadcast_if_small(nodes, nodes.count())
+    near = broadcast_if_small(nodes, nodes.count(), SMALL)
     picked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(near, "rep", "left_semi").select("text").mapInArrow(run, "node long, set binary")
     if repeated:  # other texts of the id, and more rows of the same text, are not wanted
         picked = picked.join(near, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
@@ -222,14 +222,17 @@ def class_links(docs: DataFrame, members: DataFrame, p: Near, repeated: bool = F
     return links.union(met.mapInArrow(lambda batches: across(batches, p.percent), "a long, b long"))
 
 
-def spread_join(df: DataFrame, dim: DataFrame, key: str, salts: int = 64) -> DataFrame:
-    """df joined with dim, of one row a key. A key that many rows of df hold is dealt to many tasks: by a broadcast of dim if
-    a count allows it, else by copies of dim."""
-    n = dim.count()
-    if n <= SMALL:
-        return df.join(broadcast_if_small(dim, n), key)
-    df = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    return df.join(dim.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "salt"]).drop("salt")
+def spread_join(df: DataFrame, dim: DataFrame, key: str, shares: int = 1000) -> DataFrame:
+    """df joined with dim, of one row a key. A small dim goes to all tasks. Of a larger one only the rows of hot keys do, which hold more than
+    one in shares of df's rows each, so that there are at most shares of them; the rest meets by key."""
+    if dim.count() <= SMALL:
+        return df.join(F.broadcast(dim), key)
+    least = max(df.count() // shares, 100)
+    hot = [r[0] for r in df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key).collect()]
+    if not hot:
+        return df.join(dim.hint("merge"), key)
+    is_hot = F.col(key).isin(hot)
+    return df.filter(~is_hot).join(dim.filter(~is_hot).hint("merge"), key).unionByName(df.filter(is_hot).join(F.broadcast(dim.filter(is_hot)), key))
 
 
 def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -279,6 +282,11 @@ def shingles(sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, p: Near = PRODUCTION) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    with shuffled_joins(docs.sparkSession):
+        return _components(docs, p)
+
+
+def _components(docs: DataFrame, p: Near) -> DataFrame:
     f = written(features(docs, p), "features")
     named = f.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("bands").alias("bands")), "classes")
@@ -302,7 +310,7 @@ def filter_documents(docs: DataFrame, p: Near = PRODUCTION) -> DataFrame:
     go together."""
     gone = written(components(docs, p).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     d = docs.select(F.struct(*docs.columns).alias("doc"))
-    return d.join(broadcast_if_small(gone, gone.count()), F.col("doc.doc_id").cast("long") == gone["gone"], "left_anti").select("doc.*")
+    return d.join(broadcast_if_small(gone, gone.count(), SMALL), F.col("doc.doc_id").cast("long") == gone["gone"], "left_anti").select("doc.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
