@@ -33,3 +33,19 @@ def test_resolved_counts_candidates_of_a_hot_key(spark):
     assert got[1] == got[2] == (2, n, "ambiguous", None)
     assert got[3] == (1, 1, "unique", 50)
     assert got[n - 1] == (2, n, "ambiguous", None)
+
+
+def test_members_meet_distinct_authors(spark):
+    n, k = 200_000, F.col("id")
+    same = [F.lit("ann").alias("first_norm"), F.lit("lee").alias("last_norm"), F.lit("a").alias("initial")]
+    roster = spark.range(n).select(k.alias("person_id"), *same, F.when(k == 3, "unit two").otherwise("unit one").alias("affil"))
+    roster = roster.union(spark.createDataFrame([(3, "zoe", "ray", "z", "unit one"), (n, "ann", "nobody", "a", "unit one")], roster.schema))
+    inst = F.when(k % 2 == 0, "the one").otherwise("elsewhere")
+    known = spark.range(n).select(k.alias("author_idx"), F.when(k % 4 == 0, "al lee").otherwise("ann lee").alias("display_name"), F.lit(1).alias("works_count"), (k % 1000).alias("cited_by_count"), inst.alias("institutions"))
+    with within(spark, 60):
+        rows = persons.members_to_authors(roster, known, [("one", "One"), ("two", "Two")]).collect()
+    got = {r["person_id"]: (r["author_idx"], r["match_status"]) for r in rows}
+    assert len(rows) == n + 2 and len(got) == n + 1
+    assert got[0] == got[n - 1] == (998, "exact_inst")
+    assert got[3] == (999, "first_only")  # of both of its rows
+    assert got[n] == (None, None)
