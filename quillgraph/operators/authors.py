@@ -52,8 +52,11 @@ def coauthor_evidence(clusters: DataFrame, auth: DataFrame) -> DataFrame:
     n = co.groupBy("author_idx").agg(F.count("*").alias("n"))
     a, b = c.select("cluster", F.col("author_idx").alias("a")), c.select("cluster", F.col("author_idx").alias("b"))
     pairs = a.join(b, "cluster").filter("a < b")
-    shared = pairs.join(co.toDF("a", "co"), "a").join(co.toDF("b", "co"), ["b", "co"]).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    # authors of a cluster meet at a co-author: pairs do not carry all co-authors of one side to the other's
+    meet = co.join(c.distinct(), "author_idx").groupBy("cluster", "coauthor").agg(F.collect_list("author_idx").alias("g")).filter(F.size("g") > 1)
+    meet = meet.select("cluster", F.explode("g").alias("a"), "g").select("cluster", "a", F.explode("g").alias("b")).filter("a < b")
+    shared = meet.groupBy("cluster", "a", "b").agg(F.count("*").alias("n_shared"))
     z = lambda x: F.coalesce(x, F.lit(0))
-    j = pairs.join(n.toDF("a", "n_a"), "a", "left").join(n.toDF("b", "n_b"), "b", "left").join(shared, ["a", "b"], "left")
+    j = pairs.join(n.toDF("a", "n_a"), "a", "left").join(n.toDF("b", "n_b"), "b", "left").join(shared, ["cluster", "a", "b"], "left")
     j = j.select("cluster", "a", "b", z("n_a").alias("n_a"), z("n_b").alias("n_b"), z("n_shared").alias("n_shared"))
     return j.withColumn("jaccard", F.col("n_shared") / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - F.col("n_shared")))

@@ -1,7 +1,5 @@
 """Co-author evidence and first institutions: what is read and exchanged follows the rows, not pairs times co-authors."""
 
-from pyspark.sql import functions as F
-
 from quillgraph.operators import authors
 from quillgraph.plans import evaluation
 from quillgraph.sources.adapters import Tables
@@ -17,3 +15,10 @@ def test_first_of_group_needs_no_references(spark, monkeypatch):
     rows = evaluation.first_of_group(t)
     assert rows.count() == t.authorships().select("author_idx").distinct().count()
     assert t.years().count() == t.raw("orders").count()
+
+
+def test_shared_coauthors_are_counted_in_each_cluster(spark):
+    auth = spark.createDataFrame([(1, 1), (1, 3), (2, 2), (2, 3), (3, 1), (3, 4)], "work_idx long, author_idx long")
+    clusters = spark.createDataFrame([(10, 1), (10, 2), (20, 1), (20, 2), (20, 4)], "cluster long, author_idx long")
+    got = {(r["cluster"], r["a"], r["b"]): (r["n_a"], r["n_b"], r["n_shared"]) for r in authors.coauthor_evidence(clusters, auth).collect()}
+    assert got == {(10, 1, 2): (2, 1, 1), (20, 1, 2): (2, 1, 1), (20, 1, 4): (2, 1, 0), (20, 2, 4): (1, 1, 0)}
