@@ -105,3 +105,14 @@ def test_a_sweep_equals_runs_of_one_group(spark):
     for run, name in (("rho1", "rank_rho1"), ("beta1", "rank_beta1"), ("om1", "rank_omega1"), ("baseline", "rank_by_mask"), ("eps1", "rank_sentinel"), ("tau20", "rank_tau")):
         key = lambda df: sorted(map(str, df.select("unit_type", "unit_idx", F.round("pi", 7), F.round("v", 4)).collect()))
         assert key(rows.filter(F.col("run") == run)) == key(q[name](spark, d)), run
+
+
+def test_steps_read_held_edges(spark):
+    """Every cycle's plan must read the edges in memory, not make and shuffle them again."""
+    h = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0)], "src long, dst long, w double")
+    units = spark.createDataFrame([(k, 1 / 3) for k in range(3)], "unit_idx long, p0 double")
+    with iteration.carried_edges(h, units, ()) as held:
+        for _ in range(2):
+            plan = iteration.advanced(units, held, (), ["p0"], times=2)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("InMemoryTableScan") >= 2
+    assert held.name not in [t.name for t in spark.catalog.listTables()]
