@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions.order import percentiles, steady
+from quillgraph.sources.shared import stored
+
+#: Authors of a cluster whose co-authors meet in one task.
+TOGETHER = 64
 
 
 def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -42,21 +46,21 @@ def crossfield(papers: DataFrame, cites: DataFrame, target: int) -> DataFrame:
 
 
 def coauthor_evidence(clusters: DataFrame, auth: DataFrame) -> DataFrame:
-    """Pairs of authors in one cluster with their co-authors in common. clusters: cluster, author_idx.
-    jaccard is over at least one co-author. Blocks are filtered to clusters of two or more before any self-join."""
-    many = clusters.groupBy("cluster").agg(F.count("*").alias("k")).filter("k > 1")
-    c = clusters.join(many.select("cluster"), "cluster", "left_semi")
-    mine = auth.select("work_idx", "author_idx").distinct()
-    works = mine.join(c.select("author_idx").distinct(), "author_idx", "left_semi")
-    co = works.join(mine.select("work_idx", F.col("author_idx").alias("coauthor")), "work_idx").filter("author_idx <> coauthor").select("author_idx", "coauthor").distinct()
-    n = co.groupBy("author_idx").agg(F.count("*").alias("n"))
-    a, b = c.select("cluster", F.col("author_idx").alias("a")), c.select("cluster", F.col("author_idx").alias("b"))
-    pairs = a.join(b, "cluster").filter("a < b")
-    # authors of a cluster meet at a co-author: pairs do not carry all co-authors of one side to the other's
-    meet = co.join(c.distinct(), "author_idx").groupBy("cluster", "coauthor").agg(F.collect_list("author_idx").alias("g")).filter(F.size("g") > 1)
-    meet = meet.select("cluster", F.explode("g").alias("a"), "g").select("cluster", "a", F.explode("g").alias("b")).filter("a < b")
-    shared = meet.groupBy("cluster", "a", "b").agg(F.count("*").alias("n_shared"))
+    """Pairs of authors in one cluster with their co-authors in common. clusters: cluster, author_idx. jaccard is over at least one
+    co-author. A work's authors carry their clusters, so that all co-authors are shuffled once, to their author's cluster: there authors meet
+    at a co-author, and one that meets itself counts its own. Clusters of many authors are dealt to several tasks by co-author."""
+    c = stored(clusters.filter("cluster IS NOT NULL").withColumn("k", F.count("*").over(W.partitionBy("cluster"))).filter("k > 1").select("cluster", "author_idx", "k"))
+    mine = auth.select("work_idx", "author_idx").filter("work_idx IS NOT NULL AND author_idx IS NOT NULL").repartition("author_idx").distinct()
+    works = mine.join(c.distinct(), "author_idx", "left").repartition("work_idx").groupBy("work_idx").agg(F.collect_list(F.struct("cluster", "k", "author_idx")).alias("all"))
+    co = works.select(F.array_distinct("all.author_idx").alias("others"), F.explode(F.filter("all", lambda x: x["cluster"].isNotNull())).alias("x"))
+    co = co.select("x.*", F.explode("others").alias("coauthor")).filter("author_idx <> coauthor")
+    part = F.pmod(F.xxhash64("coauthor"), F.ceil(F.col("k") / TOGETHER)).cast("int")
+    meet = co.select("cluster", part.alias("part"), "coauthor", "author_idx").repartition("cluster", "part").distinct()
+    upto = W.partitionBy("cluster", "part", "coauthor").orderBy("author_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    meet = meet.select("cluster", F.col("author_idx").alias("b"), F.collect_list("author_idx").over(upto).alias("g")).select("cluster", F.explode("g").alias("a"), "b")
+    met = stored(meet.groupBy("cluster", "a", "b").agg(F.count("*").alias("n")))
     z = lambda x: F.coalesce(x, F.lit(0))
-    j = pairs.join(n.toDF("a", "n_a"), "a", "left").join(n.toDF("b", "n_b"), "b", "left").join(shared, ["cluster", "a", "b"], "left")
-    j = j.select("cluster", "a", "b", z("n_a").alias("n_a"), z("n_b").alias("n_b"), z("n_shared").alias("n_shared"))
+    own = c.join(met.filter("a = b").select("cluster", F.col("a").alias("author_idx"), "n"), ["cluster", "author_idx"], "left").select("cluster", "author_idx", z("n").alias("n"))
+    pairs = own.toDF("cluster", "a", "n_a").join(own.toDF("cluster", "b", "n_b"), "cluster").filter("a < b")
+    j = pairs.join(met.filter("a < b").withColumnRenamed("n", "n_shared"), ["cluster", "a", "b"], "left").select("cluster", "a", "b", "n_a", "n_b", z("n_shared").alias("n_shared"))
     return j.withColumn("jaccard", F.col("n_shared") / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - F.col("n_shared")))
