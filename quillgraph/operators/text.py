@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillgraph.sources.shared import stored
+from quillgraph.operators.iteration import fixed_plans
+from quillgraph.sources.shared import cut, stored
 
 
 def term_rows(docs: DataFrame, stop: set[str], bigrams: bool = True) -> DataFrame:
@@ -67,16 +71,33 @@ def _products(weights: DataFrame, factor: DataFrame, on: str, by: str, x: str, m
     return d.select("group", by, F.filter(F.array(*(f"_{i}" for i in range(most))), lambda v: v.isNotNull()).alias("p"))
 
 
-def _descent(x: str, passes: int) -> Column:
-    """The factor's row after some passes over its columns, each set to its best non-negative value, given products p and gram g."""
+def _descent(passes: int):
+    """A function of a factor's row x, products p and gram g (its rows end to end): the row after some passes over its columns, each set to
+    its best non-negative value. Rows of a batch step together; sums run in the order of columns."""
 
-    def set_one(row: Column, j: Column) -> Column:
-        at = lambda c: F.get(c, j)
-        own = at(at(F.col("g")))
-        best = F.greatest(F.lit(0.0), at(row) + (at(F.col("p")) - _dot(row, at(F.col("g")))) / F.when(own > 0, own))
-        return F.transform(row, lambda v, i: F.when((i == j) & (own > 0), best).otherwise(v))
+    def dense(rows: pa.ListArray, shape: tuple[int, ...], keep: np.ndarray) -> np.ndarray:
+        """Rows of lists as one array, the row's number last; where a list is shorter there are zeros."""
+        out = np.zeros((len(rows), *shape))
+        out[keep] = rows.flatten().to_numpy(zero_copy_only=False)
+        return np.ascontiguousarray(np.moveaxis(out, 0, -1))
 
-    return F.aggregate(F.flatten(F.array_repeat(F.sequence(F.lit(0), F.size(x) - 1), passes)), F.col(x), set_one)
+    @F.arrow_udf("array<double>")
+    def step(x: pa.Array, p: pa.Array, g: pa.Array) -> pa.Array:
+        size = pc.list_value_length(x).to_numpy(zero_copy_only=False)
+        k = int(size.max(initial=0))
+        keep = np.arange(k) < size[:, None]
+        gram = dense(g, (k, k), keep[:, :, None] & keep[:, None, :])
+        row, want = dense(x, (k,), keep), dense(p, (k,), keep)
+        for j in [*range(k)] * passes:
+            own, dot = gram[j, j], np.zeros(len(size))
+            for i in range(k):
+                dot += row[i] * gram[j, i]
+            best = np.maximum(0.0, row[j] + np.divide(want[j] - dot, own, out=np.zeros(len(size)), where=own > 0))
+            row[j] = np.where(own > 0, best, row[j])
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(row.T[keep]))
+
+    return step
 
 
 @dataclass(frozen=True)
@@ -98,23 +119,30 @@ def factors(weights: DataFrame, c: Topics = Topics()) -> tuple[DataFrame, DataFr
 
     Rows of either factor are updated in turn by coordinate descent from the rows of weights times the other factor, one join and
     one sum, and from that factor's k x k gram matrix, the only thing that all rows of a group share. A group may be of any size.
+    Weights lie in memory and (group, doc, a) in the shared folder, both partitioned by document, so that a sweep shuffles sums and a, not weights.
     """
-    docs = weights.select("group", "doc").distinct().groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= c.least)
+    spark = weights.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = stored(weights.select("group", "doc", "term", F.col("w").cast("double").alias("w")))
+    with fixed_plans(spark):  # partitions that a plan may still change are not kept
+        w = w.repartition(n, "group", "doc").sortWithinPartitions("group", "doc").persist()
+    docs = w.select("group", "doc").distinct().groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= c.least)
     k = F.least(F.lit(c.most), F.greatest(F.lit(2), F.floor(F.col("n") / c.each))).cast("int")
-    docs = stored(docs.select("group", k.alias("k")))
-    w = stored(weights.join(F.broadcast(docs), "group").select("group", "doc", "term", F.col("w").cast("double").alias("w"), "k"))
-    a = stored(w.select("group", "doc", "k").distinct().select("group", "doc", _start("group", "doc", k=F.col("k")).alias("a")))
-    b = stored(w.select("group", "term", "k").distinct().select("group", "term", _start("group", "term", k=F.col("k")).alias("b")))
-    few = [d.count() <= 200_000 for d in (a, b)]
-    hint = lambda d, i: F.broadcast(d) if few[i] else d
+    docs = F.broadcast(stored(docs.select("group", k.alias("k"))))
+    with fixed_plans(spark):
+        a = cut(w.select("group", "doc").distinct().join(docs, "group").select("group", "doc", _start("group", "doc", k=F.col("k")).alias("a")))
+    b = stored(w.select("group", "term").distinct().join(docs, "group").select("group", "term", _start("group", "term", k=F.col("k")).alias("b")))
+    few = b.count() <= 200_000
     whole = {r["group"]: r["s"] for r in w.groupBy("group").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()}
+    descent = _descent(c.passes)
     before: dict = {}
     for done in range(0, c.sweeps, c.together):
         for _ in range(min(c.together, c.sweeps - done)):
-            p = _products(w, hint(b, 1), "term", "doc", "b", c.most).join(F.broadcast(_gram(b, "b")), "group")
-            a = stored(p.join(a, ["group", "doc"]).select("group", "doc", _descent("a", c.passes).alias("a")))
-            p = _products(w, hint(a, 0), "doc", "term", "a", c.most).join(F.broadcast(_gram(a, "a")), "group")
-            full = stored(p.join(b, ["group", "term"]).select("group", "term", "p", "g", _descent("b", c.passes).alias("b")))
+            p = _products(w, F.broadcast(b) if few else b, "term", "doc", "b", c.most).join(F.broadcast(_gram(b, "b")), "group")
+            with fixed_plans(spark):
+                a = cut(p.join(a, ["group", "doc"]).select("group", "doc", descent("a", "p", F.flatten("g")).alias("a")).repartition(n, "group", "doc"))
+            p = _products(w, a, "doc", "term", "a", c.most).join(F.broadcast(_gram(a, "a")), "group")
+            full = stored(p.join(b, ["group", "term"]).select("group", "term", "p", "g", descent("b", "p", F.flatten("g")).alias("b")))
             b = full.select("group", "term", "b")
         # |W - AB|^2 from the products of the last half step, one number a group
         turned = F.transform("g", lambda r: _dot(F.col("b"), r))
@@ -123,6 +151,7 @@ def factors(weights: DataFrame, c: Topics = Topics()) -> tuple[DataFrame, DataFr
         if before and all(before[g] - e <= c.tol * whole[g] for g, e in error.items()):
             break
         before = error
+    w.unpersist()
     return a, b
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import text
 
@@ -57,3 +58,24 @@ def test_topics_part_the_kinds(spark):
     n = text.nmf(w, text.Topics(sweeps=4)).collect()
     assert len(n) == 40 and {(r["doc"] % 4 == 0, r["topic"], r["label"]) for r in n} == {(True, 1, "tTrue0, tTrue1, tTrue2, tTrue3, tFalse0"), (False, 0, "tFalse0, tFalse1, tFalse2, tFalse3, tTrue0")}
     assert text.nmf(w.filter("doc < 20")).count() == 0
+
+
+def test_weights_are_computed_once_and_stay_with_their_documents(spark, rows, monkeypatch):
+    read, shuffles = spark.sparkContext.accumulator(0), {}
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    def products(*args):
+        found = made(*args)
+        shuffles[args[3]] = found._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("Exchange hashpartitioning")
+        return found
+
+    made = text._products
+    monkeypatch.setattr(text, "_products", products)
+    w = spark.createDataFrame(rows, "group long, doc long, term string, w double").withColumn("w", counted.asNondeterministic()("w"))
+    text.factors(w, text.Topics(sweeps=1, together=1))
+    assert read.value == len(rows)
+    assert shuffles == {"doc": 0, "term": 1}
