@@ -6,7 +6,6 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -15,29 +14,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.shared import ship
+
 #: Word separators, as Java and RE2 patterns understand them.
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application; they need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    path = Path(tempfile.mkdtemp(prefix="quillgraph-code-")) / "quillgraph.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((root / "quillgraph").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
